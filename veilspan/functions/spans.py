@@ -1,20 +1,22 @@
 """PII spans in text as array columns: no shuffle, no Python, whole texts.
 
 A span is ``struct<category, match, start>``; ``start`` counts code points
-from 0.  Every function takes and returns columns, so the caller decides
-whether to explode, count or redact.
+from 0.  Functions take the name of a text column (a lambda variable or a
+struct field will do) and are written as Spark SQL, which is parsed once;
+building the same tree call by call takes longer than scanning a small table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions import regexes as rx
 
 SPAN_ARRAY = "array<struct<category:string,match:string,start:int>>"
+NO_SPANS = f"CAST(array() AS {SPAN_ARRAY})"
 _BLOCK = 256
 
 
@@ -23,189 +25,155 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _no_spans() -> Column:
-    return F.array().cast(SPAN_ARRAY)
+def let_sql(value: str, name: str, body: str) -> str:
+    """The same in SQL text."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _prefix(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+def _prefix(values: str, combine: str) -> str:
     """Inclusive running combine over one short array."""
-    return F.aggregate(
-        F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))),
-        F.slice(values, 1, 1),
-        lambda acc, v: F.concat(acc, F.array(combine(F.element_at(acc, -1), v))),
+    return (
+        f"aggregate(slice({values}, 2, greatest(size({values}) - 1, 0)), slice({values}, 1, 1),"
+        f" (_acc, _e) -> concat(_acc, array({combine.format(a='element_at(_acc, -1)', b='_e')})))"
     )
 
 
-def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
-    """Inclusive running combine of an array (running sum, running maximum).
+def running(values: str, combine: str) -> str:
+    """Inclusive running combine of an array; ``combine`` is SQL over {a} and {b}.
 
     Done in blocks and then over block totals: a text with a very large number
     of matches costs about n * 256 element copies instead of n squared.
     """
-
-    def blocked(vals: Column) -> Column:
-        n_blocks = F.ceil(F.size(vals) / F.lit(_BLOCK)).cast("int")
-        blocks = F.transform(
-            F.sequence(F.lit(1), n_blocks),
-            lambda b: _prefix(F.slice(vals, (b - 1) * _BLOCK + 1, _BLOCK), combine),
-        )
-
-        def join(bs: Column) -> Column:
-            totals = _prefix(F.transform(bs, lambda b: F.element_at(b, -1)), combine)
-            return let(
-                totals,
-                lambda t: F.flatten(
-                    F.transform(
-                        bs,
-                        lambda b, i: F.when(i == 0, b).otherwise(
-                            F.transform(b, lambda v: combine(F.get(t, i - 1), v))
-                        ),
-                    )
-                ),
-            )
-
-        return let(blocks, join)
-
-    return let(
-        values,
-        lambda v: F.when(F.size(v) <= 1, v)
-        .when(F.size(v) <= _BLOCK, _prefix(v, combine))
-        .otherwise(blocked(v)),
+    in_blocks = (
+        f"transform(sequence(1, CAST(ceil(size(_v) / {_BLOCK}) AS INT)), _b -> "
+        f"{let_sql(f'slice(_v, (_b - 1) * {_BLOCK} + 1, {_BLOCK})', '_s', _prefix('_s', combine))})"
+    )
+    last_of_each = "transform(_bs, _b -> element_at(_b, -1))"
+    shifted = (
+        "flatten(transform(_bs, (_b, _i) -> CASE WHEN _i = 0 THEN _b "
+        f"ELSE transform(_b, _e -> {combine.format(a='get(_t, _i - 1)', b='_e')}) END))"
     )
+    joined = let_sql(let_sql(last_of_each, "_l", _prefix("_l", combine)), "_t", shifted)
+    blocked = let_sql(in_blocks, "_bs", joined)
+    return let_sql(
+        values, "_v",
+        f"CASE WHEN size(_v) <= 1 THEN _v WHEN size(_v) <= {_BLOCK} THEN {_prefix('_v', combine)} ELSE {blocked} END",
+    )
+
 
+def running_sum(values: str) -> str:
+    return running(values, "{a} + {b}")
 
-def running_sum(values: Column) -> Column:
-    return running(values, lambda a, b: a + b)
 
+def running_max(values: str) -> str:
+    return running(values, "greatest({a}, {b})")
 
-def running_max(values: Column) -> Column:
-    return running(values, lambda a, b: F.greatest(a, b))
 
+def raw(pattern: str) -> str:
+    """A regular expression as a SQL string literal."""
+    if "'" in pattern:
+        raise ValueError("a pattern may not hold a quote")
+    return f"r'{pattern}'"
 
-def find(text: Column, category: str, pattern: str, guard: Column | None = None) -> Column:
+
+def matches_sql(text: str, category: str, pattern: str, guard: str) -> str:
     """All matches of one pattern with their offsets.
 
     The pieces between matches and the matches alternate, so running sums of
     their lengths are the offsets; no marker characters enter the text.
     """
-
-    def locate(matches: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        steps = F.zip_with(
-            F.slice(gaps, 1, F.size(matches)),
-            matches,
-            lambda g, m: F.length(g) + F.length(m),
-        )
-        return F.zip_with(
-            matches,
-            running_sum(steps),
-            lambda m, end: F.struct(
-                F.lit(category).alias("category"),
-                m.alias("match"),
-                (end - F.length(m)).cast("int").alias("start"),
-            ),
-        )
-
-    test = text.rlike(pattern)
-    if guard is not None:
-        test = guard & test
-    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), locate)
-    return F.when(test, found.cast(SPAN_ARRAY)).otherwise(_no_spans())
-
-
-def digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
-
-
-def luhn(value: Column) -> Column:
-    """Luhn check of the digits in a string; 13 to 19 digits only."""
-    return let(
-        digits(value),
-        lambda d: F.length(d).between(13, 19) & F.call_function("luhn_check", d),
+    p = raw(pattern)
+    steps = f"zip_with(slice(split({text}, {p}, -1), 1, size(_m)), _m, (_g, _x) -> length(_g) + length(_x))"
+    located = (
+        f"zip_with(_m, {running_sum(steps)}, (_x, _to) -> "
+        f"named_struct('category', '{category}', 'match', _x, 'start', CAST(_to - length(_x) AS INT)))"
     )
+    found = let_sql(f"regexp_extract_all({text}, {p}, 0)", "_m", located)
+    return f"CASE WHEN {guard} AND {text} RLIKE {p} THEN CAST({found} AS {SPAN_ARRAY}) ELSE {NO_SPANS} END"
 
 
-def span_end(span: Column) -> Column:
-    return span["start"] + F.length(span["match"])
-
-
-def find_email(text: Column) -> Column:
-    return find(text, "email", rx.java(rx.EMAIL), text.contains("@"))
-
-
-def find_aadhaar(text: Column) -> Column:
-    return find(text, "aadhaar", rx.AADHAAR, text.rlike(rx.HAS_NUMBER))
-
-
-def find_pan(text: Column) -> Column:
-    return find(text, "pan", rx.PAN, text.rlike(rx.HAS_NUMBER))
-
+def luhn_sql(value: str) -> str:
+    """Luhn check of the digits in a string; 13 to 19 digits only."""
+    return let_sql(
+        f"regexp_replace({value}, '[^0-9]', '')", "_d",
+        "length(_d) BETWEEN 13 AND 19 AND luhn_check(_d)",
+    )
 
-def find_phone(text: Column) -> Column:
-    return find(text, "phone", rx.PHONE, text.rlike(rx.HAS_NUMBER))
 
+def luhn(value: str) -> Column:
+    return F.expr(luhn_sql(value))
 
-def find_card(text: Column) -> Column:
-    shaped = find(text, "credit_card", rx.CARD, text.rlike(rx.HAS_NUMBER))
-    return F.filter(shaped, lambda s: luhn(s["match"]))
 
+_NUMBER = "{t} RLIKE '" + rx.HAS_NUMBER + "'"
+# category -> (pattern, cheap test that must hold first)
+TEXT_PATTERNS = {
+    "aadhaar": (rx.AADHAAR, _NUMBER),
+    "pan": (rx.PAN, _NUMBER),
+    "phone": (rx.PHONE, _NUMBER),
+    "email": (rx.java(rx.EMAIL), "contains({t}, '@')"),
+    "credit_card": (rx.CARD, _NUMBER),
+    "ifsc": (rx.IFSC, "{t} RLIKE '" + rx.HAS_IFSC_HEAD + "'"),
+    "dob": (rx.DOB, _NUMBER),
+    "account_number": (rx.ACCOUNT, _NUMBER),
+    "cvv": (rx.CVV, "{t} RLIKE '[0-9]{{3}}'"),
+    "otp": (rx.OTP, _NUMBER),
+}
+# Order in which a scan reports; account numbers come last, after the cover rule.
+SPECIFIC = ["aadhaar", "pan", "phone", "email", "credit_card", "ifsc", "dob"]
 
-def find_ifsc(text: Column) -> Column:
-    return find(text, "ifsc", rx.IFSC, text.rlike(rx.HAS_IFSC_HEAD))
 
+def find_sql(text: str, category: str) -> str:
+    pattern, guard = TEXT_PATTERNS[category]
+    found = matches_sql(text, category, pattern, guard.replace("{t}", text).replace("{{", "{").replace("}}", "}"))
+    if category == "credit_card":
+        return f"filter({found}, _c -> {luhn_sql('_c.match')})"
+    return found
 
-def find_dob(text: Column) -> Column:
-    return find(text, "dob", rx.DOB, text.rlike(rx.HAS_NUMBER))
 
+def find(text: str, category: str) -> Column:
+    """Spans of one category (account numbers before the cover rule)."""
+    return F.expr(find_sql(text, category))
 
-def find_account(text: Column) -> Column:
-    """Digit runs of account length, before the cover rule."""
-    return find(text, "account_number", rx.ACCOUNT, text.rlike(rx.HAS_NUMBER))
 
+def _with_cover_rule(text: str, keep: str) -> str:
+    """``keep`` is SQL over ``_others`` and ``_accounts``."""
+    # Only a span with a long digit run can cover an account number.
+    accounts = (
+        f"filter({find_sql(text, 'account_number')}, _a -> NOT exists(_long, _o -> _o.start <= _a.start"
+        " AND _o.start + length(_o.match) >= _a.start + length(_a.match)))"
+    )
+    accounts = let_sql("filter(_others, _o -> length(_o.match) >= 9)", "_long", accounts)
+    others = "concat(" + ", ".join(find_sql(text, name) for name in SPECIFIC) + ")"
+    return let_sql(others, "_others", keep.format(accounts=accounts))
 
-def find_cvv(text: Column) -> Column:
-    return find(text, "cvv", rx.CVV, text.rlike("[0-9]{3}"))
 
+def scan_sql(text: str) -> str:
+    """Every span of a text: category order first, then position."""
+    number, head = _NUMBER.replace("{t}", text), f"{text} RLIKE '{rx.HAS_IFSC_HEAD}'"
+    full = _with_cover_rule(text, "concat(_others, {accounts})")
+    return f"CASE WHEN {number} OR contains({text}, '@') OR {head} THEN {full} ELSE {NO_SPANS} END"
 
-def find_otp(text: Column) -> Column:
-    return find(text, "otp", rx.OTP, text.rlike(rx.HAS_NUMBER))
 
+def scan(text: str) -> Column:
+    return F.expr(scan_sql(text))
 
-def specific_spans(text: Column) -> Column:
-    """All categories but account numbers, in category order."""
-    return F.concat(
-        find_aadhaar(text), find_pan(text), find_phone(text), find_email(text),
-        find_card(text), find_ifsc(text), find_dob(text),
-    )
 
+def scan_accounts(text: str) -> Column:
+    """Account numbers after the cover rule."""
+    full = _with_cover_rule(text, "{accounts}")
+    return F.expr(f"CASE WHEN {text} RLIKE {raw(rx.ACCOUNT)} THEN {full} ELSE {NO_SPANS} END")
 
-def uncovered(accounts: Column, others: Column) -> Column:
-    """Account spans that no other span contains in full."""
-    long_enough = F.filter(others, lambda o: F.length(o["match"]) >= 9)
-    return let(
-        long_enough,
-        lambda os: F.filter(
-            accounts,
-            lambda a: ~F.exists(
-                os, lambda o: (o["start"] <= a["start"]) & (span_end(o) >= span_end(a))
-            ),
-        ),
-    )
 
+def span_end(span: Column) -> Column:
+    return span["start"] + F.length(span["match"])
 
-def scan(text: Column) -> Column:
-    """Every span of a text: category order first, then position."""
-    full = let(
-        specific_spans(text),
-        lambda others: F.concat(others, uncovered(find_account(text), others)),
-    )
-    worth_it = text.rlike(rx.HAS_NUMBER) | text.contains("@") | text.rlike(rx.HAS_IFSC_HEAD)
-    return F.when(worth_it, full).otherwise(_no_spans())
 
+def unnest(df: DataFrame, spans: str, *keys: str, numbered: str | None = None) -> DataFrame:
+    """One row per span.
 
-def scan_accounts(text: Column) -> Column:
-    """Account numbers after the cover rule."""
-    return F.when(
-        text.rlike(rx.ACCOUNT),
-        let(specific_spans(text), lambda others: uncovered(find_account(text), others)),
-    ).otherwise(_no_spans())
+    The outer generator with a filter behind it keeps Spark from inferring
+    ``size(spans) > 0`` below, which would scan every text twice.
+    """
+    rows = df.select(*keys, F.posexplode_outer(spans)).where(F.col("col").isNotNull())
+    number = [(F.col("pos") + 1).alias(numbered)] if numbered else []
+    return rows.select(*keys, *number, "col.*")

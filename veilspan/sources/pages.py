@@ -166,6 +166,19 @@ def elements(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str =
     return _described(candidates, keys)
 
 
+def shown_texts(html: Column) -> Column:
+    """``array<struct<uid, text>>`` of the elements that show text, in page order."""
+    shown = F.transform(
+        _candidates(_node_array(_marked_up(html))),
+        lambda n: F.struct(
+            n["node_no"].alias("uid"),
+            F.when(n["role"].isin("select", "button", "link"), F.left(n["short"], F.lit(60)))
+            .when(n["role"] == "element", n["short"]).alias("text"),
+        ),
+    )
+    return F.filter(shown, lambda e: e["text"].isNotNull())
+
+
 def _described(candidates: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     attrs, role = F.col("attrs"), F.col("role")
     control = role.isin("input", "textarea", "select")
