@@ -33,15 +33,13 @@ HIDDEN_STYLE = r"(?i)(display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0
 HIDDEN_ATTR = r"(?i)\shidden(\s|=|/|$)"
 
 
-def raw_text_pattern() -> str:
-    """Elements whose content is not markup; group ``2i+1`` opens, ``2i+2`` closes."""
-    return "(?is)" + "|".join(rf"(<{t}\b[^>]*>).*?(</{t}\s*>)" for t in RAW_TEXT_TAGS)
+# Elements whose content is not markup.
+RAW_TEXT = r"(?is)(<(" + "|".join(RAW_TEXT_TAGS) + r")\b[^>]*>).*?(</\2\s*>)"
 
 
 def body_markup(html: Column) -> Column:
     """What lies inside ``<body>``, without comments and without raw-text content."""
-    kept = "".join(f"${i}" for i in range(1, 2 * len(RAW_TEXT_TAGS) + 1))
-    clean = F.regexp_replace(F.regexp_replace(html, COMMENT, ""), raw_text_pattern(), kept)
+    clean = F.regexp_replace(F.regexp_replace(html, COMMENT, ""), RAW_TEXT, "$1$3")
     return let(F.split(clean, BODY_TAG, -1), lambda parts: F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0))))
 
 
