@@ -74,22 +74,28 @@ def known_only(cmds: DataFrame, elements: DataFrame, keys: Sequence[str]) -> Dat
     return cmds.where(~aimed).unionByName(cmds.where(aimed).join(known, [*keys, "uid"], "left_semi"))
 
 
-def find_field(elements: DataFrame, keys: Sequence[str], category: str, label_pattern: str) -> DataFrame:
-    """One element per page: by category, else by label; interactive ones first, then page order.
+def find_fields(elements: DataFrame, keys: Sequence[str], wanted: dict[str, str]) -> DataFrame:
+    """The field of each wanted category per page; ``wanted`` maps category to a label pattern.
 
-    One conditional minimum per page instead of two joins and a sort.
+    By category, else by label; interactive ones first, then page order.  All
+    lookups are conditional minima of one aggregate, with no join and no sort.
     """
     c = F.col
     control = c("role").isin("input", "textarea", "select")
-    by_category = c("pii_category") == category
-    by_label = control & F.coalesce(tx.collapse(c("text")), F.lit("")).rlike("(?i)" + label_pattern)
-    tier = (
-        F.when(by_category & c("interactive"), 0)
-        .when(by_category, 1)
-        .when(by_label & c("interactive"), 2)
-        .when(by_label, 3)
-    )
-    best = elements.withColumn("_tier", tier).where(c("_tier").isNotNull())
-    return best.groupBy(*keys).agg(F.min(F.struct("_tier", "uid")).alias("_b")).select(
-        *keys, F.col("_b.uid").alias("uid"), F.when(c("_b._tier") <= 1, "category").otherwise("label").alias("found_by")
+    label = tx.collapse(F.coalesce("text", F.lit("")))
+
+    def best(category: str, pattern: str) -> Column:
+        tagged = c("pii_category") == category
+        named = control & label.rlike("(?i)" + pattern)
+        tier = (
+            F.when(tagged & c("interactive"), 0).when(tagged, 1)
+            .when(named & c("interactive"), 2).when(named, 3)
+        )
+        return F.min(F.when(tier.isNotNull(), F.struct(tier.alias("tier"), c("uid").alias("uid")))).alias(category)
+
+    found = elements.groupBy(*keys).agg(*[best(k, p) for k, p in wanted.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("category"), c(k).alias("best")) for k in wanted])
+    return found.select(*keys, F.inline(rows)).where(c("best").isNotNull()).select(
+        *keys, "category", c("best.uid").alias("uid"),
+        F.when(c("best.tier") <= 1, "category").otherwise("label").alias("found_by"),
     )

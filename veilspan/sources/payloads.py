@@ -15,14 +15,27 @@ from veilspan.operators import detect
 SCHEMA_TAG = "veilspan/1"
 REPORT_VERSION = "1.0"
 
-PAYLOAD = T.StructType.fromDDL(
-    "schema string,"
-    "redaction struct<scheme:string,version:string,categories:map<string,bigint>,faceCount:bigint,"
-    "audit:struct<pixelDelta:double,byteDelta:double,redactionCoverage:double>>,"
-    "viewport struct<w:int,h:int,scale:double>,"
-    "elements array<struct<role:string,id:int,rect:struct<x:int,y:int,w:int,h:int>,text:string,"
-    "inputType:string,interactive:boolean,piiCategory:string>>,"
-    "task string,step int,image string"
+_S, _I, _L, _D, _B = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType()
+
+
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+PAYLOAD = struct(
+    schema=_S,
+    redaction=struct(
+        scheme=_S, version=_S, categories=T.MapType(_S, _L), faceCount=_L,
+        audit=struct(pixelDelta=_D, byteDelta=_D, redactionCoverage=_D),
+    ),
+    viewport=struct(w=_I, h=_I, scale=_D),
+    elements=T.ArrayType(
+        struct(
+            role=_S, id=_I, rect=struct(x=_I, y=_I, w=_I, h=_I), text=_S, inputType=_S,
+            interactive=_B, piiCategory=_S,
+        )
+    ),
+    task=_S, step=_I, image=_S,
 )
 
 
