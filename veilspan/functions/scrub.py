@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 
 from veilspan.functions import fixed_values as fv
 from veilspan.functions import regexes as rx
-from veilspan.functions.spans import let
+from veilspan.functions.spans import let_sql, raw
 
 REDACTED = "[REDACTED]"
 LEAKS = "array<struct<path:string,reason:string>>"
+NO_LEAKS = f"CAST(array() AS {LEAKS})"
 
 # Order matters: each pattern runs on what the ones before it left.
 BODY_PATTERNS = [
@@ -22,6 +23,8 @@ BODY_PATTERNS = [
 ]
 ANY_BODY_PATTERN = rx.any_of([rx.BODY_AADHAAR, rx.PAN, rx.PHONE, rx.EMAIL, rx.CARD, rx.ACCOUNT], False)
 _KEY = rx.any_of(fv.SENSITIVE_KEYS)
+_META = ", ".join(f"'{k}'" for k in fv.SCRUB_META_KEYS)
+_AUDIT_META = ", ".join(f"'{k}'" for k in fv.AUDIT_META_KEYS)
 _KEY_PY = re.compile("|".join(f"(?:{p})" for p in fv.SENSITIVE_KEYS), re.I | re.A)
 
 
@@ -34,24 +37,18 @@ def name_is_sensitive(name: str) -> bool:
     return _KEY_PY.search(name) is not None
 
 
-def _replace(text: Column, pattern: str, guard: Column) -> Column:
+def _replace_sql(text: str, pattern: str, guard: str) -> str:
     """Each match becomes ``[REDACTED:length]``."""
+    p = raw(pattern)
+    gaps = f"split({text}, {p}, -1)"
+    kept = "zip_with(slice(_g, 1, size(_m)), _m, (_a, _b) -> concat(_a, '[REDACTED:', length(_b), ']'))"
+    rebuilt = let_sql(gaps, "_g", f"concat(array_join({kept}, ''), element_at(_g, -1))")
+    found = let_sql(f"regexp_extract_all({text}, {p}, 0)", "_m", rebuilt)
+    return f"CASE WHEN {guard} AND {text} RLIKE {p} THEN {found} ELSE {text} END"
 
-    def rebuild(matches: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        kept = F.zip_with(
-            F.slice(gaps, 1, F.size(matches)),
-            matches,
-            lambda g, m: F.concat(g, F.lit("[REDACTED:"), F.length(m).cast("string"), F.lit("]")),
-        )
-        return F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(guard & text.rlike(pattern), let(found, rebuild)).otherwise(text)
-
-
-def scrub_text(text: Column, card_first: bool = False) -> Column:
-    """Replace PII patterns one after the other.
+def scrub_sql(text: str, card_first: bool = False) -> str:
+    """SQL that replaces PII patterns one after the other.
 
     The 4-4-4 pattern runs before the card pattern, so of a spaced card number
     the last group stays.  ``card_first`` closes that gap.
@@ -59,20 +56,22 @@ def scrub_text(text: Column, card_first: bool = False) -> Column:
     order = list(BODY_PATTERNS)
     if card_first:
         order.sort(key=lambda p: p[0] != "card")
+    number = f"RLIKE '{rx.HAS_NUMBER}'"
+    scrubbed = "_s"
+    for name, pattern in order:
+        guard = "contains(_s, '@')" if name == "email" else f"_s {number}"
+        step = _replace_sql("_s", pattern, guard)
+        scrubbed = step if scrubbed == "_s" else let_sql(scrubbed, "_s", step)
+    worth_it = f"(_s {number} OR contains(_s, '@'))"
+    return let_sql(text, "_s", f"CASE WHEN {worth_it} THEN {scrubbed} ELSE _s END")
 
-    def step(name: str, pattern: str):
-        if name == "email":
-            return lambda v: _replace(v, pattern, v.contains("@"))
-        return lambda v: _replace(v, pattern, v.rlike(rx.HAS_NUMBER))
 
-    scrubbed = text
-    for name, pattern in order:
-        scrubbed = let(scrubbed, step(name, pattern))
-    worth_it = text.rlike(rx.HAS_NUMBER) | text.contains("@")
-    return F.when(worth_it, scrubbed).otherwise(text)
+def scrub_text(text: str, card_first: bool = False) -> Column:
+    """:func:`scrub_sql` of a named column."""
+    return F.expr(scrub_sql(text, card_first))
 
 
-def scrub_value(value: Column, dtype: T.DataType, meta: bool = False) -> Column:
+def scrub_value_sql(value: str, dtype: T.DataType, meta: bool = False, depth: int = 0) -> str:
     """Scrub a parsed JSON value.
 
     Strings under a sensitive key are replaced whole; other strings lose their
@@ -81,49 +80,50 @@ def scrub_value(value: Column, dtype: T.DataType, meta: bool = False) -> Column:
     if isinstance(dtype, T.StructType):
         fields = []
         for f in dtype.fields:
-            child = value[f.name]
+            child = f"{value}.`{f.name}`"
             in_meta = meta or f.name in fv.SCRUB_META_KEYS
             if isinstance(f.dataType, T.StringType) and not in_meta and name_is_sensitive(f.name):
-                out = F.when(child.isNotNull(), F.lit(REDACTED))
+                out = f"CASE WHEN {child} IS NOT NULL THEN '{REDACTED}' END"
             else:
-                out = scrub_value(child, f.dataType, in_meta)
-            fields.append(out.alias(f.name))
-        return F.when(value.isNotNull(), F.struct(*fields))
+                out = scrub_value_sql(child, f.dataType, in_meta, depth)
+            fields.append(f"'{f.name}', {out}")
+        return f"CASE WHEN {value} IS NOT NULL THEN named_struct({', '.join(fields)}) END"
     if isinstance(dtype, T.ArrayType):
-        return F.transform(value, lambda v: scrub_value(v, dtype.elementType, meta))
+        item = f"_i{depth}"
+        return f"transform({value}, {item} -> {scrub_value_sql(item, dtype.elementType, meta, depth + 1)})"
     if isinstance(dtype, T.MapType):
-        def entry(k: Column, v: Column) -> Column:
-            plain = scrub_value(v, dtype.valueType, meta)
-            if meta:
-                return plain
-            if isinstance(dtype.valueType, T.StringType):
-                hide = key_is_sensitive(k) & ~k.isin(fv.SCRUB_META_KEYS) & v.isNotNull()
-                return F.when(hide, F.lit(REDACTED)).otherwise(plain)
-            return F.when(
-                k.isin(fv.SCRUB_META_KEYS), scrub_value(v, dtype.valueType, True)
-            ).otherwise(plain)
-        return F.transform_values(value, entry)
+        k, v = f"_k{depth}", f"_v{depth}"
+        plain = scrub_value_sql(v, dtype.valueType, meta, depth + 1)
+        if not meta and isinstance(dtype.valueType, T.StringType):
+            hide = f"{k} RLIKE {raw(_KEY)} AND NOT {k} IN ({_META}) AND {v} IS NOT NULL"
+            plain = f"CASE WHEN {hide} THEN '{REDACTED}' ELSE {plain} END"
+        elif not meta:
+            inside = scrub_value_sql(v, dtype.valueType, True, depth + 1)
+            plain = f"CASE WHEN {k} IN ({_META}) THEN {inside} ELSE {plain} END"
+        return f"transform_values({value}, ({k}, {v}) -> {plain})"
     if isinstance(dtype, T.StringType):
-        return scrub_text(value)
+        return scrub_sql(value)
     return value
 
 
-def scrub_body(body: Column, schema: T.StructType) -> Column:
-    """Scrub a JSON body; a body that is not JSON is scrubbed as plain text.
+def scrub_value(value: str, dtype: T.DataType) -> Column:
+    return F.expr(scrub_value_sql(value, dtype))
+
+
+def scrub_body(df: DataFrame, body: str, schema: T.StructType, name: str = "sent") -> DataFrame:
+    """Adds the scrubbed JSON body; a body that is not JSON is scrubbed as plain text.
 
     ``schema`` should come from :func:`body_schema` when the shape is not known,
     since a field outside it would not be sent on.  A bare JSON number, string
     or literal passes through; a top-level array is scrubbed as text.
     """
-    parsed = F.from_json(body, schema, {"mode": "PERMISSIVE"})
-    is_json = F.try_parse_json(body).isNotNull()
-    is_object = is_json & F.ltrim(body).startswith("{")
-    is_scalar = is_json & ~F.ltrim(body).startswith("[")
-    return (
-        F.when(is_object, F.to_json(scrub_value(parsed, schema)))
-        .when(is_scalar, body)
-        .otherwise(scrub_text(body))
+    parsed = df.withColumn("_p", F.from_json(body, schema, {"mode": "PERMISSIVE"}))
+    is_json = f"try_parse_json({body}) IS NOT NULL"
+    sent = (
+        f"CASE WHEN {is_json} AND startswith(ltrim({body}), '{{') THEN to_json({scrub_value_sql('_p', schema)}) "
+        f"WHEN {is_json} AND NOT startswith(ltrim({body}), '[') THEN {body} ELSE {scrub_sql(body)} END"
     )
+    return parsed.withColumn(name, F.expr(sent)).drop("_p")
 
 
 def body_schema(bodies: DataFrame, column: str) -> T.StructType:
@@ -141,48 +141,52 @@ def scrub_headers(headers: Column) -> Column:
     )
 
 
-def leaks(value: Column, dtype: T.DataType, path: Column | None = None, meta: bool = False) -> Column:
-    """All leaks in a parsed JSON value as ``array<struct<path, reason>>``."""
+def leaks_sql(value: str, dtype: T.DataType, path: str = "", meta: bool = False, depth: int = 0) -> list[str]:
+    """SQL arrays of ``struct<path, reason>``; their concatenation holds every leak.
 
-    def hit(where: Column, reason: str, test: Column) -> Column:
-        one = F.array(F.struct(where.alias("path"), F.lit(reason).alias("reason"))).cast(LEAKS)
-        return F.when(test, one).otherwise(F.array().cast(LEAKS))
+    ``path`` is a SQL expression, empty at the top.
+    """
+
+    def hit(where: str, reason: str, test: str) -> str:
+        return f"CASE WHEN {test} THEN array(named_struct('path', {where}, 'reason', '{reason}')) ELSE {NO_LEAKS} END"
 
-    def below(key: Column) -> Column:
-        return key if path is None else F.concat(path, F.lit("."), key)
+    def below(key: str) -> str:
+        return f"concat({path}, '.', {key})" if path else key
 
     if isinstance(dtype, T.StructType):
         found = []
         for f in dtype.fields:
-            child, where = value[f.name], below(F.lit(f.name))
+            child, where = f"{value}.`{f.name}`", below(f"'{f.name}'")
             in_meta = meta or f.name in fv.AUDIT_META_KEYS
             if not in_meta and name_is_sensitive(f.name):
-                found.append(hit(where, "sensitive-key", child.isNotNull()))
-            found.append(leaks(child, f.dataType, where, in_meta))
-        return F.concat(*found) if found else F.array().cast(LEAKS)
+                found.append(hit(where, "sensitive-key", f"{child} IS NOT NULL"))
+            found += leaks_sql(child, f.dataType, where, in_meta, depth)
+        return found
     if isinstance(dtype, T.ArrayType):
-        parts = F.transform(
-            F.coalesce(value, F.array().cast(dtype)),
-            lambda v, i: leaks(v, dtype.elementType, below(i.cast("string")), meta),
-        )
-        return F.flatten(parts)
+        item, at = f"_i{depth}", f"_n{depth}"
+        inner = _concat(leaks_sql(item, dtype.elementType, below(f"CAST({at} AS STRING)"), meta, depth + 1))
+        return [f"coalesce(flatten(transform({value}, ({item}, {at}) -> {inner})), {NO_LEAKS})"]
     if isinstance(dtype, T.MapType):
-        def entry(e: Column) -> Column:
-            k, v, where = e["key"], e["value"], below(e["key"])
-            deeper = F.when(
-                k.isin(fv.AUDIT_META_KEYS), leaks(v, dtype.valueType, where, True)
-            ).otherwise(leaks(v, dtype.valueType, where, meta))
-            if meta:
-                return leaks(v, dtype.valueType, where, True)
-            named = hit(where, "sensitive-key", key_is_sensitive(k) & ~k.isin(fv.AUDIT_META_KEYS))
-            return F.concat(named, deeper)
-        return F.coalesce(
-            F.flatten(F.transform(F.map_entries(value), entry)), F.array().cast(LEAKS)
-        )
+        entry = f"_e{depth}"
+        k, v, where = f"{entry}.key", f"{entry}.value", below(f"{entry}.key")
+        inside = _concat(leaks_sql(v, dtype.valueType, where, True, depth + 1))
+        if not meta:
+            plain = _concat(leaks_sql(v, dtype.valueType, where, False, depth + 1))
+            named = hit(where, "sensitive-key", f"{k} RLIKE {raw(_KEY)}")
+            inside = f"CASE WHEN {k} IN ({_AUDIT_META}) THEN {inside} ELSE concat({named}, {plain}) END"
+        return [f"coalesce(flatten(transform(map_entries({value}), {entry} -> {inside})), {NO_LEAKS})"]
     if isinstance(dtype, T.StringType):
-        where = path if path is not None else F.lit("")
-        return hit(where, "pii-pattern", F.coalesce(value.rlike(ANY_BODY_PATTERN), F.lit(False)))
-    return F.array().cast(LEAKS)
+        return [hit(path or "''", "pii-pattern", f"{value} RLIKE {raw(ANY_BODY_PATTERN)}")]
+    return []
+
+
+def _concat(parts: list[str]) -> str:
+    return f"concat({', '.join(parts)})" if parts else NO_LEAKS
+
+
+def leaks(value: str, dtype: T.DataType) -> Column:
+    """All leaks in a parsed JSON value as ``array<struct<path, reason>>``."""
+    return F.expr(_concat(leaks_sql(value, dtype)))
 
 
 def audit_verdict(found: Column) -> Column:

@@ -71,9 +71,11 @@ def running_max(values: str) -> str:
 
 def raw(pattern: str) -> str:
     """A regular expression as a SQL string literal."""
-    if "'" in pattern:
-        raise ValueError("a pattern may not hold a quote")
-    return f"r'{pattern}'"
+    if "'" not in pattern:
+        return f"r'{pattern}'"
+    if '"' in pattern:
+        raise ValueError("a raw pattern may hold one kind of quote only")
+    return f'r"{pattern}"'
 
 
 def matches_sql(text: str, category: str, pattern: str, guard: str) -> str:

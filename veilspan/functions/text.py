@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspan.functions import fixed_values as fv
+from veilspan.functions.spans import let_sql
 
 ELLIPSIS = "…"
 BULLET = "•"
@@ -88,8 +89,14 @@ ENTITIES = [
 ]
 
 
-def unescape(value: Column) -> Column:
-    """Decode the common HTML entities (``&amp;`` last)."""
+def unescape_sql(value: str) -> str:
+    """Decode the common HTML entities (``&amp;`` last); text without ``&`` is passed on."""
+    decoded = "_u"
     for entity, char in ENTITIES:
-        value = F.replace(value, F.lit(entity), F.lit(char))
-    return value
+        decoded = f"replace({decoded}, '{entity}', " + ('"\'"' if char == "'" else f"'{char}'") + ")"
+    return let_sql(value, "_u", f"CASE WHEN contains(_u, '&') THEN {decoded} ELSE _u END")
+
+
+def short_text_sql(value: str, limit: int = 120) -> str:
+    collapsed = f"left(trim(regexp_replace({value}, r'\s+', ' ')), {limit})"
+    return let_sql(collapsed, "_t", "CASE WHEN _t <> '' THEN _t END")

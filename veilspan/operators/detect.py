@@ -115,7 +115,7 @@ def element_detections(
 
 def page_detections(pages: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """Detections of raw HTML pages, with stacked boxes."""
-    els = pg.elements(pages, tuple(keys)).withColumn("rect", pg.stacked_rect(F.col("uid")))
+    els = pg.elements(pages, tuple(keys)).withColumn("rect", pg.stacked_rect())
     return element_detections(els, keys)
 
 
@@ -126,8 +126,8 @@ def body_hit_owners(pages: DataFrame, keys: Sequence[str] = ("page_id",), html:
     ``in_cap`` marks the 61 hits a single-page run would use; hits without an
     owner are left out.
     """
-    owners = pages.select(*keys, html, pg.body_text(F.col(html)).alias("_body")).select(
-        *keys, spans.scan("_body").alias("_hits"), pg.shown_texts(F.col(html)).alias("_shown")
+    owners = pages.select(*keys, html, pg.body_text(html).alias("_body")).select(
+        *keys, spans.scan("_body").alias("_hits"), pg.shown_texts(html).alias("_shown")
     )
     attributed = F.transform(
         F.col("_hits"),

@@ -157,7 +157,7 @@ def raw_page_elements(spark, d):
     f"SELECT page_id, body, length(body) AS n_chars, length(body) > 30000 AS beyond_snapshot FROM (SELECT page_id, {body_text_sql('html')} AS body FROM pages)",
 )
 def page_body_text(spark, d):
-    rows = raw_pages(spark, d).select("page_id", pg.body_text(c("html")).alias("body"))
+    rows = raw_pages(spark, d).select("page_id", pg.body_text("html").alias("body"))
     size = F.length("body")
     return rows.select("page_id", "body", size.alias("n_chars"), (size > fv.BODY_SNAPSHOT_CHARS).alias("beyond_snapshot"))
 
@@ -168,7 +168,7 @@ def page_body_text(spark, d):
 )
 def skip_tags(spark, d):
     counted = pg.nodes(derived.form_pages(spark, d)).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("tag", pg.is_skipped(c("tag")).alias("skipped"), "n")
+    return counted.select("tag", pg.is_skipped().alias("skipped"), "n")
 
 
 @query(
@@ -176,7 +176,7 @@ def skip_tags(spark, d):
     f"WITH {_FORM_SQL}, {nodes_ctes('form_pages')} SELECT page_id, node_no, tag, {_VISIBLE} AS visible FROM nodes",
 )
 def visible_elements(spark, d):
-    return pg.nodes(derived.form_pages(spark, d)).select("page_id", "node_no", "tag", pg.is_visible(c("attrs")).alias("visible"))
+    return pg.nodes(derived.form_pages(spark, d)).select("page_id", "node_no", "tag", pg.is_visible().alias("visible"))
 
 
 @query(
@@ -184,8 +184,8 @@ def visible_elements(spark, d):
     f"WITH {_FORM_SQL}, {nodes_ctes('form_pages')} SELECT page_id, {_ROLE} AS role, count(*) AS n FROM nodes WHERE tag NOT IN ({_SKIP}) GROUP BY 1, 2",
 )
 def element_roles(spark, d):
-    kept = pg.nodes(derived.form_pages(spark, d)).where(~pg.is_skipped(c("tag")))
-    return kept.groupBy("page_id", pg.role_of(c("tag"), c("attrs")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    kept = pg.nodes(derived.form_pages(spark, d)).where(~pg.is_skipped())
+    return kept.groupBy("page_id", pg.role_of().alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("links", f"WITH {_ELEMENTS} SELECT page_id, uid, text FROM elements WHERE role = 'link'")
@@ -259,7 +259,7 @@ summaries AS (SELECT page_id, role, uid AS id, CASE WHEN length(lbl) > 60 THEN l
 
 
 def summarized(spark, d) -> DataFrame:
-    els = pg.elements(derived.form_pages(spark, d)).withColumn("rect", pg.stacked_rect(c("uid")))
+    els = pg.elements(derived.form_pages(spark, d)).withColumn("rect", pg.stacked_rect())
     return detect.summaries(els)
 
 
@@ -277,7 +277,7 @@ def summarize_elements(spark, d):
     "CAST(sum(length(text)) AS BIGINT) AS n_chars FROM summaries GROUP BY 1",
 )
 def summary_cap(spark, d):
-    els = pg.elements(raw_pages(spark, d)).withColumn("rect", pg.stacked_rect(c("uid")))
+    els = pg.elements(raw_pages(spark, d)).withColumn("rect", pg.stacked_rect())
     return detect.summaries(els).groupBy("page_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(F.when(c("role") == "element", 1)).alias("n_texts"),
         F.sum(F.length("text")).alias("n_chars"),
@@ -299,7 +299,7 @@ def row_caps(spark, d):
 
 
 def page_payloads(spark, d) -> DataFrame:
-    els = pg.elements(derived.form_pages(spark, d)).withColumn("rect", pg.stacked_rect(c("uid")))
+    els = pg.elements(derived.form_pages(spark, d)).withColumn("rect", pg.stacked_rect())
     found = detect.element_detections(els)
     return payloads.build(els, found, ["page_id"], task="Fill the form")
 
@@ -406,17 +406,18 @@ def _scrubbed_by(column: str, prefix: str) -> str:
     f"""WITH {_BODY_SQL}, {_scrubbed_by("'Call ' || match_1", 'a_')}, {_scrubbed_by('text', 'b_')}, {_scrubbed_by('match_1', 'c_')}, {_scrubbed_by('match_2', 'd_')}
 SELECT g.doc_id, a.scrubbed AS task, 'Priya' AS name, '[REDACTED]' AS email, 9876543210 + g.doc_id AS phone, b.scrubbed AS note,
   c.scrubbed AS element_text, 'S3cret' AS element_password, c.scrubbed AS audit_email, d.scrubbed AS last_note, c.scrubbed AS comment
-FROM good g JOIN a_scrubbed a USING (doc_id) JOIN b_scrubbed b USING (doc_id) JOIN c_scrubbed c USING (doc_id) JOIN d_scrubbed d USING (doc_id)""",
+FROM good g JOIN a_scrubbed a USING (doc_id) JOIN b_scrubbed b USING (doc_id) JOIN c_scrubbed c USING (doc_id) JOIN d_scrubbed d USING (doc_id)
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM planted WHERE doc_id % 11 = 5""",
 )
 def scrub_json(spark, d):
-    """Scrubbed bodies, parsed again; bodies that are not JSON are left to ``scrub_broken``."""
-    sent = bodies(spark, d).select("doc_id", scrub.scrub_body(c("body"), BODY).alias("sent"))
-    p = F.from_json("sent", BODY)
-    rows = sent.select("doc_id", p.alias("p")).where(c("p.schema").isNotNull() & (c("doc_id") % 11 != 5))
-    return rows.select(
+    """Scrubbed bodies, parsed again; a body that was not JSON has no fields."""
+    sent = scrub.scrub_body(bodies(spark, d), "body", BODY).select("doc_id", "sent")
+    p = sent.select("doc_id", F.from_json("sent", BODY).alias("p"))
+    return p.select(
         "doc_id", "p.task", "p.user.name", "p.user.email", "p.user.phone", "p.user.note",
-        c("p.elements")[0]["text"].alias("element_text"), c("p.elements")[0]["password"].alias("element_password"),
-        c("p.redaction.audit.email").alias("audit_email"), c("p.notes")[1].alias("last_note"), "p.comment",
+        F.get("p.elements", F.lit(0))["text"].alias("element_text"),
+        F.get("p.elements", F.lit(0))["password"].alias("element_password"),
+        c("p.redaction.audit.email").alias("audit_email"), F.get("p.notes", F.lit(1)).alias("last_note"), "p.comment",
     )
 
 
@@ -440,7 +441,7 @@ _LEAKS_SQL = _BODY_SQL + ", leaks AS (" + " UNION ALL ".join(
 
 def audited(spark, d) -> DataFrame:
     parsed = payloads.intake(bodies(spark, d), "body", BODY).where(~c("rejected").eqNullSafe("invalid JSON"))
-    return parsed.select("doc_id", scrub.leaks(c("payload"), BODY).alias("leaks"))
+    return parsed.select("doc_id", scrub.leaks("payload", BODY).alias("leaks"))
 
 
 @query("leak_audit", f"WITH {_LEAKS_SQL} SELECT doc_id, path, reason FROM leaks")

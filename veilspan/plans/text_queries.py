@@ -264,7 +264,7 @@ _SCRUB = duck.scrub_ctes("documents", "doc_id", "text")
 
 @query("scrub_text", f"WITH {_SCRUB} SELECT doc_id, scrubbed FROM scrubbed")
 def scrub_text(spark, d):
-    return documents(spark, d).select("doc_id", scrub.scrub_text(c("text")).alias("scrubbed"))
+    return documents(spark, d).select("doc_id", scrub.scrub_text("text").alias("scrubbed"))
 
 
 @query(
@@ -272,7 +272,7 @@ def scrub_text(spark, d):
     f"WITH {PLANTED_SQL}, {duck.scrub_ctes('planted', 'doc_id', 'text')} SELECT doc_id, scrubbed FROM scrubbed",
 )
 def scrub_planted(spark, d):
-    return derived.planted_documents(spark, d).select("doc_id", scrub.scrub_text(c("text")).alias("scrubbed"))
+    return derived.planted_documents(spark, d).select("doc_id", scrub.scrub_text("text").alias("scrubbed"))
 
 
 @query(
@@ -281,7 +281,7 @@ def scrub_planted(spark, d):
     "CAST(sum(length(text)) AS BIGINT) AS chars_in, CAST(sum(length(scrubbed)) AS BIGINT) AS chars_out FROM scrubbed",
 )
 def scrub_stats(spark, d):
-    done = documents(spark, d).withColumn("scrubbed", scrub.scrub_text(c("text")))
+    done = documents(spark, d).withColumn("scrubbed", scrub.scrub_text("text"))
     return stats_of(done)
 
 

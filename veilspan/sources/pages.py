@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import fixed_values as fv
 from veilspan.functions import text as tx
-from veilspan.functions.spans import let
+from veilspan.functions.spans import let_sql, raw
 
 RAW_TEXT_TAGS = ["script", "style", "noscript", "template", "title", "canvas", "svg"]
 STACK_X, STACK_Y, STACK_W, STACK_H, STACK_GAP = 20, 24, 320, 34, 18
@@ -35,49 +35,54 @@ HIDDEN_ATTR = r"(?i)\shidden(\s|=|/|$)"
 
 # Elements whose content is not markup.
 RAW_TEXT = r"(?is)(<(" + "|".join(RAW_TEXT_TAGS) + r")\b[^>]*>).*?(</\2\s*>)"
+ATTRIBUTE = r"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
-def body_markup(html: Column) -> Column:
-    """What lies inside ``<body>``, without comments and without raw-text content."""
-    clean = F.regexp_replace(F.regexp_replace(html, COMMENT, ""), RAW_TEXT, "$1$3")
-    return let(F.split(clean, BODY_TAG, -1), lambda parts: F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0))))
+def _quoted(pattern: str) -> str:
+    """A pattern that may hold both kinds of quote, as a SQL literal."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def body_text(html: Column) -> Column:
+def body_markup_sql(html: str) -> str:
+    clean = f"regexp_replace(regexp_replace({html}, {raw(COMMENT)}, ''), {raw(RAW_TEXT)}, '$1$3')"
+    return let_sql(f"split({clean}, {raw(BODY_TAG)}, -1)", "_parts", "coalesce(get(_parts, 1), get(_parts, 0))")
+
+
+def body_text(html: str) -> Column:
     """Visible text: block ends become line breaks, entities are decoded."""
-    markup = F.regexp_replace(body_markup(html), BLOCK_END, "\n")
-    plain = tx.unescape(F.regexp_replace(markup, ANY_TAG, ""))
-    lines = F.regexp_replace(F.regexp_replace(plain, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(lines, r"^[ \n]+|[ \n]+$", "")
+    markup = f"regexp_replace({body_markup_sql(html)}, {raw(BLOCK_END)}, '\\n')"
+    plain = tx.unescape_sql(f"regexp_replace({markup}, {raw(ANY_TAG)}, '')")
+    lines = f"regexp_replace(regexp_replace({plain}, r'[ \t\r\f]+', ' '), r' ?\n[ \n]*', '\\n')"
+    return F.expr(f"regexp_replace({lines}, r'^[ \n]+|[ \n]+$', '')")
 
 
-def attribute(attrs: Column, name: str) -> Column:
+def attribute_sql(attrs: str, name: str) -> str:
     """Value of one attribute; null when absent or empty."""
-    raw = F.regexp_extract(attrs, rf"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    return tx.blank_to_null(tx.unescape(F.regexp_replace(raw, "^[\"']|[\"']$", "")))
+    found = f"regexp_extract({attrs}, {_quoted(ATTRIBUTE.replace('{name}', name))}, 1)"
+    bare = f"regexp_replace(_raw, {_quoted(chr(94) + '[' + chr(34) + chr(39) + ']|[' + chr(34) + chr(39) + ']$')}, '')"
+    value = let_sql(tx.unescape_sql(bare), "_value", "CASE WHEN _value <> '' THEN _value END")
+    return let_sql(found, "_raw", f"CASE WHEN _raw <> '' THEN {value} END")
 
 
-def has_attribute(attrs: Column, name: str) -> Column:
-    return attrs.rlike(rf"(?i)\s{name}(\s|=|/|$)")
+def attribute(attrs: str, name: str) -> Column:
+    return F.expr(attribute_sql(attrs, name))
 
 
-def _marked_up(html: Column) -> Column:
+def _marked_up_sql(html: str) -> str:
     """Body markup with option texts and wrapping labels moved to their control."""
-    with_options = F.regexp_replace(body_markup(html), OPTION, "$1 ")
-    return F.regexp_replace(with_options, WRAPPED_LABEL, '<label$1>$2<$3 data-wrapped-label="$2"')
+    with_options = f"regexp_replace({body_markup_sql(html)}, {raw(OPTION)}, '$1 ')"
+    return f"regexp_replace({with_options}, {raw(WRAPPED_LABEL)}, '<label$1>$2<$3 data-wrapped-label=\"$2\"')"
 
 
-def _node_array(markup: Column) -> Column:
+def _nodes_sql(markup: str) -> str:
     """All opening tags of a page, in document order."""
-    opening = F.filter(F.split(markup, "<", -1), lambda p: p.rlike("^[A-Za-z]"))
-    return F.transform(
-        opening,
-        lambda p, i: F.struct(
-            (i + 1).cast("int").alias("node_no"),
-            F.lower(F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9-]*)", 1)).alias("tag"),
-            F.regexp_replace(F.substring_index(p, ">", 1), "^[A-Za-z][A-Za-z0-9-]*", "").alias("attrs"),
-            F.regexp_replace(p, "^[^>]*>?", "").alias("text"),
-        ),
+    name = "^[A-Za-z][A-Za-z0-9-]*"
+    return (
+        f"transform(filter(split({markup}, '<', -1), _p -> _p RLIKE '^[A-Za-z]'), (_p, _i) -> named_struct("
+        "'node_no', CAST(_i + 1 AS INT), "
+        f"'tag', lower(regexp_extract(_p, '{name}', 0)), "
+        f"'attrs', regexp_replace(substring_index(_p, '>', 1), '{name}', ''), "
+        "'text', regexp_replace(_p, '^[^>]*>?', '')))"
     )
 
 
@@ -88,59 +93,116 @@ def nodes(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "h
     walk would look; no node is dropped here.
     """
     return (
-        pages.select(*keys, _marked_up(F.col(html)).alias("_markup"))
-        .select(*keys, F.inline(_node_array(F.col("_markup"))))
+        pages.select(*keys, F.expr(_marked_up_sql(html)).alias("_markup"))
+        .select(*keys, F.expr(f"inline({_nodes_sql('_markup')})"))
         .withColumn("in_cap", F.col("node_no") <= fv.MAX_PAGE_NODES)
     )
 
 
-def is_skipped(tag: Column) -> Column:
-    return tag.isin(fv.SKIPPED_TAGS)
+def _names(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def skipped_sql(tag: str) -> str:
+    return f"{tag} IN ({_names(fv.SKIPPED_TAGS)})"
+
+
+def is_skipped(tag: str = "tag") -> Column:
+    return F.expr(skipped_sql(tag))
+
+
+def visible_sql(attrs: str) -> str:
+    style = attribute_sql(attrs, "style")
+    return f"NOT ({attrs} RLIKE {raw(HIDDEN_ATTR)} OR coalesce({style} RLIKE {raw(HIDDEN_STYLE)}, FALSE))"
 
 
-def is_visible(attrs: Column) -> Column:
-    style = F.coalesce(attribute(attrs, "style"), F.lit(""))
-    return ~(style.rlike(HIDDEN_STYLE) | attrs.rlike(HIDDEN_ATTR))
+def is_visible(attrs: str = "attrs") -> Column:
+    return F.expr(visible_sql(attrs))
 
 
-def role_of(tag: Column, attrs: Column) -> Column:
-    """Role of a node; null for a tag that can not become an element."""
+def role_sql(tag: str, attrs: str) -> str:
     return (
-        F.when(tag.isin("input", "textarea", "select"), tag)
-        .when(tag == "button", "button")
-        .when((tag == "a") & attribute(attrs, "href").isNotNull(), "link")
-        .when(tag == "img", "img")
-        .otherwise("element")
+        f"CASE WHEN {tag} IN ('input', 'textarea', 'select') THEN {tag} WHEN {tag} = 'button' THEN 'button' "
+        f"WHEN {tag} = 'a' AND {attribute_sql(attrs, 'href')} IS NOT NULL THEN 'link' "
+        f"WHEN {tag} = 'img' THEN 'img' ELSE 'element' END"
     )
 
 
-def _candidates(node_array: Column) -> Column:
+def role_of(tag: str = "tag", attrs: str = "attrs") -> Column:
+    """input, textarea, select, button, link, img or element."""
+    return F.expr(role_sql(tag, attrs))
+
+
+def _candidates_sql(nodes_sql: str) -> str:
     """Nodes that become elements, numbered per page; still one array per page."""
-    described = F.transform(
-        F.filter(node_array, lambda n: ~is_skipped(n["tag"]) & is_visible(n["attrs"])),
-        lambda n: F.struct(
-            n["node_no"].alias("node_no"), n["tag"].alias("tag"), n["attrs"].alias("attrs"),
-            n["text"].alias("text"),
-            role_of(n["tag"], n["attrs"]).alias("role"),
-            tx.short_text(tx.unescape(n["text"]), 120).alias("short"),
-        ),
+    visible = f"filter({nodes_sql}, _n -> NOT {skipped_sql('_n.tag')} AND {visible_sql('_n.attrs')})"
+    described = (
+        f"transform({visible}, _n -> named_struct('node_no', _n.node_no, 'tag', _n.tag, 'attrs', _n.attrs, "
+        f"'text', _n.text, 'role', {role_sql('_n.tag', '_n.attrs')}, "
+        f"'short', {tx.short_text_sql(tx.unescape_sql('_n.text'))}))"
     )
-    eligible = F.filter(
-        described,
-        lambda n: n["role"].isin("input", "textarea", "select", "button", "img")
-        | n["short"].isNotNull()
-        | ((n["role"] == "element") & n["tag"].isin(fv.CONTAINER_TAGS)),
+    eligible = (
+        f"filter({described}, _n -> _n.role IN ('input', 'textarea', 'select', 'button', 'img') "
+        f"OR _n.short IS NOT NULL OR (_n.role = 'element' AND _n.tag IN ({_names(fv.CONTAINER_TAGS)})))"
     )
     # Everything eligible is kept until the limit, so the position in this
     # array is the number of elements kept before.
-    kept = F.filter(
-        eligible,
-        lambda n, i: (n["role"] != "element") | n["short"].isNotNull() | (i <= fv.EMPTY_CONTAINERS_UNTIL),
+    return (
+        f"filter({eligible}, (_n, _i) -> _n.role <> 'element' OR _n.short IS NOT NULL "
+        f"OR _i <= {fv.EMPTY_CONTAINERS_UNTIL})"
+    )
+
+
+_SHOWN = "CASE WHEN _n.role IN ('select', 'button', 'link') THEN left(_n.short, 60) WHEN _n.role = 'element' THEN _n.short END"
+
+
+def shown_texts(html: str) -> Column:
+    """``array<struct<uid, text>>`` of the elements that show text, in page order."""
+    shown = f"transform({_candidates_sql(_nodes_sql(_marked_up_sql(html)))}, _n -> named_struct('uid', _n.node_no, 'text', {_SHOWN}))"
+    return F.expr(f"filter({shown}, _n -> _n.text IS NOT NULL)")
+
+
+def _described_sql(candidates: str) -> str:
+    """Element structs; every attribute is read once, and only where its role uses it."""
+    control = "_n.role IN ('input', 'textarea', 'select')"
+
+    def attr(name: str) -> str:
+        return attribute_sql("_n.attrs", name)
+
+    def for_controls(value: str) -> str:
+        return f"CASE WHEN {control} THEN {value} END"
+
+    # First label written for this id; an unlabelled control has position 0.
+    for_label = tx.unescape_sql("get(_for_text, CAST(array_position(_for, _id) AS INT) - 1)")
+    own_label = let_sql(
+        f"left(trim(coalesce({attr('data-wrapped-label')}, {for_label})), 80)", "_l", "CASE WHEN _l <> '' THEN _l END"
     )
-    return F.transform(kept, lambda n, i: F.struct(n["node_no"].alias("node_no"), n["tag"].alias("tag"),
-                                                   n["attrs"].alias("attrs"), n["text"].alias("text"),
-                                                   n["role"].alias("role"), n["short"].alias("short"),
-                                                   (i + 1).cast("int").alias("kept_no")))
+    fields = {
+        "uid": "_n.node_no",
+        "kept_no": "CAST(_i + 1 AS INT)",
+        "in_cap": f"_n.node_no <= {fv.MAX_PAGE_NODES} AND _i < {fv.MAX_PAGE_ELEMENTS}",
+        "tag": "_n.tag",
+        "role": "_n.role",
+        "input_type": f"CASE _n.role WHEN 'input' THEN coalesce(lower({attr('type')}), 'text') "
+                      "WHEN 'textarea' THEN 'textarea' WHEN 'select' THEN 'select-one' END",
+        "name": for_controls(attr("name")),
+        "id": "_id",
+        "autocomplete": for_controls(attr("autocomplete")),
+        "label": for_controls(f"coalesce({own_label}, {attr('aria-label')}, {attr('title')})"),
+        "placeholder": for_controls(attr("placeholder")),
+        "aria_label": for_controls(attr("aria-label")),
+        "class_name": f"left({attr('class')}, CASE WHEN _n.role = 'element' THEN 40 ELSE 60 END)",
+        "value": f"CASE _n.role WHEN 'input' THEN {attr('value')} WHEN 'textarea' THEN "
+                 + let_sql(tx.unescape_sql("_n.text"), "_t", "CASE WHEN _t <> '' THEN _t END") + " END",
+        "text": _SHOWN,
+        "src": f"CASE WHEN _n.role = 'img' THEN left({attr('src')}, 120) END",
+        "alt": f"CASE WHEN _n.role = 'img' THEN {attr('alt')} END",
+        "interactive": f"{control} OR _n.role IN ('button', 'link')",
+        "has_text": "_n.short IS NOT NULL",
+    }
+    struct = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+    own_id = f"CASE WHEN {control} OR _n.role = 'img' THEN {attr('id')} END"
+    return f"transform({candidates}, (_n, _i) -> {let_sql(own_id, '_id', struct)})"
 
 
 def elements(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html") -> DataFrame:
@@ -151,89 +213,22 @@ def elements(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str =
     before it; ``in_cap`` marks what a single-page walk would return (2000
     nodes, 500 elements).
     """
-    candidates = (
-        pages.select(*keys, _marked_up(F.col(html)).alias("_markup"))
+    return (
+        pages.select(*keys, F.expr(_marked_up_sql(html)).alias("_markup"))
         .select(
-            *keys,
+            *keys, "_markup",
             F.regexp_extract_all("_markup", F.lit(LABEL_FOR), F.lit(1)).alias("_for"),
             F.regexp_extract_all("_markup", F.lit(LABEL_FOR), F.lit(2)).alias("_for_text"),
-            _candidates(_node_array(F.col("_markup"))).alias("_nodes"),
         )
-        .select(*keys, "_for", "_for_text", F.inline("_nodes"))
-    )
-    return _described(candidates, keys)
-
-
-def shown_texts(html: Column) -> Column:
-    """``array<struct<uid, text>>`` of the elements that show text, in page order."""
-    shown = F.transform(
-        _candidates(_node_array(_marked_up(html))),
-        lambda n: F.struct(
-            n["node_no"].alias("uid"),
-            F.when(n["role"].isin("select", "button", "link"), F.left(n["short"], F.lit(60)))
-            .when(n["role"] == "element", n["short"]).alias("text"),
-        ),
-    )
-    return F.filter(shown, lambda e: e["text"].isNotNull())
-
-
-def _described(candidates: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    attrs, role = F.col("attrs"), F.col("role")
-    control = role.isin("input", "textarea", "select")
-    own_id = attribute(attrs, "id")
-    # First label written for this id; an unlabelled control has position 0.
-    at = F.array_position(F.col("_for"), own_id)
-    for_label = F.get(F.col("_for_text"), (at - 1).cast("int"))
-    wrapped = attribute(attrs, "data-wrapped-label")
-    label_text = F.left(F.trim(F.coalesce(wrapped, tx.unescape(for_label))), F.lit(80))
-    aria = attribute(attrs, "aria-label")
-    label = tx.first_filled(label_text, aria, attribute(attrs, "title"))
-    class_limit = F.when(role == "element", 40).otherwise(60)
-
-    def for_controls(value: Column) -> Column:
-        return F.when(control, value)
-
-    input_type = (
-        F.when(role == "input", F.coalesce(F.lower(attribute(attrs, "type")), F.lit("text")))
-        .when(role == "textarea", "textarea")
-        .when(role == "select", "select-one")
-    )
-    value = F.when(role == "input", attribute(attrs, "value")).when(
-        role == "textarea", tx.blank_to_null(tx.unescape(F.col("text")))
-    )
-    shown = (
-        F.when(role.isin("select", "button", "link"), F.left(F.col("short"), F.lit(60)))
-        .when(role == "element", F.col("short"))
-    )
-    return candidates.select(
-        *keys,
-        F.col("node_no").alias("uid"),
-        F.col("kept_no"),
-        ((F.col("node_no") <= fv.MAX_PAGE_NODES) & (F.col("kept_no") <= fv.MAX_PAGE_ELEMENTS)).alias("in_cap"),
-        F.col("tag"),
-        role,
-        input_type.alias("input_type"),
-        for_controls(attribute(attrs, "name")).alias("name"),
-        F.when(control | (role == "img"), own_id).alias("id"),
-        for_controls(attribute(attrs, "autocomplete")).alias("autocomplete"),
-        for_controls(label).alias("label"),
-        for_controls(attribute(attrs, "placeholder")).alias("placeholder"),
-        for_controls(aria).alias("aria_label"),
-        tx.blank_to_null(F.substring(attribute(attrs, "class"), F.lit(1), class_limit)).alias("class_name"),
-        value.alias("value"),
-        shown.alias("text"),
-        F.when(role == "img", tx.clip(attribute(attrs, "src"), 120)).alias("src"),
-        F.when(role == "img", attribute(attrs, "alt")).alias("alt"),
-        (control | role.isin("button", "link")).alias("interactive"),
-        F.col("short").isNotNull().alias("has_text"),
+        .select(*keys, F.expr(_described_sql(_candidates_sql(_nodes_sql("_markup")))).alias("_elements"))
+        .select(*keys, F.expr("inline_outer(_elements)"))
+        .where("uid IS NOT NULL")
     )
 
 
-def stacked_rect(uid: Column) -> Column:
+def stacked_rect(uid: str = "uid") -> Column:
     """Stand-in for layout: elements in one column, one below the other."""
-    return F.struct(
-        F.lit(STACK_X).alias("x"),
-        (F.lit(STACK_Y) + (uid - 1) * (STACK_H + STACK_GAP)).cast("int").alias("y"),
-        F.lit(STACK_W).alias("w"),
-        F.lit(STACK_H).alias("h"),
+    return F.expr(
+        f"named_struct('x', {STACK_X}, 'y', CAST({STACK_Y} + ({uid} - 1) * {STACK_H + STACK_GAP} AS INT),"
+        f" 'w', {STACK_W}, 'h', {STACK_H})"
     )

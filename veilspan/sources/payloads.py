@@ -119,7 +119,7 @@ def build(
         F.lit(None).cast("string").alias("image"),
     ).cast(PAYLOAD)
     return pages.select(*keys, payload.alias("payload")).withColumn(
-        "payload", scrub.scrub_value(F.col("payload"), PAYLOAD)
+        "payload", scrub.scrub_value("payload", PAYLOAD)
     )
 
 
