@@ -14,94 +14,124 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import fixed_values as fv
 from veilspan.functions import regexes as rx
-from veilspan.functions.spans import let
-from veilspan.functions.text import blank_to_null
+from veilspan.functions.spans import let_sql, raw
 
 VERDICT = "struct<category:string,confidence:double,source:string>"
+NO_VERDICT = f"CAST(NULL AS {VERDICT})"
 Rule = tuple[str, float, str]
 
+# Column names of an element table, as the field classifier reads them.
+FIELD_COLUMNS = [
+    "input_type", "autocomplete", "label", "placeholder", "aria_label", "name", "id", "class_name",
+]
 
-def verdict(category, confidence: float, source: str) -> Column:
-    category = category if isinstance(category, Column) else F.lit(category)
-    return F.struct(
-        category.alias("category"),
-        F.lit(confidence).cast("double").alias("confidence"),
-        F.lit(source).alias("source"),
-    ).cast(VERDICT)
 
+def _verdict(category: str, confidence: float, source: str) -> str:
+    return f"named_struct('category', {category}, 'confidence', {confidence!r}D, 'source', '{source}')"
 
-def no_verdict() -> Column:
-    return F.lit(None).cast(VERDICT)
 
+def joined_sql(separator: str, *values: str) -> str:
+    """Non-empty values with a separator; empty when there are none."""
+    filled = ", ".join(f"CASE WHEN {v} <> '' THEN {v} END" for v in values)
+    return f"concat_ws('{separator}', {filled})"
 
-def joined(separator: str, *values: Column) -> Column:
-    """Non-empty values with a separator; null when there are none."""
-    return blank_to_null(F.concat_ws(separator, *[blank_to_null(v) for v in values]))
 
+def first_rule_sql(text: str, rules: Sequence[Rule], source: str, skip: dict[str, str] | None = None) -> str:
+    """Verdict of the first rule whose pattern is found in a text that is not empty."""
 
-def first_rule(text: Column, rules: Sequence[Rule], source: str, skip=None) -> Column:
-    """Verdict of the first rule whose pattern is found in ``text``."""
+    def found(pattern: str) -> str:
+        return f"_hay RLIKE {raw(rx.java(pattern, ignore_case=True))}"
 
-    def chain(t: Column) -> Column:
-        cases = None
-        for category, confidence, pattern in rules:
-            hit = t.rlike(rx.java(pattern, ignore_case=True))
-            if skip is not None and category in skip:
-                hit = hit & ~t.rlike(rx.java(skip[category], ignore_case=True))
-            result = verdict(fv.REPORTED_AS.get(category, category), confidence, source)
-            cases = F.when(hit, result) if cases is None else cases.when(hit, result)
-        return cases if cases is not None else no_verdict()
+    cases = ["WHEN _hay = '' THEN NULL"]
+    for category, confidence, pattern in rules:
+        test = found(pattern)
+        if skip and category in skip:
+            test += f" AND NOT {found(skip[category])}"
+        reported = fv.REPORTED_AS.get(category, category)
+        cases.append(f"WHEN {test} THEN {_verdict(repr(reported), confidence, source)}")
+    return let_sql(text, "_hay", f"CASE {' '.join(cases)} ELSE {NO_VERDICT} END")
 
-    return F.when(text.isNotNull(), let(text, chain))
 
-
-def by_type(input_type: Column) -> Column:
+def by_type_sql(input_type: str) -> str:
     conf = fv.SOURCE_CONFIDENCE
+    told = conf["autocomplete"] * 0.98
     return (
-        F.when(input_type == "password", verdict("password", conf["type"], "type"))
-        .when(input_type == "email", verdict("email", conf["autocomplete"] * 0.98, "autocomplete"))
-        .when(input_type == "tel", verdict("phone", conf["autocomplete"] * 0.98, "autocomplete"))
+        f"CASE {input_type} WHEN 'password' THEN {_verdict(repr('password'), conf['type'], 'type')} "
+        f"WHEN 'email' THEN {_verdict(repr('email'), told, 'autocomplete')} "
+        f"WHEN 'tel' THEN {_verdict(repr('phone'), told, 'autocomplete')} END"
     )
 
 
-def by_autocomplete(autocomplete: Column) -> Column:
+def by_autocomplete_sql(autocomplete: str) -> str:
     """A 26-entry constant map: cheaper than a join, and it stays in the projection."""
-    entries = [F.lit(x) for pair in fv.AUTOCOMPLETE.items() for x in pair]
-    category = F.try_element_at(F.create_map(*entries), F.lower(autocomplete))
-    return F.when(
-        category.isNotNull(), verdict(category, fv.SOURCE_CONFIDENCE["autocomplete"], "autocomplete")
+    entries = ", ".join(f"'{k}', '{v}'" for k, v in fv.AUTOCOMPLETE.items())
+    verdict = _verdict("_known", fv.SOURCE_CONFIDENCE["autocomplete"], "autocomplete")
+    return let_sql(
+        f"try_element_at(map({entries}), lower({autocomplete}))", "_known",
+        f"CASE WHEN _known IS NOT NULL THEN {verdict} END",
     )
 
 
-def by_label(label: Column, placeholder: Column, aria_label: Column, extra: Sequence[Rule] = ()) -> Column:
-    return first_rule(
-        joined(" | ", label, placeholder, aria_label), [*extra, *fv.LABEL_RULES], "label"
+def by_label_sql(label: str, placeholder: str, aria_label: str, extra: Sequence[Rule] = ()) -> str:
+    return first_rule_sql(
+        joined_sql(" | ", label, placeholder, aria_label), [*extra, *fv.LABEL_RULES], "label"
     )
 
 
-def by_hint(name: Column, id_: Column, class_name: Column, extra: Sequence[Rule] = ()) -> Column:
-    return first_rule(
-        joined(" ", name, id_, class_name), [*extra, *fv.HINT_RULES], "hint",
+def by_hint_sql(name: str, id_: str, class_name: str, extra: Sequence[Rule] = ()) -> str:
+    return first_rule_sql(
+        joined_sql(" ", name, id_, class_name), [*extra, *fv.HINT_RULES], "hint",
         skip={"account_number": fv.ACCOUNT_HINT_GUARD},
     )
 
 
-def field(
-    input_type: Column, autocomplete: Column, label: Column, placeholder: Column,
-    aria_label: Column, name: Column, id_: Column, class_name: Column,
-    extra_labels: Sequence[Rule] = (), extra_hints: Sequence[Rule] = (),
-) -> Column:
-    """Type, then autocomplete, then label text, then identifier hints."""
-    return F.coalesce(
-        by_type(input_type),
-        by_autocomplete(autocomplete),
-        by_label(label, placeholder, aria_label, extra_labels),
-        by_hint(name, id_, class_name, extra_hints),
+def field_sql(of: str = "", extra_labels: Sequence[Rule] = (), extra_hints: Sequence[Rule] = ()) -> str:
+    """Type, then autocomplete, then label text, then identifier hints.
+
+    ``of`` is put in front of each column name (``"_n."`` inside a lambda).
+    """
+    c = {name: of + name for name in FIELD_COLUMNS}
+    return (
+        f"coalesce({by_type_sql(c['input_type'])}, {by_autocomplete_sql(c['autocomplete'])}, "
+        f"{by_label_sql(c['label'], c['placeholder'], c['aria_label'], extra_labels)}, "
+        f"{by_hint_sql(c['name'], c['id'], c['class_name'], extra_hints)})"
     )
 
 
-def image(src: Column, alt: Column, class_name: Column, id_: Column, extra: Sequence[Rule] = ()) -> Column:
-    return first_rule(joined(" ", src, alt, class_name, id_), [*extra, *fv.IMAGE_RULES], "image")
+def image_sql(of: str = "", extra: Sequence[Rule] = ()) -> str:
+    hay = joined_sql(" ", *[of + name for name in ("src", "alt", "class_name", "id")])
+    return first_rule_sql(hay, [*extra, *fv.IMAGE_RULES], "image")
+
+
+# The same over the columns of a table.
+
+def by_type() -> Column:
+    return F.expr(by_type_sql("input_type"))
+
+
+def by_autocomplete() -> Column:
+    return F.expr(by_autocomplete_sql("autocomplete"))
+
+
+def by_label(extra: Sequence[Rule] = ()) -> Column:
+    return F.expr(by_label_sql("label", "placeholder", "aria_label", extra))
+
+
+def by_hint(extra: Sequence[Rule] = ()) -> Column:
+    return F.expr(by_hint_sql("name", "id", "class_name", extra))
+
+
+def by_name(column: str, extra: Sequence[Rule] = ()) -> Column:
+    """Identifier hints over one column that holds names."""
+    return F.expr(by_hint_sql(column, "''", "''", extra))
+
+
+def field(extra_labels: Sequence[Rule] = (), extra_hints: Sequence[Rule] = ()) -> Column:
+    return F.expr(field_sql("", extra_labels, extra_hints))
+
+
+def image(extra: Sequence[Rule] = ()) -> Column:
+    return F.expr(image_sql("", extra))
 
 
 def confidence_of(source: Column) -> Column:

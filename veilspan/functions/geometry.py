@@ -100,6 +100,16 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(smaller > 0, shared_area(a, b) / smaller).otherwise(F.lit(0.0))
 
 
+def overlap_sql(a: str, b: str) -> str:
+    """:func:`overlap` in SQL text, for use inside a lambda."""
+    def side(at: str, size: str) -> str:
+        far = f"least({a}.{at} + {a}.{size}, {b}.{at} + {b}.{size})"
+        return f"greatest(0, {far} - greatest({a}.{at}, {b}.{at}))"
+
+    smaller = f"least({a}.w * {a}.h, {b}.w * {b}.h)"
+    return f"CASE WHEN {smaller} > 0 THEN {side('x', 'w')} * {side('y', 'h')} / {smaller} ELSE 0D END"
+
+
 def hull(a: Column, b: Column) -> Column:
     """Bounding box of two boxes; its far corner never lies left of or above the origin."""
     x, y = F.least(a["x"], b["x"]), F.least(a["y"], b["y"])

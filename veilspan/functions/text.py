@@ -54,15 +54,18 @@ def tokens(value: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
-def scan_source(input_type: Column, value: Column, text: Column) -> Column:
+def scan_source_sql(of: str = "") -> str:
     """The text of an element that may be scanned; a password never is."""
     return (
-        F.when(input_type == "password", F.lit(None).cast("string"))
-        .when(F.coalesce(value, F.lit("")) != "", value)
-        .when(F.length(text) < fv.ELEMENT_SCAN_CHARS, blank_to_null(text))
+        f"CASE WHEN {of}input_type = 'password' THEN NULL WHEN {of}value <> '' THEN {of}value "
+        f"WHEN {of}text <> '' AND length({of}text) < {fv.ELEMENT_SCAN_CHARS} THEN {of}text END"
     )
 
 
+def first_filled_sql(*values: str) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN {v} <> '' THEN {v} END" for v in values) + ")"
+
+
 def luma(color: Column) -> Column:
     """Perceived brightness 0..1 of an ``rgb()`` or ``rgba()`` string; null otherwise."""
     pattern = r"rgba?\((\d+),\s*(\d+),\s*(\d+)"
@@ -98,5 +101,5 @@ def unescape_sql(value: str) -> str:
 
 
 def short_text_sql(value: str, limit: int = 120) -> str:
-    collapsed = f"left(trim(regexp_replace({value}, r'\s+', ' ')), {limit})"
+    collapsed = f"left(trim(regexp_replace({value}, r'\\s+', ' ')), {limit})"
     return let_sql(collapsed, "_t", "CASE WHEN _t <> '' THEN _t END")

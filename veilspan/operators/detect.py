@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions import classify, spans
@@ -46,34 +46,43 @@ def counted_rows(counted: DataFrame, *keys: str) -> DataFrame:
     return counted.select(*keys, F.explode_outer("counts").alias("category", "n")).where(F.col("n").isNotNull())
 
 
-def _one(verdict: Column, match: Column) -> Column:
-    detection = F.struct(
-        verdict["category"].alias("category"), verdict["confidence"].alias("confidence"),
-        verdict["source"].alias("source"), match.alias("match"),
-    ).cast(DETECTION)
-    return F.when(verdict.isNotNull(), F.array(detection)).otherwise(F.array().cast(f"array<{DETECTION}>"))
-
+def detections_sql(
+    of: str = "", extra_labels: Sequence[classify.Rule] = (), extra_hints: Sequence[classify.Rule] = (),
+    extra_images: Sequence[classify.Rule] = (),
+) -> str:
+    """SQL array of an element's detections: text hits, field class, image class.
 
-def text_detections(found: Column) -> Column:
-    return F.transform(
-        found,
-        lambda s: F.struct(
-            s["category"].alias("category"),
-            F.lit(fv.SOURCE_CONFIDENCE["value"]).alias("confidence"),
-            F.lit("text").alias("source"),
-            s["match"].alias("match"),
-        ).cast(DETECTION),
+    ``of`` is put in front of each element column (``"_n."`` inside a lambda).
+    """
+    none = f"CAST(array() AS array<{DETECTION}>)"
+    hit = (
+        f"named_struct('category', _h.category, 'confidence', {fv.SOURCE_CONFIDENCE['value']}D, "
+        "'source', 'text', 'match', _h.match)"
     )
+    scanned = spans.let_sql(tx.scan_source_sql(of), "_text", spans.scan_sql("_text"))
+    texts = f"transform({scanned}, _h -> {hit})"
+
+    def one(verdict: str, match: str, when: str) -> str:
+        detection = (
+            "named_struct('category', _v.category, 'confidence', _v.confidence, 'source', _v.source, "
+            f"'match', {match})"
+        )
+        found = spans.let_sql(verdict, "_v", f"CASE WHEN _v IS NOT NULL THEN array({detection}) ELSE {none} END")
+        return f"CASE WHEN {when} THEN {found} ELSE {none} END"
+
+    field = one(
+        classify.field_sql(of, extra_labels, extra_hints), tx.first_filled_sql(of + "label", of + "placeholder"),
+        f"{of}role IN ('input', 'textarea', 'select')",
+    )
+    image = one(classify.image_sql(of, extra_images), of + "alt", f"{of}role = 'img'")
+    return f"CAST(concat({texts}, {field}, {image}) AS array<{DETECTION}>)"
 
 
-def field_verdict(
-    extra_labels: Sequence[classify.Rule] = (), extra_hints: Sequence[classify.Rule] = ()
-) -> Column:
-    """Classifier over the columns of an element table."""
-    c = F.col
-    return classify.field(
-        c("input_type"), c("autocomplete"), c("label"), c("placeholder"), c("aria_label"),
-        c("name"), c("id"), c("class_name"), extra_labels, extra_hints,
+def _padded(rect: str) -> str:
+    pad = fv.BOX_PAD
+    return (
+        f"named_struct('x', {rect}.x - {pad}, 'y', {rect}.y - {pad}, "
+        f"'w', {rect}.w + {2 * pad}, 'h', {rect}.h + {2 * pad})"
     )
 
 
@@ -84,39 +93,45 @@ def element_detections(
     extra_hints: Sequence[classify.Rule] = (),
     extra_images: Sequence[classify.Rule] = (),
 ) -> DataFrame:
-    """Text hits, field class and image class of every element.
+    """Text hits, field class and image class of every row of an element table.
 
-    The feeds are concatenated in the row, so the pages are parsed once and
-    nothing is shuffled.  ``det_no`` is the order within the element.
-    Expects a ``rect`` column; the box is padded by 2.
+    The feeds are concatenated in the row, so nothing is shuffled.  ``det_no``
+    is the order within the element.  Expects a ``rect`` column; the box is
+    padded by 2.
     """
     c = F.col
-    field = F.when(c("role").isin("input", "textarea", "select"), field_verdict(extra_labels, extra_hints))
-    image = F.when(
-        c("role") == "img", classify.image(c("src"), c("alt"), c("class_name"), c("id"), extra_images)
-    )
-    found = elements.select(
-        *keys, "uid", "rect", "label", "placeholder", "alt",
-        tx.scan_source(c("input_type"), c("value"), c("text")).alias("_scanned"),
-        field.alias("_field"), image.alias("_image"),
-    )
-    feeds = F.concat(
-        text_detections(spans.scan("_scanned")),
-        _one(c("_field"), tx.first_filled(c("label"), c("placeholder"))),
-        _one(c("_image"), c("alt")),
-    )
+    found = F.expr(detections_sql("", extra_labels, extra_hints, extra_images))
     return (
-        found.select(*keys, "uid", "rect", feeds.alias("_all"))
-        .select(*keys, "uid", geo.pad(c("rect"), fv.BOX_PAD).alias("rect"), F.posexplode_outer("_all"))
+        elements.select(*keys, "uid", F.expr(_padded("rect")).alias("rect"), found.alias("_all"))
+        .select(*keys, "uid", "rect", F.posexplode_outer("_all"))
         .where(c("col").isNotNull())
         .select(*keys, "uid", (c("pos") + 1).alias("det_no"), "col.*", "rect")
     )
 
 
+# --- whole pages in one row -------------------------------------------------------------------
+
+def page_rows(pages: DataFrame, keys: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:
+    """Pages with their ``elements`` and ``detections`` as arrays.
+
+    A page is parsed and scanned once, inside its row; elements, detections,
+    summaries and payloads are all read from these two arrays.  Every element
+    has a stacked ``rect``.
+    """
+    per_element = (
+        f"transform({detections_sql('_n.')}, (_d, _k) -> named_struct('uid', _n.uid, 'det_no', CAST(_k + 1 AS INT), "
+        "'category', _d.category, 'confidence', _d.confidence, 'source', _d.source, 'match', _d.match, "
+        f"'rect', {_padded('_n.rect')}))"
+    )
+    return pg.element_arrays(pages, tuple(keys), html).withColumn(
+        "detections", F.expr(f"flatten(transform(elements, _n -> {per_element}))")
+    )
+
+
 def page_detections(pages: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """Detections of raw HTML pages, with stacked boxes."""
-    els = pg.elements(pages, tuple(keys)).withColumn("rect", pg.stacked_rect())
-    return element_detections(els, keys)
+    rows = page_rows(pages, keys).select(*keys, F.expr("inline_outer(detections)"))
+    return rows.where("uid IS NOT NULL")
 
 
 def body_hit_owners(pages: DataFrame, keys: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:
@@ -129,15 +144,12 @@ def body_hit_owners(pages: DataFrame, keys: Sequence[str] = ("page_id",), html:
     owners = pages.select(*keys, html, pg.body_text(html).alias("_body")).select(
         *keys, spans.scan("_body").alias("_hits"), pg.shown_texts(html).alias("_shown")
     )
-    attributed = F.transform(
-        F.col("_hits"),
-        lambda h, i: F.struct(
-            (i + 1).alias("hit_no"), h["category"].alias("category"), h["match"].alias("match"),
-            F.get(F.filter(F.col("_shown"), lambda e: e["text"].contains(h["match"])), F.lit(0))["uid"].alias("uid"),
-        ),
+    attributed = (
+        "transform(_hits, (_h, _i) -> named_struct('hit_no', _i + 1, 'category', _h.category, 'match', _h.match, "
+        "'uid', get(filter(_shown, _e -> contains(_e.text, _h.match)), 0).uid))"
     )
     return (
-        owners.select(*keys, F.inline_outer(attributed))
+        owners.select(*keys, F.expr(f"inline_outer({attributed})"))
         .where(F.col("uid").isNotNull())
         .withColumn("confidence", F.lit(fv.SOURCE_CONFIDENCE["text"]))
         .withColumn("source", F.lit("text"))
@@ -145,34 +157,35 @@ def body_hit_owners(pages: DataFrame, keys: Sequence[str] = ("page_id",), html:
     )
 
 
-def summaries(elements: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
-    """What may leave: controls, and at most 60 short texts a page; never values.
+def summaries_sql(elements: str, detections: str) -> str:
+    """SQL array of what may leave of a page: controls, and at most 60 short texts; never values.
 
-    The text rows of a page are numbered by a window over the page; its rows
-    are already limited per partition by ``row_number() <= 60``.
+    A row takes the category of the first detection that covers more than half of it.
     """
-    from pyspark.sql import Window
-
-    c = F.col
-    control = c("role").isin("input", "textarea", "select", "button", "img")
-    typed = c("role").isin("input", "textarea")
-    label = F.when(typed, tx.first_filled(c("label"), c("placeholder"))).otherwise(
-        tx.first_filled(c("text"), c("label"))
+    own = tx.first_filled_sql("_n.label", "_n.placeholder")
+    shown = tx.first_filled_sql("_n.text", "_n.label")
+    label = f"coalesce(CASE WHEN _n.role IN ('input', 'textarea') THEN {own} ELSE {shown} END, '')"
+    labelled = (
+        f"transform(filter({elements}, _n -> _n.role <> 'link'), _n -> named_struct('n', _n, 'label', {label}, "
+        "'control', _n.role <> 'element'))"
     )
-    rows = (
-        elements.where(control | (c("role") == "element"))
-        .withColumn("_label", F.coalesce(label, F.lit("")))
-        .withColumn("_control", control)
+    short = f"length(trim(_x.label)) BETWEEN 2 AND {fv.SUMMARY_TEXT_CHARS}"
+    texts = f"slice(filter(_all, _x -> NOT _x.control AND {short}), 1, {fv.SUMMARY_TEXT_ROWS})"
+    chosen = f"array_sort(concat(filter(_all, _x -> _x.control), {texts}), (_a, _b) -> _a.n.uid - _b.n.uid)"
+    covering = (
+        f"get(filter({detections}, _d -> _d.source <> 'face-model' AND {geo.overlap_sql('_d.rect', '_x.n.rect')} "
+        f"> {fv.SAME_BOX_OVERLAP}), 0).category"
     )
-    out_columns = [
-        *keys, "role", c("uid").alias("id"), "rect",
-        tx.ellipsize(c("_label"), fv.SUMMARY_LABEL_CHARS).alias("text"),
-        "input_type", F.coalesce(c("interactive"), F.lit(False)).alias("interactive"),
-    ]
-    size = F.length(F.trim("_label"))
-    texts = rows.where(~c("_control") & (size >= 2) & (size <= fv.SUMMARY_TEXT_CHARS))
-    place = Window.partitionBy(*keys).orderBy("uid")
-    first_texts = texts.withColumn("_n", F.row_number().over(place)).where(
-        c("_n") <= fv.SUMMARY_TEXT_ROWS
+    limit = fv.SUMMARY_LABEL_CHARS
+    row = (
+        "named_struct('role', _x.n.role, 'id', _x.n.uid, 'rect', _x.n.rect, "
+        f"'text', CASE WHEN length(_x.label) > {limit} THEN concat(left(_x.label, {limit}), '{tx.ELLIPSIS}') ELSE _x.label END, "
+        f"'inputType', _x.n.input_type, 'interactive', _x.n.interactive, 'piiCategory', {covering})"
     )
-    return rows.where("_control").select(*out_columns).unionByName(first_texts.select(*out_columns))
+    return spans.let_sql(labelled, "_all", f"transform({chosen}, _x -> {row})")
+
+
+def summaries(rows: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
+    """Summary rows of :func:`page_rows`."""
+    listed = rows.select(*keys, F.expr(f"inline_outer({summaries_sql('elements', 'detections')})"))
+    return listed.where("id IS NOT NULL")

@@ -79,16 +79,9 @@ def _spread_verdict(df: DataFrame, key: str, verdict) -> DataFrame:
 _FULL = f"SELECT field_id, {verdict_sql('category')} AS category, {verdict_sql('confidence')} AS confidence, {verdict_sql('source')} AS source FROM fields"
 
 
-def _field_verdict():
-    return classify.field(
-        c("input_type"), c("autocomplete"), c("label"), c("placeholder"), c("aria_label"),
-        c("name"), c("id"), c("class_name"),
-    )
-
-
 @query("classify_fields", f"WITH {FIELDS_SQL} {_FULL}")
 def classify_fields(spark, d):
-    return _spread_verdict(derived.fields(spark, d), "field_id", _field_verdict())
+    return _spread_verdict(derived.fields(spark, d), "field_id", classify.field())
 
 
 @query(
@@ -96,7 +89,7 @@ def classify_fields(spark, d):
     f"WITH {FIELDS_SQL} SELECT field_id, {TYPE_CATEGORY} AS category, {TYPE_CONFIDENCE} AS confidence, {TYPE_SOURCE} AS source FROM fields",
 )
 def classify_by_type(spark, d):
-    return _spread_verdict(derived.fields(spark, d), "field_id", classify.by_type(c("input_type")))
+    return _spread_verdict(derived.fields(spark, d), "field_id", classify.by_type())
 
 
 @query(
@@ -106,7 +99,7 @@ def classify_by_type(spark, d):
     "CASE WHEN category IS NOT NULL THEN 'autocomplete' END AS source FROM a",
 )
 def classify_by_autocomplete(spark, d):
-    return _spread_verdict(derived.fields(spark, d), "field_id", classify.by_autocomplete(c("autocomplete")))
+    return _spread_verdict(derived.fields(spark, d), "field_id", classify.by_autocomplete())
 
 
 _L = duck.rule_case(_HAY, fv.LABEL_RULES, "category")
@@ -120,7 +113,7 @@ _H = duck.rule_case(_IDENT, fv.HINT_RULES, "category", _GUARD)
 )
 def classify_by_label(spark, d):
     return _spread_verdict(
-        derived.fields(spark, d), "field_id", classify.by_label(c("label"), c("placeholder"), c("aria_label"))
+        derived.fields(spark, d), "field_id", classify.by_label()
     )
 
 
@@ -131,7 +124,7 @@ def classify_by_label(spark, d):
 )
 def classify_by_hint(spark, d):
     return _spread_verdict(
-        derived.fields(spark, d), "field_id", classify.by_hint(c("name"), c("id"), c("class_name"))
+        derived.fields(spark, d), "field_id", classify.by_hint()
     )
 
 
@@ -141,8 +134,7 @@ def classify_by_hint(spark, d):
     f"CASE WHEN {image_sql('category')} IS NOT NULL THEN 'image' END AS source FROM images",
 )
 def classify_images(spark, d):
-    verdict = classify.image(c("src"), c("alt"), c("class_name"), c("id"))
-    return _spread_verdict(derived.images(spark, d), "image_id", verdict)
+    return _spread_verdict(derived.images(spark, d), "image_id", classify.image())
 
 
 _USER_RULES = [("travel", 0.5, "(travel|from|passenger)"), ("company", 0.4, "company")]
@@ -157,7 +149,7 @@ def classify_with_user_rules(spark, d):
     rules = spark.createDataFrame(
         [(i, *r) for i, r in enumerate(_USER_RULES)], "rule_no int, category string, confidence double, pattern string"
     )
-    verdict = classify.by_label(c("label"), c("placeholder"), c("aria_label"), classify.rules_from(rules))
+    verdict = classify.by_label(classify.rules_from(rules))
     return _spread_verdict(derived.fields(spark, d), "field_id", verdict).drop("source")
 
 
@@ -209,8 +201,7 @@ _NAME_RULES = duck.rule_case("column_name", fv.HINT_RULES, "category", _GUARD)
     f"{duck.rule_case('column_name', fv.HINT_RULES, 'confidence', _GUARD)} AS confidence FROM col_values",
 )
 def classify_columns(spark, d):
-    none = F.lit(None).cast("string")
-    return column_values(spark, d).withColumn("v", classify.by_hint(c("column_name"), none, none)).select(
+    return column_values(spark, d).withColumn("v", classify.by_name("column_name")).select(
         "table_name", "column_name", "n_values", "v.category", "v.confidence"
     )
 
@@ -309,9 +300,8 @@ def truncate_attrs(spark, d):
 )
 def scan_source(spark, d):
     value = F.when(c("field_id") % 4 != 0, c("value"))
-    return derived.fields(spark, d).select(
-        "field_id", tx.scan_source(c("input_type"), value, c("label")).alias("scanned")
-    )
+    rows = derived.fields(spark, d).withColumn("value", value).withColumn("text", c("label"))
+    return rows.select("field_id", F.expr(tx.scan_source_sql()).alias("scanned"))
 
 
 @query(
@@ -435,7 +425,7 @@ _EXPECTED_SQL = "expected(scenario, label, expected) AS (VALUES " + ", ".join(
 def judged_fields(spark, d) -> DataFrame:
     """Fields that have an expected category; the 28-row label table is broadcast."""
     expected = spark.createDataFrame(_EXPECTED_ROWS, "scenario string, label string, expected string")
-    fields = derived.fields(spark, d).withColumn("got", _field_verdict()["category"])
+    fields = derived.fields(spark, d).withColumn("got", classify.field()["category"])
     joined = fields.join(F.broadcast(expected), ["scenario", "label"])
     return joined.withColumn("verdict", evaluate.field_verdict(c("expected"), c("got")))
 

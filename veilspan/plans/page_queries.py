@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspan.functions import fixed_values as fv
-from veilspan.functions import scrub
+from veilspan.functions import classify, scrub
 from veilspan.functions import text as tx
 from veilspan.operators import agent, detect
 from veilspan.plans import derived, duck
@@ -258,9 +258,8 @@ summaries AS (SELECT page_id, role, uid AS id, CASE WHEN length(lbl) > 60 THEN l
   input_type, interactive, 24 + (uid - 1) * 52 AS y FROM (SELECT * FROM labelled WHERE control UNION ALL SELECT * EXCLUDE (n) FROM texts))"""
 
 
-def summarized(spark, d) -> DataFrame:
-    els = pg.elements(derived.form_pages(spark, d)).withColumn("rect", pg.stacked_rect())
-    return detect.summaries(els)
+def summarized(pages: DataFrame) -> DataFrame:
+    return detect.summaries(detect.page_rows(pages))
 
 
 @query(
@@ -268,7 +267,9 @@ def summarized(spark, d) -> DataFrame:
     f"WITH {_ELEMENTS}, {summaries_ctes()} SELECT page_id, role, id, text, input_type, interactive, CAST(y AS BIGINT) AS y FROM summaries",
 )
 def summarize_elements(spark, d):
-    return summarized(spark, d).select("page_id", "role", "id", "text", "input_type", "interactive", c("rect.y").alias("y"))
+    return summarized(derived.form_pages(spark, d)).select(
+        "page_id", "role", "id", "text", c("inputType").alias("input_type"), "interactive", c("rect.y").alias("y")
+    )
 
 
 @query(
@@ -277,8 +278,7 @@ def summarize_elements(spark, d):
     "CAST(sum(length(text)) AS BIGINT) AS n_chars FROM summaries GROUP BY 1",
 )
 def summary_cap(spark, d):
-    els = pg.elements(raw_pages(spark, d)).withColumn("rect", pg.stacked_rect())
-    return detect.summaries(els).groupBy("page_id").agg(
+    return summarized(raw_pages(spark, d)).groupBy("page_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(F.when(c("role") == "element", 1)).alias("n_texts"),
         F.sum(F.length("text")).alias("n_chars"),
     )
@@ -299,9 +299,7 @@ def row_caps(spark, d):
 
 
 def page_payloads(spark, d) -> DataFrame:
-    els = pg.elements(derived.form_pages(spark, d)).withColumn("rect", pg.stacked_rect())
-    found = detect.element_detections(els)
-    return payloads.build(els, found, ["page_id"], task="Fill the form")
+    return payloads.build(detect.page_rows(derived.form_pages(spark, d)), ["page_id"], task="Fill the form")
 
 
 _PAYLOAD_SQL = f"""{_DETECTIONS}, capped AS (SELECT * FROM elements WHERE in_cap), {summaries_ctes('capped')},
@@ -544,6 +542,6 @@ def field_lookup(spark, d):
     fields = table(spark, d, "customer").selectExpr(*derived.FIELDS, "c_nationkey AS page")
     described = fields.select(
         "page", c("field_id").alias("uid"), "role", c("label").alias("text"),
-        (c("field_id") % 3 != 0).alias("interactive"), detect.field_verdict()["category"].alias("pii_category"),
+        (c("field_id") % 3 != 0).alias("interactive"), classify.field()["category"].alias("pii_category"),
     )
     return agent.find_fields(described, ["page"], _WANTED)

@@ -162,6 +162,14 @@ def shown_texts(html: str) -> Column:
     return F.expr(f"filter({shown}, _n -> _n.text IS NOT NULL)")
 
 
+def _stacked_sql(uid: str) -> str:
+    """Stand-in for layout: elements in one column, one below the other."""
+    return (
+        f"named_struct('x', {STACK_X}, 'y', CAST({STACK_Y} + ({uid} - 1) * {STACK_H + STACK_GAP} AS INT), "
+        f"'w', {STACK_W}, 'h', {STACK_H})"
+    )
+
+
 def _described_sql(candidates: str) -> str:
     """Element structs; every attribute is read once, and only where its role uses it."""
     control = "_n.role IN ('input', 'textarea', 'select')"
@@ -199,20 +207,15 @@ def _described_sql(candidates: str) -> str:
         "alt": f"CASE WHEN _n.role = 'img' THEN {attr('alt')} END",
         "interactive": f"{control} OR _n.role IN ('button', 'link')",
         "has_text": "_n.short IS NOT NULL",
+        "rect": _stacked_sql("_n.node_no"),
     }
     struct = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
     own_id = f"CASE WHEN {control} OR _n.role = 'img' THEN {attr('id')} END"
     return f"transform({candidates}, (_n, _i) -> {let_sql(own_id, '_id', struct)})"
 
 
-def elements(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html") -> DataFrame:
-    """One row per element of a page with its role, attributes and text.
-
-    ``uid`` is the node number and ``kept_no`` the element's place on its page.
-    A container without text is kept only while at most 200 elements are kept
-    before it; ``in_cap`` marks what a single-page walk would return (2000
-    nodes, 500 elements).
-    """
+def element_arrays(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html") -> DataFrame:
+    """Each page with an array of its elements."""
     return (
         pages.select(*keys, F.expr(_marked_up_sql(html)).alias("_markup"))
         .select(
@@ -220,15 +223,17 @@ def elements(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str =
             F.regexp_extract_all("_markup", F.lit(LABEL_FOR), F.lit(1)).alias("_for"),
             F.regexp_extract_all("_markup", F.lit(LABEL_FOR), F.lit(2)).alias("_for_text"),
         )
-        .select(*keys, F.expr(_described_sql(_candidates_sql(_nodes_sql("_markup")))).alias("_elements"))
-        .select(*keys, F.expr("inline_outer(_elements)"))
-        .where("uid IS NOT NULL")
+        .select(*keys, F.expr(_described_sql(_candidates_sql(_nodes_sql("_markup")))).alias("elements"))
     )
 
 
-def stacked_rect(uid: str = "uid") -> Column:
-    """Stand-in for layout: elements in one column, one below the other."""
-    return F.expr(
-        f"named_struct('x', {STACK_X}, 'y', CAST({STACK_Y} + ({uid} - 1) * {STACK_H + STACK_GAP} AS INT),"
-        f" 'w', {STACK_W}, 'h', {STACK_H})"
-    )
+def elements(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html") -> DataFrame:
+    """One row per element of a page with its role, attributes, text and stacked box.
+
+    ``uid`` is the node number and ``kept_no`` the element's place on its page.
+    A container without text is kept only while at most 200 elements are kept
+    before it; ``in_cap`` marks what a single-page walk would return (2000
+    nodes, 500 elements).
+    """
+    rows = element_arrays(pages, keys, html).select(*keys, F.expr("inline_outer(elements)"))
+    return rows.where("uid IS NOT NULL")

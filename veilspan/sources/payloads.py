@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from veilspan.functions import fixed_values as fv
 from veilspan.functions import scrub
+from veilspan.functions.spans import let_sql
 from veilspan.operators import detect
 
 SCHEMA_TAG = "veilspan/1"
@@ -60,65 +61,39 @@ def intake(
 
 
 def build(
-    elements: DataFrame, detections: DataFrame, keys: Sequence[str],
-    audits: DataFrame | None = None, scheme: str = "blur", task: str | None = None,
+    rows: DataFrame, keys: Sequence[str], scheme: str = "blur", task: str | None = None,
     viewport: tuple[int, int, float] = (640, 1100, 1.0), step: int = 1,
 ) -> DataFrame:
-    """One outgoing payload per page, already scrubbed.
+    """One outgoing payload per page, already scrubbed; a narrow step over ``detect.page_rows``.
 
-    ``elements`` and ``detections`` need a ``rect``.  A summary row takes the
-    category of the first detection that covers more than half of it.  A page's
-    summaries are limited (500 elements, 60 of them texts), so the list that is
-    collected per page is bounded.
+    Lists the elements a single-page walk would return.  When the rows have the
+    columns of a redaction audit (``char_delta``, ``size_ratio``, ``coverage``),
+    the payload reports them.
     """
-    from veilspan.operators import boxes
-
-    limited = elements.where("in_cap")
-    rows = detect.summaries(limited, keys)
-    tagged = boxes.first_overlapping(
-        rows, detections.where(F.col("source") != "face-model"), keys,
-        F.struct("uid", "det_no"), "category",
-    ).withColumnRenamed("category", "pii_category")
-    item = F.struct(
-        F.col("role"), F.col("id"), F.col("rect"), F.col("text"),
-        F.col("input_type").alias("inputType"), F.col("interactive"),
-        F.col("pii_category").alias("piiCategory"),
-    )
-    listed = tagged.groupBy(*keys).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col("id").alias("_o"), item.alias("e")))), lambda x: x["e"]
-        ).alias("elements")
-    )
-    counts = (
-        detections.groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories"))
-    )
-    pages = listed.join(counts, list(keys), "left")
-    audit = F.struct(
-        F.lit(None).cast("double").alias("pixelDelta"), F.lit(None).cast("double").alias("byteDelta"),
-        F.lit(None).cast("double").alias("redactionCoverage"),
-    )
-    if audits is not None:
-        pages = pages.join(audits.select(*keys, "char_delta", "size_ratio", "coverage"), list(keys), "left")
-        audit = F.struct(
-            F.col("char_delta").alias("pixelDelta"), F.col("size_ratio").alias("byteDelta"),
-            F.col("coverage").alias("redactionCoverage"),
-        )
-    categories = F.coalesce("categories", F.create_map().cast("map<string,bigint>"))
     w, h, scale = viewport
+    told = {"pixelDelta": "char_delta", "byteDelta": "size_ratio", "redactionCoverage": "coverage"}
+    audit = F.struct(*[
+        (F.col(source) if source in rows.columns else F.lit(None)).cast("double").alias(name)
+        for name, source in told.items()
+    ])
+    names = "array_sort(array_distinct(transform(detections, _d -> _d.category)))"
+    counts = "map_from_arrays(_names, transform(_names, _c -> CAST(size(filter(detections, _d -> _d.category = _c)) AS BIGINT)))"
+    categories = F.expr(let_sql(names, "_names", counts))
+    listed = F.expr(detect.summaries_sql("filter(elements, _e -> _e.in_cap)", "detections"))
+    described = rows.select(*keys, audit.alias("_audit"), categories.alias("_counts"), listed.alias("_listed"))
     payload = F.struct(
         F.lit(SCHEMA_TAG).alias("schema"),
         F.struct(
             F.lit(scheme).alias("scheme"), F.lit(REPORT_VERSION).alias("version"),
-            categories.alias("categories"),
-            F.coalesce(F.try_element_at(categories, F.lit("face")), F.lit(0)).alias("faceCount"),
-            audit.alias("audit"),
+            F.col("_counts").alias("categories"),
+            F.coalesce(F.try_element_at("_counts", F.lit("face")), F.lit(0)).alias("faceCount"),
+            F.col("_audit").alias("audit"),
         ).alias("redaction"),
         F.struct(F.lit(w).alias("w"), F.lit(h).alias("h"), F.lit(scale).alias("scale")).alias("viewport"),
-        F.col("elements"), F.lit(task).cast("string").alias("task"), F.lit(step).alias("step"),
+        F.col("_listed").alias("elements"), F.lit(task).cast("string").alias("task"), F.lit(step).alias("step"),
         F.lit(None).cast("string").alias("image"),
     ).cast(PAYLOAD)
-    return pages.select(*keys, payload.alias("payload")).withColumn(
+    return described.select(*keys, payload.alias("payload")).withColumn(
         "payload", scrub.scrub_value("payload", PAYLOAD)
     )
 
