@@ -179,46 +179,59 @@ def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- boxes from order lines -----------------------------------------------------------------------
 
-BOXES = [
-    "l_orderkey AS img",
-    "l_linenumber AS box_no",
-    "l_partkey", "l_suppkey", "l_extendedprice",
-    "CAST(l_partkey % 400 AS INT) AS x",
-    "CAST(l_suppkey % 300 AS INT) AS y",
-    "20 + CAST(l_quantity AS INT) AS w",
-    "20 + CAST(l_quantity AS INT) % 17 AS h",
-    "1 - l_discount AS score",
-    pick("l_partkey + l_linenumber", ["email", "phone", "name", "face"]) + " AS category",
-    pick("l_suppkey", ["text", "label", "face-model", "hint"]) + " AS source",
+# Ten consecutive orders make an image of about forty boxes.
+_BOX_KEYS = [
+    "l_orderkey - l_orderkey % 10 AS img", "l_linenumber AS box_no",
+    "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice",
 ]
+_RECT = {
+    "x": "CAST(l_partkey % 400 AS INT)", "y": "CAST(l_suppkey % 300 AS INT)",
+    "w": "20 + CAST(l_quantity AS INT)", "h": "20 + CAST(l_quantity AS INT) % 17",
+}
 # A second box near the first, as a model would predict it.
+_NEAR = {
+    "x": f"{_RECT['x']} + CAST(l_suppkey % 9 AS INT) - 4", "y": f"{_RECT['y']} + CAST(l_partkey % 7 AS INT) - 3",
+    "w": f"{_RECT['w']} + CAST(l_partkey % 5 AS INT)", "h": f"{_RECT['h']} + CAST(l_suppkey % 5 AS INT)",
+}
+_KINDS = ["email", "phone", "name", "face"]
+_SOURCE = pick("l_suppkey", ["text", "label", "face-model", "hint"]) + " AS source"
+_NEAR_KIND = pick("l_partkey + l_linenumber + (CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END)", _KINDS)
+
+BOXES = [
+    *_BOX_KEYS, *[f"{v} AS {k}" for k, v in _RECT.items()], "1 - l_discount AS score",
+    pick("l_partkey + l_linenumber", _KINDS) + " AS category", _SOURCE,
+]
 PREDICTED = [
-    *BOXES[:5],
-    "CAST(l_partkey % 400 AS INT) + CAST(l_suppkey % 9 AS INT) - 4 AS x",
-    "CAST(l_suppkey % 300 AS INT) + CAST(l_partkey % 7 AS INT) - 3 AS y",
-    "20 + CAST(l_quantity AS INT) + CAST(l_partkey % 5 AS INT) AS w",
-    "20 + CAST(l_quantity AS INT) % 17 + CAST(l_suppkey % 5 AS INT) AS h",
-    "1 - l_tax AS score",
-    pick(
-        "l_partkey + l_linenumber + (CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END)",
-        ["email", "phone", "name", "face"],
-    ) + " AS category",
-    BOXES[11],
+    *_BOX_KEYS, *[f"{v} AS {k}" for k, v in _NEAR.items()], "1 - l_tax AS score",
+    _NEAR_KIND + " AS category", _SOURCE,
 ]
-BOX_ORDER = ["box_no", "l_partkey", "l_suppkey", "l_extendedprice"]
+# Box and prediction of one order line side by side.
+PAIRS = [*BOXES, *[f"{v} AS p{k}" for k, v in _NEAR.items()]]
+BOX_ORDER = ["box_no", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def _rect(prefix: str, name: str) -> str:
+    parts = ", ".join(f"'{k}', {prefix}{k}" for k in "xywh")
+    return f"named_struct({parts}) AS {name}"
 
 
 def boxes(spark: SparkSession, sf_dir: str, exprs: list[str] = BOXES) -> DataFrame:
-    """One box per order line; an order is an image."""
+    """One box per order line."""
     flat = table(spark, sf_dir, "lineitem").selectExpr(*exprs)
     rest = [c for c in flat.columns if c not in ("x", "y", "w", "h")]
-    return flat.selectExpr(*rest, "named_struct('x', x, 'y', y, 'w', w, 'h', h) AS rect")
+    return flat.selectExpr(*rest, _rect("", "rect"))
 
 
 def predicted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir, PREDICTED)
 
 
+def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``a``, the box of an order line, and ``b``, the prediction near it."""
+    flat = table(spark, sf_dir, "lineitem").selectExpr(*PAIRS)
+    return flat.selectExpr(*BOX_ORDER, "img", "score", "category", "source", _rect("", "a"), _rect("p", "b"))
+
+
 # --- agent events ------------------------------------------------------------------------------------
 
 STATE_EVENTS = "(CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'ready' WHEN 'click' THEN 'pause' WHEN 'purchase' THEN 'stop' ELSE 'fail' END)"
