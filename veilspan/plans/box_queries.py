@@ -124,11 +124,11 @@ def min_box(spark, d):
 
 @query(
     "score_filter",
-    f"WITH {PAIRS_SQL}, s AS (SELECT *, sqrt(greatest(0, least(1, score * 1.05)) * greatest(0, least(1, score - l_extendedprice / 200000))) AS sc FROM pairs) "
+    f"WITH {PAIRS_SQL}, s AS (SELECT *, sqrt(greatest(0, least(1, score * 1.05)) * greatest(0, least(1, score - l_extendedprice / 120000))) AS sc FROM pairs) "
     f"SELECT {_LONG_KEYS}, {duck.rounded('sc')} AS score FROM s WHERE sc >= 0.55 AND w > 0 AND h > 0",
 )
 def score_filter(spark, d):
-    score = geo.head_score(c("score") * 1.05, c("score") - c("l_extendedprice") / 200000)
+    score = geo.head_score(c("score") * 1.05, c("score") - c("l_extendedprice") / 120000)
     rows = derived.boxes(spark, d).select(*derived.BOX_ORDER, "rect", score.alias("score"))
     kept = rows.where((c("score") >= fv.SCORE_THRESHOLD) & (c("rect.w") > 0) & (c("rect.h") > 0))
     return kept.select(*derived.BOX_ORDER, F.round("score", 9).alias("score"))

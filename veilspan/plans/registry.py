@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspan.plans import box_queries, field_queries, page_queries, text_queries
+from veilspan.plans import box_queries, field_queries, page_queries, session_queries, text_queries
 
-MODULES = [text_queries, field_queries, page_queries, box_queries]
+MODULES = [text_queries, field_queries, page_queries, box_queries, session_queries]
 _WIDE = {T.IntegerType: "long", T.ShortType: "long", T.ByteType: "long", T.FloatType: "double"}
 
 
