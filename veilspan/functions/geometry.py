@@ -88,6 +88,11 @@ def shared_area(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0), w) * F.greatest(F.lit(0), h)
 
 
+def apart(a: Column, b: Column) -> Column:
+    """Whether two boxes share no area; stops at the first side that tells."""
+    return (a["x"] >= right(b)) | (b["x"] >= right(a)) | (a["y"] >= bottom(b)) | (b["y"] >= bottom(a))
+
+
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union; 0 for disjoint or empty boxes."""
     both = shared_area(a, b)

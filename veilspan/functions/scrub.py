@@ -18,10 +18,11 @@ NO_LEAKS = f"CAST(array() AS {LEAKS})"
 
 # Order matters: each pattern runs on what the ones before it left.
 BODY_PATTERNS = [
-    ("aadhaar", rx.BODY_AADHAAR), ("pan", rx.PAN), ("phone", rx.PHONE),
-    ("email", rx.java(rx.EMAIL)), ("card", rx.CARD), ("account", rx.ACCOUNT),
+    ("aadhaar", rx.quick(rx.DIGIT, rx.BODY_AADHAAR)), ("pan", rx.quick(rx.CAPITAL, rx.PAN)),
+    ("phone", rx.quick(rx.PHONE_HEAD, rx.PHONE)), ("email", rx.quick(rx.LOCAL_PART, rx.EMAIL)),
+    ("card", rx.quick(rx.DIGIT, rx.CARD)), ("account", rx.quick(rx.DIGIT, rx.ACCOUNT)),
 ]
-ANY_BODY_PATTERN = rx.any_of([rx.BODY_AADHAAR, rx.PAN, rx.PHONE, rx.EMAIL, rx.CARD, rx.ACCOUNT], False)
+ANY_BODY_PATTERN = rx.any_of([pattern for _, pattern in BODY_PATTERNS], ignore_case=False)
 _KEY = rx.any_of(fv.SENSITIVE_KEYS)
 _META = ", ".join(f"'{k}'" for k in fv.SCRUB_META_KEYS)
 _AUDIT_META = ", ".join(f"'{k}'" for k in fv.AUDIT_META_KEYS)

@@ -106,27 +106,35 @@ def luhn(value: str) -> Column:
     return F.expr(luhn_sql(value))
 
 
-_NUMBER = "{t} RLIKE '" + rx.HAS_NUMBER + "'"
 # category -> (pattern, cheap test that must hold first)
 TEXT_PATTERNS = {
-    "aadhaar": (rx.AADHAAR, _NUMBER),
-    "pan": (rx.PAN, _NUMBER),
-    "phone": (rx.PHONE, _NUMBER),
-    "email": (rx.java(rx.EMAIL), "contains({t}, '@')"),
-    "credit_card": (rx.CARD, _NUMBER),
-    "ifsc": (rx.IFSC, "{t} RLIKE '" + rx.HAS_IFSC_HEAD + "'"),
-    "dob": (rx.DOB, _NUMBER),
-    "account_number": (rx.ACCOUNT, _NUMBER),
-    "cvv": (rx.CVV, "{t} RLIKE '[0-9]{{3}}'"),
-    "otp": (rx.OTP, _NUMBER),
+    "aadhaar": (rx.quick(rx.DIGIT, rx.AADHAAR), "number"),
+    "pan": (rx.quick(rx.CAPITAL, rx.PAN), "number"),
+    "phone": (rx.quick(rx.PHONE_HEAD, rx.PHONE), "number"),
+    "email": (rx.quick(rx.LOCAL_PART, rx.EMAIL), "at"),
+    "credit_card": (rx.quick(rx.DIGIT, rx.CARD), "number"),
+    "ifsc": (rx.quick(rx.CAPITAL, rx.IFSC), "head"),
+    "dob": (rx.quick(rx.DIGIT, rx.DOB), "number"),
+    "account_number": (rx.quick(rx.DIGIT, rx.ACCOUNT), "number"),
+    "cvv": (rx.quick(rx.DIGIT, rx.CVV), "true"),
+    "otp": (rx.quick(rx.DIGIT, rx.OTP), "number"),
 }
+
+
+def tests_sql(text: str) -> dict[str, str]:
+    return {
+        "number": f"{text} RLIKE '{rx.HAS_NUMBER}'", "at": f"contains({text}, '@')",
+        "head": f"{text} RLIKE '{rx.HAS_IFSC_HEAD}'", "true": "true",
+    }
+
+
 # Order in which a scan reports; account numbers come last, after the cover rule.
 SPECIFIC = ["aadhaar", "pan", "phone", "email", "credit_card", "ifsc", "dob"]
 
 
-def find_sql(text: str, category: str) -> str:
-    pattern, guard = TEXT_PATTERNS[category]
-    found = matches_sql(text, category, pattern, guard.replace("{t}", text).replace("{{", "{").replace("}}", "}"))
+def find_sql(text: str, category: str, tests: dict[str, str] | None = None) -> str:
+    pattern, test = TEXT_PATTERNS[category]
+    found = matches_sql(text, category, pattern, (tests or tests_sql(text))[test])
     if category == "credit_card":
         return f"filter({found}, _c -> {luhn_sql('_c.match')})"
     return found
@@ -137,23 +145,27 @@ def find(text: str, category: str) -> Column:
     return F.expr(find_sql(text, category))
 
 
-def _with_cover_rule(text: str, keep: str) -> str:
-    """``keep`` is SQL over ``_others`` and ``_accounts``."""
+def _with_cover_rule(text: str, keep: str, tests: dict[str, str]) -> str:
+    """``keep`` is SQL over ``_others`` and the account numbers no other span contains."""
     # Only a span with a long digit run can cover an account number.
     accounts = (
-        f"filter({find_sql(text, 'account_number')}, _a -> NOT exists(_long, _o -> _o.start <= _a.start"
+        f"filter({find_sql(text, 'account_number', tests)}, _a -> NOT exists(_long, _o -> _o.start <= _a.start"
         " AND _o.start + length(_o.match) >= _a.start + length(_a.match)))"
     )
     accounts = let_sql("filter(_others, _o -> length(_o.match) >= 9)", "_long", accounts)
-    others = "concat(" + ", ".join(find_sql(text, name) for name in SPECIFIC) + ")"
+    others = "concat(" + ", ".join(find_sql(text, name, tests) for name in SPECIFIC) + ")"
     return let_sql(others, "_others", keep.format(accounts=accounts))
 
 
 def scan_sql(text: str) -> str:
-    """Every span of a text: category order first, then position."""
-    number, head = _NUMBER.replace("{t}", text), f"{text} RLIKE '{rx.HAS_IFSC_HEAD}'"
-    full = _with_cover_rule(text, "concat(_others, {accounts})")
-    return f"CASE WHEN {number} OR contains({text}, '@') OR {head} THEN {full} ELSE {NO_SPANS} END"
+    """Every span of a text: category order first, then position.
+
+    The three cheap tests run once; a text that fails them all costs no more.
+    """
+    tests = tests_sql(text)
+    flags = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in tests.items()) + ")"
+    full = _with_cover_rule(text, "concat(_others, {accounts})", {k: f"_f.{k}" for k in tests})
+    return let_sql(flags, "_f", f"CASE WHEN _f.number OR _f.at OR _f.head THEN {full} ELSE {NO_SPANS} END")
 
 
 def scan(text: str) -> Column:
@@ -162,7 +174,7 @@ def scan(text: str) -> Column:
 
 def scan_accounts(text: str) -> Column:
     """Account numbers after the cover rule."""
-    full = _with_cover_rule(text, "{accounts}")
+    full = _with_cover_rule(text, "{accounts}", tests_sql(text))
     return F.expr(f"CASE WHEN {text} RLIKE {raw(rx.ACCOUNT)} THEN {full} ELSE {NO_SPANS} END")
 
 

@@ -35,7 +35,11 @@ def head(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) ->
 
 
 def _suppress(kept: Column, item: Column, threshold: float) -> Column:
-    return F.exists(kept, lambda k: geo.iou(k["rect"], item["rect"]) > threshold)
+    # Most boxes of an image lie apart, which is cheaper to see than an IoU.
+    return F.exists(
+        kept,
+        lambda k: ~geo.apart(k["rect"], item["rect"]) & (geo.iou(k["rect"], item["rect"]) > threshold),
+    )
 
 
 def _keep_best(items: Column, threshold: float) -> Column:
@@ -205,7 +209,9 @@ def cluster(
     def step(state: Column, b: Column) -> Column:
         new = F.struct(b["rect"].alias("rect"), F.lit(1).alias("n")).cast(entry)
         return let(
-            _first_match(state, lambda c: geo.overlap(c["rect"], b["rect"]) > threshold),
+            _first_match(
+                state, lambda c: ~geo.apart(c["rect"], b["rect"]) & (geo.overlap(c["rect"], b["rect"]) > threshold)
+            ),
             lambda at: F.when(at == 0, F.concat(state, F.array(new))).otherwise(
                 F.transform(
                     state,
@@ -256,7 +262,8 @@ def dedupe(
 
         same = _first_match(
             state,
-            lambda p: (geo.overlap(p["rect"], d["rect"]) > fv.SAME_BOX_OVERLAP)
+            lambda p: ~geo.apart(p["rect"], d["rect"])
+            & (geo.overlap(p["rect"], d["rect"]) > fv.SAME_BOX_OVERLAP)
             & (p["has_landmarks"] == d["has_landmarks"]),
         )
         return let(
@@ -273,20 +280,18 @@ def dedupe(
 # --- matching of two box tables ------------------------------------------------------------
 
 
-def _cells(r: Column, size: int) -> Column:
-    """Grid cells a box touches; a box without area touches none."""
+def _in_cells(df: DataFrame, name: str, size: int) -> DataFrame:
+    """One row per grid cell a box touches (``_cx``, ``_cy``); a box without area touches none."""
+    r = F.col(name)
 
     def axis(low: Column, length: Column) -> Column:
-        return F.sequence(F.floor(low / size).cast("int"), F.floor((low + length - 1) / size).cast("int"))
-
-    cells = F.flatten(
-        F.transform(
-            axis(r["x"], r["w"]),
-            lambda cx: F.transform(axis(r["y"], r["h"]), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy"))),
+        return F.explode(
+            F.sequence(F.floor(low / size).cast("int"), F.floor((low + length - 1) / size).cast("int"))
         )
-    )
-    none = F.array().cast("array<struct<cx:int,cy:int>>")
-    return F.when((r["w"] > 0) & (r["h"] > 0), cells).otherwise(none)
+
+    filled = df.where((r["w"] > 0) & (r["h"] > 0))
+    columns = filled.select("*", axis(r["x"], r["w"]).alias("_cx"))
+    return columns.select("*", axis(r["y"], r["h"]).alias("_cy"))
 
 
 def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], size: int = CELL) -> DataFrame:
@@ -296,15 +301,13 @@ def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], size: int = CELL) -
     distinct boxes.  A pair is produced only in the cell that holds the corner
     of its intersection, so no ``distinct`` is needed afterwards.
     """
-    left = a.select("*", F.explode(_cells(F.col("a_rect"), size)).alias("_cell"))
-    right = b.select("*", F.explode(_cells(F.col("b_rect"), size)).alias("_cell"))
-    both = left.join(right, [*keys, "_cell"])
+    both = _in_cells(a, "a_rect", size).join(_in_cells(b, "b_rect", size), [*keys, "_cx", "_cy"])
     ra, rb = F.col("a_rect"), F.col("b_rect")
     corner = (
-        (F.floor(F.greatest(ra["x"], rb["x"]) / size) == F.col("_cell.cx"))
-        & (F.floor(F.greatest(ra["y"], rb["y"]) / size) == F.col("_cell.cy"))
+        (F.floor(F.greatest(ra["x"], rb["x"]) / size) == F.col("_cx"))
+        & (F.floor(F.greatest(ra["y"], rb["y"]) / size) == F.col("_cy"))
     )
-    return both.where(corner & (geo.shared_area(ra, rb) > 0)).drop("_cell")
+    return both.where(~geo.apart(ra, rb) & corner).drop("_cx", "_cy")
 
 
 def distinct_boxes(df: DataFrame, keys: Sequence[str], name: str, *aggs: Column) -> DataFrame:
@@ -346,21 +349,14 @@ def best_partner(
     )
     overlap = geo.iou(F.col("a_rect"), F.col("b_rect"))
     agrees = F.array_contains("_cats", F.col(category)) if category else F.lit(False)
-    pairs = meeting(a.select(*keys, "a_rect", *extra), b, keys, size).select(
-        *keys, *extra, "a_rect", overlap.alias("_iou"),
-        ((overlap >= threshold) & agrees).alias("_agrees"),
-    )
-    best = pairs.groupBy(*keys, *extra, "a_rect").agg(
-        F.max("_iou").alias("best_iou"), F.max("_agrees").alias("agrees")
-    )
-    return (
-        a.join(best, [*keys, *extra, "a_rect"], "left")
-        .select(
-            *keys, *extra, F.col("a_rect").alias("rect"), "copies",
-            F.coalesce("best_iou", F.lit(0.0)).alias("best_iou"),
-            (F.coalesce("best_iou", F.lit(0.0)) >= threshold).alias("matched"),
-            F.coalesce("agrees", F.lit(False)).alias("agrees"),
-        )
+    by = [*keys, *extra, "a_rect", "copies"]
+    pairs = meeting(a, b, keys, size).select(*by, overlap.alias("_iou"), ((overlap >= threshold) & agrees).alias("_agrees"))
+    # A row per box on its own keeps boxes without a partner; no join back is needed.
+    alone = a.select(*by, F.lit(0.0).alias("_iou"), F.lit(False).alias("_agrees"))
+    best = pairs.unionByName(alone).groupBy(*by).agg(F.max("_iou").alias("best_iou"), F.max("_agrees").alias("agrees"))
+    return best.select(
+        *keys, *extra, F.col("a_rect").alias("rect"), "copies", "best_iou",
+        (F.col("best_iou") >= threshold).alias("matched"), "agrees",
     )
 
 
@@ -369,14 +365,14 @@ def coverage(boxes: DataFrame, covers: DataFrame, keys: Sequence[str], size: int
     a = distinct_boxes(boxes, keys, "a_rect", F.count(F.lit(1)).alias("copies"))
     b = distinct_boxes(covers, keys, "b_rect", F.count(F.lit(1)).alias("_n"))
     shared = geo.shared_area(F.col("a_rect"), F.col("b_rect")).cast("long") * F.col("_n")
-    hit = (
-        meeting(a.drop("copies"), b, keys, size)
-        .groupBy(*keys, "a_rect").agg(F.sum(shared).alias("_hit"))
-    )
+    by = [*keys, "a_rect", "copies"]
+    pairs = meeting(a, b, keys, size).select(*by, shared.alias("_hit"))
+    alone = a.select(*by, F.lit(0).cast("long").alias("_hit"))
+    hit = pairs.unionByName(alone).groupBy(*by).agg(F.sum("_hit").alias("_hit"))
     area = geo.area(F.col("a_rect"))
-    return a.join(hit, [*keys, "a_rect"], "left").select(
+    return hit.select(
         *keys, F.col("a_rect").alias("rect"), "copies",
-        F.when(area > 0, F.least(F.lit(1.0), F.coalesce("_hit", F.lit(0)) / area)).otherwise(0.0).alias("covered"),
+        F.when(area > 0, F.least(F.lit(1.0), F.col("_hit") / area)).otherwise(0.0).alias("covered"),
     )
 
 

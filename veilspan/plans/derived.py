@@ -128,7 +128,7 @@ FIELDS = [
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One form field per customer; labels, types and identifiers vary independently."""
-    return table(spark, sf_dir, "customer").selectExpr(*FIELDS)
+    return spread(table(spark, sf_dir, "customer")).selectExpr(*FIELDS)
 
 
 # --- images from parts ---------------------------------------------------------------------

@@ -16,7 +16,7 @@ from veilspan.plans import derived, duck
 from veilspan.plans.field_queries import image_sql, verdict_sql
 from veilspan.sources import pages as pg
 from veilspan.sources import payloads
-from veilspan.sources.tables import table, text_table
+from veilspan.sources.tables import spread, table, text_table
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -489,7 +489,7 @@ def answers(spark, d) -> DataFrame:
     """One answer of ten commands per order, in an order that depends on its number."""
     fields = ", ".join(f"'{f}', {_command_field(f, 'o_orderkey + i * 3')}" for f in _COMMAND_FIELDS)
     listed = f"transform(sequence(0, {_PER_ANSWER - 1}), i -> named_struct({fields}))"
-    return table(spark, d, "orders").selectExpr("o_orderkey AS answer_id", f"to_json({listed}) AS body")
+    return spread(table(spark, d, "orders")).selectExpr("o_orderkey AS answer_id", f"to_json({listed}) AS body")
 
 
 _COMMANDS_SQL = f"""raw AS (SELECT o_orderkey AS answer_id, i + 1 AS cmd_no,
