@@ -50,6 +50,9 @@ def quick(first: str, pattern: str) -> str:
 # its local part runs up to an @ sign.
 DIGIT, PHONE_HEAD, CAPITAL, LOCAL_PART = "[0-9]", "[+6-9]", "[A-Z]", "[A-Za-z0-9._%+-]++@"
 
-# Cheap tests that must hold before the full pattern can match.
-HAS_NUMBER = "[0-9]{4}"
-HAS_IFSC_HEAD = "[A-Z]{4}0"
+# Every numeric pattern matches inside one run of digits, separators and plus
+# signs, and so does all it looks at on either side.  Such a run of eight or
+# more characters is rare in prose (a year or a price is shorter).
+NUMBER_RUN = r"[0-9+][0-9+/\s-]{7,}"
+# Five capitals and a digit, or four and a zero: what PAN and IFSC codes need.
+CODE_HEAD = "[A-Z]{4}(?:0|[A-Z][0-9])"

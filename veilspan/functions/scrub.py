@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from veilspan.functions import fixed_values as fv
 from veilspan.functions import regexes as rx
-from veilspan.functions.spans import let_sql, raw
+from veilspan.functions.spans import let_sql, raw, test_sql
 
 REDACTED = "[REDACTED]"
 LEAKS = "array<struct<path:string,reason:string>>"
@@ -57,14 +57,12 @@ def scrub_sql(text: str, card_first: bool = False) -> str:
     order = list(BODY_PATTERNS)
     if card_first:
         order.sort(key=lambda p: p[0] != "card")
-    number = f"RLIKE '{rx.HAS_NUMBER}'"
-    scrubbed = "_s"
+    tests = {"email": "at", "pan": "code"}
+    scrubbed = text
     for name, pattern in order:
-        guard = "contains(_s, '@')" if name == "email" else f"_s {number}"
-        step = _replace_sql("_s", pattern, guard)
-        scrubbed = step if scrubbed == "_s" else let_sql(scrubbed, "_s", step)
-    worth_it = f"(_s {number} OR contains(_s, '@'))"
-    return let_sql(text, "_s", f"CASE WHEN {worth_it} THEN {scrubbed} ELSE _s END")
+        guard = test_sql("_s", tests.get(name, "run"))
+        scrubbed = let_sql(scrubbed, "_s", _replace_sql("_s", pattern, guard))
+    return scrubbed
 
 
 def scrub_text(text: str, card_first: bool = False) -> Column:

@@ -108,33 +108,33 @@ def luhn(value: str) -> Column:
 
 # category -> (pattern, cheap test that must hold first)
 TEXT_PATTERNS = {
-    "aadhaar": (rx.quick(rx.DIGIT, rx.AADHAAR), "number"),
-    "pan": (rx.quick(rx.CAPITAL, rx.PAN), "number"),
-    "phone": (rx.quick(rx.PHONE_HEAD, rx.PHONE), "number"),
+    "aadhaar": (rx.quick(rx.DIGIT, rx.AADHAAR), "run"),
+    "pan": (rx.quick(rx.CAPITAL, rx.PAN), "code"),
+    "phone": (rx.quick(rx.PHONE_HEAD, rx.PHONE), "run"),
     "email": (rx.quick(rx.LOCAL_PART, rx.EMAIL), "at"),
-    "credit_card": (rx.quick(rx.DIGIT, rx.CARD), "number"),
-    "ifsc": (rx.quick(rx.CAPITAL, rx.IFSC), "head"),
-    "dob": (rx.quick(rx.DIGIT, rx.DOB), "number"),
-    "account_number": (rx.quick(rx.DIGIT, rx.ACCOUNT), "number"),
+    "credit_card": (rx.quick(rx.DIGIT, rx.CARD), "run"),
+    "ifsc": (rx.quick(rx.CAPITAL, rx.IFSC), "code"),
+    "dob": (rx.quick(rx.DIGIT, rx.DOB), "run"),
+    "account_number": (rx.quick(rx.DIGIT, rx.ACCOUNT), "run"),
     "cvv": (rx.quick(rx.DIGIT, rx.CVV), "true"),
-    "otp": (rx.quick(rx.DIGIT, rx.OTP), "number"),
+    "otp": (rx.quick(rx.DIGIT, rx.OTP), "true"),
 }
 
 
-def tests_sql(text: str) -> dict[str, str]:
+def test_sql(text: str, name: str) -> str:
     return {
-        "number": f"{text} RLIKE '{rx.HAS_NUMBER}'", "at": f"contains({text}, '@')",
-        "head": f"{text} RLIKE '{rx.HAS_IFSC_HEAD}'", "true": "true",
-    }
+        "run": f"{text} RLIKE {raw(rx.NUMBER_RUN)}", "code": f"{text} RLIKE {raw(rx.CODE_HEAD)}",
+        "at": f"contains({text}, '@')", "true": "true",
+    }[name]
 
 
 # Order in which a scan reports; account numbers come last, after the cover rule.
 SPECIFIC = ["aadhaar", "pan", "phone", "email", "credit_card", "ifsc", "dob"]
 
 
-def find_sql(text: str, category: str, tests: dict[str, str] | None = None) -> str:
+def find_sql(text: str, category: str, tested: str | None = None) -> str:
     pattern, test = TEXT_PATTERNS[category]
-    found = matches_sql(text, category, pattern, (tests or tests_sql(text))[test])
+    found = matches_sql(text, category, pattern, tested or test_sql(text, test))
     if category == "credit_card":
         return f"filter({found}, _c -> {luhn_sql('_c.match')})"
     return found
@@ -145,27 +145,46 @@ def find(text: str, category: str) -> Column:
     return F.expr(find_sql(text, category))
 
 
-def _with_cover_rule(text: str, keep: str, tests: dict[str, str]) -> str:
-    """``keep`` is SQL over ``_others`` and the account numbers no other span contains."""
+def _in_runs_sql(category: str) -> str:
+    """Spans of a numeric category, searched in the number runs (``_runs``) only."""
+    pattern, _ = TEXT_PATTERNS[category]
+    found = matches_sql("_run.match", category, pattern, "true")
+    moved = "named_struct('category', _x.category, 'match', _x.match, 'start', _x.start + _run.start)"
+    spans = f"flatten(transform(_runs, _run -> transform({found}, _x -> {moved})))"
+    if category == "credit_card":
+        return f"filter({spans}, _c -> {luhn_sql('_c.match')})"
+    return spans
+
+
+def _with_cover_rule(text: str, keep: str) -> str:
+    """``keep`` is SQL over ``_others`` and the account numbers no other span contains.
+
+    The text is read once for its number runs; five of the eight patterns then
+    see only those short pieces.
+    """
     # Only a span with a long digit run can cover an account number.
     accounts = (
-        f"filter({find_sql(text, 'account_number', tests)}, _a -> NOT exists(_long, _o -> _o.start <= _a.start"
+        f"filter({_in_runs_sql('account_number')}, _a -> NOT exists(_long, _o -> _o.start <= _a.start"
         " AND _o.start + length(_o.match) >= _a.start + length(_a.match)))"
     )
     accounts = let_sql("filter(_others, _o -> length(_o.match) >= 9)", "_long", accounts)
-    others = "concat(" + ", ".join(find_sql(text, name, tests) for name in SPECIFIC) + ")"
-    return let_sql(others, "_others", keep.format(accounts=accounts))
+    others = "concat(" + ", ".join(
+        _in_runs_sql(name) if TEXT_PATTERNS[name][1] == "run" else find_sql(text, name, f"_f.{TEXT_PATTERNS[name][1]}")
+        for name in SPECIFIC
+    ) + ")"
+    runs = matches_sql(text, "run", rx.NUMBER_RUN, "_f.run")
+    return let_sql(runs, "_runs", let_sql(others, "_others", keep.format(accounts=accounts)))
 
 
-def scan_sql(text: str) -> str:
-    """Every span of a text: category order first, then position.
+def _when_worth_it(text: str, full: str) -> str:
+    """Three cheap tests, each run once; most texts fail them all."""
+    flags = "named_struct(" + ", ".join(f"'{t}', {test_sql(text, t)}" for t in ("run", "code", "at")) + ")"
+    return let_sql(flags, "_f", f"CASE WHEN _f.run OR _f.code OR _f.at THEN {full} ELSE {NO_SPANS} END")
 
-    The three cheap tests run once; a text that fails them all costs no more.
-    """
-    tests = tests_sql(text)
-    flags = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in tests.items()) + ")"
-    full = _with_cover_rule(text, "concat(_others, {accounts})", {k: f"_f.{k}" for k in tests})
-    return let_sql(flags, "_f", f"CASE WHEN _f.number OR _f.at OR _f.head THEN {full} ELSE {NO_SPANS} END")
+
+def scan_sql(text: str) -> str:
+    """Every span of a text: category order first, then position."""
+    return _when_worth_it(text, _with_cover_rule(text, "concat(_others, {accounts})"))
 
 
 def scan(text: str) -> Column:
@@ -174,8 +193,7 @@ def scan(text: str) -> Column:
 
 def scan_accounts(text: str) -> Column:
     """Account numbers after the cover rule."""
-    full = _with_cover_rule(text, "{accounts}", tests_sql(text))
-    return F.expr(f"CASE WHEN {text} RLIKE {raw(rx.ACCOUNT)} THEN {full} ELSE {NO_SPANS} END")
+    return F.expr(_when_worth_it(text, _with_cover_rule(text, "{accounts}")))
 
 
 def span_end(span: Column) -> Column:

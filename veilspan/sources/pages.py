@@ -61,7 +61,8 @@ def attribute_sql(attrs: str, name: str) -> str:
     found = f"regexp_extract({attrs}, {_quoted(ATTRIBUTE.replace('{name}', name))}, 1)"
     bare = f"regexp_replace(_raw, {_quoted(chr(94) + '[' + chr(34) + chr(39) + ']|[' + chr(34) + chr(39) + ']$')}, '')"
     value = let_sql(tx.unescape_sql(bare), "_value", "CASE WHEN _value <> '' THEN _value END")
-    return let_sql(found, "_raw", f"CASE WHEN _raw <> '' THEN {value} END")
+    read = let_sql(found, "_raw", f"CASE WHEN _raw <> '' THEN {value} END")
+    return f"CASE WHEN contains({attrs}, '=') THEN {read} END"
 
 
 def attribute(attrs: str, name: str) -> Column:
@@ -113,7 +114,8 @@ def is_skipped(tag: str = "tag") -> Column:
 
 def visible_sql(attrs: str) -> str:
     style = attribute_sql(attrs, "style")
-    return f"NOT ({attrs} RLIKE {raw(HIDDEN_ATTR)} OR coalesce({style} RLIKE {raw(HIDDEN_STYLE)}, FALSE))"
+    hidden = f"{attrs} RLIKE {raw(HIDDEN_ATTR)} OR coalesce({style} RLIKE {raw(HIDDEN_STYLE)}, FALSE)"
+    return f"({attrs} = '' OR NOT ({hidden}))"
 
 
 def is_visible(attrs: str = "attrs") -> Column:
