@@ -146,8 +146,9 @@ def body_hit_owners(pages: DataFrame, keys: Sequence[str] = ("page_id",), html:
     )
     attributed = (
         "transform(_hits, (_h, _i) -> named_struct('hit_no', _i + 1, 'category', _h.category, 'match', _h.match, "
-        "'uid', get(filter(_shown, _e -> contains(_e.text, _h.match)), 0).uid))"
+        "'uid', get(filter(_texts, _e -> contains(_e.text, _h.match)), 0).uid))"
     )
+    attributed = spans.let_sql("_shown", "_texts", attributed)
     return (
         owners.select(*keys, F.expr(f"inline_outer({attributed})"))
         .where(F.col("uid").isNotNull())
@@ -173,7 +174,7 @@ def summaries_sql(elements: str, detections: str) -> str:
     texts = f"slice(filter(_all, _x -> NOT _x.control AND {short}), 1, {fv.SUMMARY_TEXT_ROWS})"
     chosen = f"array_sort(concat(filter(_all, _x -> _x.control), {texts}), (_a, _b) -> _a.n.uid - _b.n.uid)"
     covering = (
-        f"get(filter({detections}, _d -> _d.source <> 'face-model' AND {geo.overlap_sql('_d.rect', '_x.n.rect')} "
+        f"get(filter(_dets, _d -> _d.source <> 'face-model' AND {geo.overlap_sql('_d.rect', '_x.n.rect')} "
         f"> {fv.SAME_BOX_OVERLAP}), 0).category"
     )
     limit = fv.SUMMARY_LABEL_CHARS
@@ -182,7 +183,8 @@ def summaries_sql(elements: str, detections: str) -> str:
         f"'text', CASE WHEN length(_x.label) > {limit} THEN concat(left(_x.label, {limit}), '{tx.ELLIPSIS}') ELSE _x.label END, "
         f"'inputType', _x.n.input_type, 'interactive', _x.n.interactive, 'piiCategory', {covering})"
     )
-    return spans.let_sql(labelled, "_all", f"transform({chosen}, _x -> {row})")
+    # Spark may inline a column into the lambda that uses it; bound here, it is computed once a page.
+    return spans.let_sql(detections, "_dets", spans.let_sql(labelled, "_all", f"transform({chosen}, _x -> {row})"))
 
 
 def summaries(rows: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:

@@ -172,8 +172,9 @@ def _stacked_sql(uid: str) -> str:
     )
 
 
-def _described_sql(candidates: str) -> str:
+def _described_sql(markup: str) -> str:
     """Element structs; every attribute is read once, and only where its role uses it."""
+    candidates = _candidates_sql(_nodes_sql(markup))
     control = "_n.role IN ('input', 'textarea', 'select')"
 
     def attr(name: str) -> str:
@@ -183,7 +184,7 @@ def _described_sql(candidates: str) -> str:
         return f"CASE WHEN {control} THEN {value} END"
 
     # First label written for this id; an unlabelled control has position 0.
-    for_label = tx.unescape_sql("get(_for_text, CAST(array_position(_for, _id) AS INT) - 1)")
+    for_label = tx.unescape_sql("get(_labels.text, CAST(array_position(_labels.id, _id) AS INT) - 1)")
     own_label = let_sql(
         f"left(trim(coalesce({attr('data-wrapped-label')}, {for_label})), 80)", "_l", "CASE WHEN _l <> '' THEN _l END"
     )
@@ -213,20 +214,15 @@ def _described_sql(candidates: str) -> str:
     }
     struct = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
     own_id = f"CASE WHEN {control} OR _n.role = 'img' THEN {attr('id')} END"
-    return f"transform({candidates}, (_n, _i) -> {let_sql(own_id, '_id', struct)})"
+    written = f"named_struct('id', regexp_extract_all({markup}, {raw(LABEL_FOR)}, 1), 'text', regexp_extract_all({markup}, {raw(LABEL_FOR)}, 2))"
+    # Bound outside the lambda, so that the labels of a page are collected once.
+    return let_sql(written, "_labels", f"transform({candidates}, (_n, _i) -> {let_sql(own_id, '_id', struct)})")
 
 
 def element_arrays(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html") -> DataFrame:
     """Each page with an array of its elements."""
-    return (
-        pages.select(*keys, F.expr(_marked_up_sql(html)).alias("_markup"))
-        .select(
-            *keys, "_markup",
-            F.regexp_extract_all("_markup", F.lit(LABEL_FOR), F.lit(1)).alias("_for"),
-            F.regexp_extract_all("_markup", F.lit(LABEL_FOR), F.lit(2)).alias("_for_text"),
-        )
-        .select(*keys, F.expr(_described_sql(_candidates_sql(_nodes_sql("_markup")))).alias("elements"))
-    )
+    marked = pages.select(*keys, F.expr(_marked_up_sql(html)).alias("_markup"))
+    return marked.select(*keys, F.expr(_described_sql("_markup")).alias("elements"))
 
 
 def elements(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html") -> DataFrame:
