@@ -78,20 +78,32 @@ def raw(pattern: str) -> str:
     return f'r"{pattern}"'
 
 
-def matches_sql(text: str, category: str, pattern: str, guard: str) -> str:
-    """All matches of one pattern with their offsets.
+PIECES = "array<struct<category:string,match:string,step:int>>"
+
+
+def pieces_sql(text: str, category: str, pattern: str, guard: str) -> str:
+    """All matches of one pattern, each with the length from the end of the one before to its own end.
 
     The pieces between matches and the matches alternate, so running sums of
-    their lengths are the offsets; no marker characters enter the text.
+    the steps are the ends; no marker characters enter the text.
     """
     p = raw(pattern)
-    steps = f"zip_with(slice(split({text}, {p}, -1), 1, size(_m)), _m, (_g, _x) -> length(_g) + length(_x))"
-    located = (
-        f"zip_with(_m, {running_sum(steps)}, (_x, _to) -> "
-        f"named_struct('category', '{category}', 'match', _x, 'start', CAST(_to - length(_x) AS INT)))"
+    stepped = (
+        f"zip_with(slice(split({text}, {p}, -1), 1, size(_m)), _m, (_g, _x) -> "
+        f"named_struct('category', '{category}', 'match', _x, 'step', length(_g) + length(_x)))"
+    )
+    found = let_sql(f"regexp_extract_all({text}, {p}, 0)", "_m", stepped)
+    return f"CASE WHEN {guard} AND {text} RLIKE {p} THEN CAST({found} AS {PIECES}) ELSE CAST(array() AS {PIECES}) END"
+
+
+def located_sql(pieces: str) -> str:
+    """Pieces to spans."""
+    ends = running_sum("transform(_p, _q -> _q.step)")
+    return let_sql(
+        pieces, "_p",
+        f"zip_with(_p, {ends}, (_q, _to) -> named_struct('category', _q.category, 'match', _q.match, "
+        "'start', CAST(_to - length(_q.match) AS INT)))",
     )
-    found = let_sql(f"regexp_extract_all({text}, {p}, 0)", "_m", located)
-    return f"CASE WHEN {guard} AND {text} RLIKE {p} THEN CAST({found} AS {SPAN_ARRAY}) ELSE {NO_SPANS} END"
 
 
 def luhn_sql(value: str) -> str:
@@ -132,48 +144,50 @@ def test_sql(text: str, name: str) -> str:
 SPECIFIC = ["aadhaar", "pan", "phone", "email", "credit_card", "ifsc", "dob"]
 
 
-def find_sql(text: str, category: str, tested: str | None = None) -> str:
-    pattern, test = TEXT_PATTERNS[category]
-    found = matches_sql(text, category, pattern, tested or test_sql(text, test))
-    if category == "credit_card":
-        return f"filter({found}, _c -> {luhn_sql('_c.match')})"
-    return found
-
-
 def find(text: str, category: str) -> Column:
     """Spans of one category (account numbers before the cover rule)."""
-    return F.expr(find_sql(text, category))
+    pattern, test = TEXT_PATTERNS[category]
+    found = located_sql(pieces_sql(text, category, pattern, test_sql(text, test)))
+    if category == "credit_card":
+        found = f"filter({found}, _c -> {luhn_sql('_c.match')})"
+    return F.expr(f"CAST({found} AS {SPAN_ARRAY})")
 
 
-def _in_runs_sql(category: str) -> str:
-    """Spans of a numeric category, searched in the number runs (``_runs``) only."""
-    pattern, _ = TEXT_PATTERNS[category]
-    found = matches_sql("_run.match", category, pattern, "true")
-    moved = "named_struct('category', _x.category, 'match', _x.match, 'start', _x.start + _run.start)"
-    spans = f"flatten(transform(_runs, _run -> transform({found}, _x -> {moved})))"
-    if category == "credit_card":
-        return f"filter({spans}, _c -> {luhn_sql('_c.match')})"
-    return spans
+IN_RUNS = [name for name, (_, test) in TEXT_PATTERNS.items() if test == "run"]
+IN_TEXT = ["pan", "email", "ifsc"]
 
 
 def _with_cover_rule(text: str, keep: str) -> str:
     """``keep`` is SQL over ``_others`` and the account numbers no other span contains.
 
     The text is read once for its number runs; five of the eight patterns then
-    see only those short pieces.
+    see only those short pieces.  The flags ``_f`` are bound by the caller.
     """
+    whole = [pieces_sql(text, "run", rx.NUMBER_RUN, "_f.run")] + [
+        pieces_sql(text, name, TEXT_PATTERNS[name][0], f"_f.{TEXT_PATTERNS[name][1]}") for name in IN_TEXT
+    ]
+    top = f"transform(array({', '.join(whole)}), _one -> {located_sql('_one')})"
+    numeric = ", ".join(pieces_sql("_run.match", name, TEXT_PATTERNS[name][0], "true") for name in IN_RUNS)
+    moved = "named_struct('category', _x.category, 'match', _x.match, 'start', _x.start + _run.start)"
+    in_runs = (
+        f"transform(get(_top, 0), _run -> transform(array({numeric}), "
+        f"_one -> transform({located_sql('_one')}, _x -> {moved})))"
+    )
+
+    def of(name: str) -> str:
+        if name in IN_TEXT:
+            return f"get(_top, {IN_TEXT.index(name) + 1})"
+        spans = f"flatten(transform(_in, _r -> get(_r, {IN_RUNS.index(name)})))"
+        return f"filter({spans}, _c -> {luhn_sql('_c.match')})" if name == "credit_card" else spans
+
     # Only a span with a long digit run can cover an account number.
     accounts = (
-        f"filter({_in_runs_sql('account_number')}, _a -> NOT exists(_long, _o -> _o.start <= _a.start"
+        f"filter({of('account_number')}, _a -> NOT exists(_long, _o -> _o.start <= _a.start"
         " AND _o.start + length(_o.match) >= _a.start + length(_a.match)))"
     )
     accounts = let_sql("filter(_others, _o -> length(_o.match) >= 9)", "_long", accounts)
-    others = "concat(" + ", ".join(
-        _in_runs_sql(name) if TEXT_PATTERNS[name][1] == "run" else find_sql(text, name, f"_f.{TEXT_PATTERNS[name][1]}")
-        for name in SPECIFIC
-    ) + ")"
-    runs = matches_sql(text, "run", rx.NUMBER_RUN, "_f.run")
-    return let_sql(runs, "_runs", let_sql(others, "_others", keep.format(accounts=accounts)))
+    kept = let_sql(f"concat({', '.join(of(name) for name in SPECIFIC)})", "_others", keep.format(accounts=accounts))
+    return f"CAST({let_sql(top, '_top', let_sql(in_runs, '_in', kept))} AS {SPAN_ARRAY})"
 
 
 def _when_worth_it(text: str, full: str) -> str:
