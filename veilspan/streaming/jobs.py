@@ -8,6 +8,7 @@ neither loses nor doubles rows.  Nothing is gathered on the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import fixed_values as fv
 from veilspan.functions import scrub
 from veilspan.operators import sessions
-from veilspan.session import shared_folder
+from veilspan.session import cores, shared_folder
 
 WATERMARK = "10 minutes"
 TICK = f"{fv.POLL_MS // 1000} seconds"
@@ -153,15 +154,30 @@ def session_states(steps: DataFrame) -> DataFrame:
 
 # --- drained runs: a finite replay to a finished table ------------------------------------------------
 
+@contextmanager
+def _state_per_core(spark: SparkSession) -> Iterator[None]:
+    """On a local master, one state store per core; a cluster keeps its own number of partitions."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set(key, min(int(before), cores(spark)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(spark, name)
-    append_to(stream, folder)
+    with _state_per_core(spark):
+        append_to(stream, folder)
     return written(spark, folder)
 
 
 def drained_updates(spark: SparkSession, stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     folder = shared_folder(spark, name)
-    each_batch(stream, folder, mode="update")
+    with _state_per_core(spark):
+        each_batch(stream, folder, mode="update")
     return last_update(spark, folder, keys)
 
 
