@@ -22,7 +22,8 @@ BODY_PATTERNS = [
     ("phone", rx.quick(rx.PHONE_HEAD, rx.PHONE)), ("email", rx.quick(rx.LOCAL_PART, rx.EMAIL)),
     ("card", rx.quick(rx.DIGIT, rx.CARD)), ("account", rx.quick(rx.DIGIT, rx.ACCOUNT)),
 ]
-ANY_BODY_PATTERN = rx.any_of([pattern for _, pattern in BODY_PATTERNS], ignore_case=False)
+# Cheap test that must hold before a pattern can match.
+_TEST = {"email": "at", "pan": "code"}
 _KEY = rx.any_of(fv.SENSITIVE_KEYS)
 _META = ", ".join(f"'{k}'" for k in fv.SCRUB_META_KEYS)
 _AUDIT_META = ", ".join(f"'{k}'" for k in fv.AUDIT_META_KEYS)
@@ -57,10 +58,9 @@ def scrub_sql(text: str, card_first: bool = False) -> str:
     order = list(BODY_PATTERNS)
     if card_first:
         order.sort(key=lambda p: p[0] != "card")
-    tests = {"email": "at", "pan": "code"}
     scrubbed = text
     for name, pattern in order:
-        guard = test_sql("_s", tests.get(name, "run"))
+        guard = test_sql("_s", _TEST.get(name, "run"))
         scrubbed = let_sql(scrubbed, "_s", _replace_sql("_s", pattern, guard))
     return scrubbed
 
@@ -140,6 +140,15 @@ def scrub_headers(headers: Column) -> Column:
     )
 
 
+def has_pattern_sql(value: str) -> str:
+    """Whether any body pattern occurs; patterns run only behind their cheap test."""
+    by_test: dict[str, list[str]] = {}
+    for name, pattern in BODY_PATTERNS:
+        by_test.setdefault(_TEST.get(name, "run"), []).append(f"_t RLIKE {raw(pattern)}")
+    parts = [f"({test_sql('_t', test)} AND ({' OR '.join(found)}))" for test, found in by_test.items()]
+    return let_sql(value, "_t", " OR ".join(parts))
+
+
 def leaks_sql(value: str, dtype: T.DataType, path: str = "", meta: bool = False, depth: int = 0) -> list[str]:
     """SQL arrays of ``struct<path, reason>``; their concatenation holds every leak.
 
@@ -175,7 +184,7 @@ def leaks_sql(value: str, dtype: T.DataType, path: str = "", meta: bool = False,
             inside = f"CASE WHEN {k} IN ({_AUDIT_META}) THEN {inside} ELSE concat({named}, {plain}) END"
         return [f"coalesce(flatten(transform(map_entries({value}), {entry} -> {inside})), {NO_LEAKS})"]
     if isinstance(dtype, T.StringType):
-        return [hit(path or "''", "pii-pattern", f"{value} RLIKE {raw(ANY_BODY_PATTERN)}")]
+        return [hit(path or "''", "pii-pattern", has_pattern_sql(value))]
     return []
 
 
