@@ -438,8 +438,9 @@ _LEAKS_SQL = _BODY_SQL + ", leaks AS (" + " UNION ALL ".join(
 
 
 def audited(spark, d) -> DataFrame:
-    parsed = payloads.intake(bodies(spark, d), "body", BODY).where(~c("rejected").eqNullSafe("invalid JSON"))
-    return parsed.select("doc_id", scrub.leaks("payload", BODY).alias("leaks"))
+    """Leaks of every body; a body that is not JSON was refused before and has none."""
+    parsed = payloads.intake(bodies(spark, d), "body", BODY)
+    return parsed.select("doc_id", "rejected", scrub.leaks("payload", BODY).alias("leaks"))
 
 
 @query("leak_audit", f"WITH {_LEAKS_SQL} SELECT doc_id, path, reason FROM leaks")
@@ -454,7 +455,8 @@ def leak_audit(spark, d):
     f"n_leaks IS NULL AS ok, CASE WHEN n_leaks IS NULL THEN '{fv.VERDICT_CLEAN}' ELSE '{fv.VERDICT_LEAK}' END AS verdict FROM good g LEFT JOIN n ON n.doc_id = g.doc_id",
 )
 def audit_verdict(spark, d):
-    judged = audited(spark, d).select("doc_id", scrub.audit_verdict(c("leaks")).alias("v"))
+    judged = audited(spark, d).where(~c("rejected").eqNullSafe("invalid JSON"))
+    judged = judged.select("doc_id", scrub.audit_verdict(c("leaks")).alias("v"))
     return judged.select("doc_id", F.size("v.leaks").alias("n_leaks"), "v.ok", "v.verdict")
 
 
