@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import check, duck
+from veilspan.plans import registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQLS = entry.queries(), entry.oracle_sql()
+QUERIES, SQLS = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
