@@ -37,7 +37,6 @@ _DIGITS = "0123456789"
 _LOCAL_LEFT = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_FOUR = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _DOTTED = re.compile(r"[0-9.]+")
 _CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 _PHONE = re.compile(r"[0-9][\x20().0-9-]*")
@@ -123,11 +122,16 @@ def _email(text: str, at: int, floor: int, out: list) -> int:
 
 def _dotted(text: str, start: int, out: list) -> int:
     """Groups of four numbers inside a run of digits and dots."""
-    run = _DOTTED.match(text, start)
-    for m in _FOUR.finditer(text, start, run.end()):
-        if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m.group().split(".")):
-            out.append(m.span())
-    return run.end()
+    end = _DOTTED.match(text, start).end()
+    numbers, at = [], start
+    for part in text[start:end].split("."):
+        numbers = [*numbers, (at, part)] if part else []
+        if len(numbers) == 4:
+            if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for _, p in numbers):
+                out.append((numbers[0][0], at + len(part)))
+            numbers = []
+        at += len(part) + 1
+    return end
 
 
 def _chain(text: str, start: int, out: list) -> int:
