@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, chat, mixing, pii
+from veilspan.llm import bpe, chat, lz, mixing, pii
 from veilspan.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "formatted_chars", "valid")
 
 
+def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_mixing": op5_mixing,
     "op8_chat": op8_chat,
+    "op9_lz_fingerprint": op9_lz_fingerprint,
     "op10_pii": op10_pii,
 }
 
