@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import ann, bpe, chat, lz, mixing, pii, quality, simhash, toxicity
+from veilspan.llm import ann, bpe, chat, lz, mixing, pages, pii, quality, simhash, toxicity
 from veilspan.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ann": op2_ann,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_main_text": op4_main_text,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
