@@ -84,8 +84,8 @@ def written(mixed: DataFrame) -> DataFrame:
     """The mix itself: a row for each time a document is taken, the last one cut after its last taken word."""
     kept = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
     words = F.least(F.col("size"), F.col("taken") - F.col("_turn") * F.col("size"))
-    cut = F.when(words == F.col("size"), F.col("text")).otherwise(
-        F.regexp_extract("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), words.cast("string"), F.lit("}")), 0))
+    pieces = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    cut = F.when(words == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), ""))
     turns = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int") - 1)
     rows = mixed.filter(F.col("taken") > 0).select("*", F.explode(turns).alias("_turn"))
     return rows.select(*[cut.alias(c) if c == "text" else F.col(c) for c in kept])
