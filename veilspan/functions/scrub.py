@@ -19,7 +19,7 @@ NO_LEAKS = f"CAST(array() AS {LEAKS})"
 # Order matters: each pattern runs on what the ones before it left.
 BODY_PATTERNS = [
     ("aadhaar", rx.quick(rx.DIGIT, rx.BODY_AADHAAR)), ("pan", rx.quick(rx.CAPITAL, rx.PAN)),
-    ("phone", rx.quick(rx.PHONE_HEAD, rx.PHONE)), ("email", rx.quick(rx.LOCAL_PART, rx.EMAIL)),
+    ("phone", rx.quick(rx.PHONE_HEAD, rx.PHONE)), ("email", rx.address()),
     ("card", rx.quick(rx.DIGIT, rx.CARD)), ("account", rx.quick(rx.DIGIT, rx.ACCOUNT)),
 ]
 # Cheap test that must hold before a pattern can match.

@@ -123,7 +123,7 @@ TEXT_PATTERNS = {
     "aadhaar": (rx.quick(rx.DIGIT, rx.AADHAAR), "run"),
     "pan": (rx.quick(rx.CAPITAL, rx.PAN), "code"),
     "phone": (rx.quick(rx.PHONE_HEAD, rx.PHONE), "run"),
-    "email": (rx.quick(rx.LOCAL_PART, rx.EMAIL), "at"),
+    "email": (rx.address(), "at"),
     "credit_card": (rx.quick(rx.DIGIT, rx.CARD), "run"),
     "ifsc": (rx.quick(rx.CAPITAL, rx.IFSC), "code"),
     "dob": (rx.quick(rx.DIGIT, rx.DOB), "run"),
