@@ -12,7 +12,7 @@ from veilspan.sources import payloads
 
 def sent(spark, bodies, schema=None):
     df = spark.createDataFrame([(b,) for b in bodies], "body string")
-    return [r["sent"] for r in scrub.scrub_body(df, "body", schema or scrub.body_schema(df, "body")).collect()]
+    return [r["sent"] for r in scrub.scrub_body(df, "body", schema).collect()]
 
 
 def test_unknown_shape(spark):
@@ -47,23 +47,70 @@ def test_map_keys_are_judged(spark):
     assert out["h"] == {"Cookie": "[REDACTED]", "accept": "[REDACTED:6]", "task": "[REDACTED:10]"}
 
 
+def audited(spark, bodies, schema=None):
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    rows = scrub.audit_body(df, "body", schema).select(scrub.audit_verdict(F.col("leaks")).alias("v")).collect()
+    return [r["v"] and ({(h["path"], h["reason"]) for h in r["v"]["leaks"] or ()}, r["v"]["ok"], r["v"]["verdict"]) for r in rows]
+
+
 def test_leaks(spark):
     body = {
         "user": {"email": "a@b.co", "phone": 1}, "redaction": {"email": "x", "note": "9876543210"},
         "elements": [{"text": "ABCDE1234F"}, {"password": "p"}], "ok": "fine",
     }
-    df = spark.createDataFrame([(json.dumps(body),)], "body string")
-    schema = scrub.body_schema(df, "body")
-    rows = df.select(scrub.leaks("p", schema).alias("l")) if "p" in df.columns else (
-        df.withColumn("p", F.from_json("body", schema)).select(scrub.leaks("p", schema).alias("l"))
-    )
-    verdict = rows.select(scrub.audit_verdict(F.col("l")).alias("v")).first()["v"]
-    found = {(h["path"], h["reason"]) for h in verdict["leaks"]}
-    assert found == {
+    want = {
         ("user.email", "sensitive-key"), ("user.email", "pii-pattern"), ("user.phone", "sensitive-key"),
         ("redaction.note", "pii-pattern"), ("elements.0.text", "pii-pattern"), ("elements.1.password", "sensitive-key"),
     }
-    assert not verdict["ok"] and verdict["verdict"] == fv.VERDICT_LEAK
+    _S, _L = T.StringType(), T.LongType()
+    schema = payloads.struct(
+        user=payloads.struct(email=_S, phone=_L), redaction=payloads.struct(email=_S, note=_S),
+        elements=T.ArrayType(payloads.struct(text=_S, password=_S)), ok=_S)
+    for shape in (None, schema, payloads.struct(ok=_S)):
+        assert audited(spark, [json.dumps(body)], shape) == [(want, False, fv.VERDICT_LEAK)]
+
+
+def test_bodies_of_many_shapes_side_by_side(spark):
+    """One body's shape must not change what happens to another."""
+    cases = [
+        ('{"note": "call 9876543210"}', {"note": "call [REDACTED:10]"}, {("note", "pii-pattern")}),
+        ('{"note": {"k": "priya@example.com"}}', {"note": {"k": "[REDACTED:17]"}}, {("note.k", "pii-pattern")}),
+        ('{"note": 5}', {"note": 5}, set()),
+        ("[1]", [1], set()),
+        ('{"password": "hunter2", "t": "call 9876543210"}', {"password": "[REDACTED]", "t": "call [REDACTED:10]"}, {("password", "sensitive-key"), ("t", "pii-pattern")}),
+        ('[{"password": "hunter2"}]', [{"password": "[REDACTED]"}], {("0.password", "sensitive-key")}),
+        ('{"AVOID": "x"}', {"AVOID": "x"}, set()),
+        ('{"password": null}', {"password": None}, {("password", "sensitive-key")}),
+        ('{"user": {"phone": "not a number", "name": "P", "extra": [true, null, 1.5]}}',
+         {"user": {"phone": "[REDACTED]", "name": "P", "extra": [True, None, 1.5]}}, {("user.phone", "sensitive-key")}),
+        ('{"password": "a", "password": "b"}', {"password": "[REDACTED]"}, {("password", "sensitive-key")}),
+        ('{"password": ["p", {"x": "9876543210"}]}', {"password": ["p", {"x": "[REDACTED:10]"}]}, {("password", "sensitive-key"), ("password.1.x", "pii-pattern")}),
+        ('{"é \\u0022": "a\\n\\"9876543210"}', {'é "': 'a\n"[REDACTED:10]'}, {('é "', "pii-pattern")}),
+    ]
+    schema = payloads.struct(note=T.StringType(), user=payloads.struct(phone=T.LongType(), name=T.StringType()))
+    for shape in (None, schema):
+        assert [json.loads(s) for s in sent(spark, [b for b, _, _ in cases], shape)] == [w for _, w, _ in cases]
+        assert [v[0] for v in audited(spark, [b for b, _, _ in cases], shape)] == [w for _, _, w in cases]
+
+
+def test_what_is_not_json(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    assert sent(spark, ["{9876543210", "NaN", None, deep]) == ["{[REDACTED:10]", "NaN", None, '"[REDACTED]"']
+    assert [v[0] for v in audited(spark, [deep])] == [{("", "too deep")}]
+
+
+def test_walker_finds_what_expressions_find(spark):
+    import random
+
+    from veilspan.functions import json_walk
+
+    rng = random.Random(13)
+    pieces = ["a@b.com", "+x@d.com", " ", ".", "9876543210", "+91 98765 43210", "4111 1111 1111 1111", "1234-5678-9012", "ABCDE1234F", "123456789", "x", "é", "\n", "-", "@", "00"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", scrub.scrub_text("t").alias("s"), F.expr(scrub.has_pattern_sql("t")).alias("h")).collect()
+    for r in rows:
+        assert json_walk.scrub_string(r.t) == r.s and json_walk.has_pattern(r.t) == r.h, r.t
 
 
 def test_map_leaks(spark):

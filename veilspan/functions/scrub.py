@@ -1,4 +1,4 @@
-"""Scrub and audit outgoing bodies: plain text, JSON of a declared shape, header maps."""
+"""Scrub and audit outgoing bodies: plain text, JSON of a declared or any shape, header maps."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspan.functions import fixed_values as fv
+from veilspan.functions import json_walk
 from veilspan.functions import regexes as rx
 from veilspan.functions.spans import let_sql, raw, test_sql
 
@@ -109,29 +110,37 @@ def scrub_value(value: str, dtype: T.DataType) -> Column:
     return F.expr(scrub_value_sql(value, dtype))
 
 
-def scrub_body(df: DataFrame, body: str, schema: T.StructType, name: str = "sent") -> DataFrame:
-    """Adds the scrubbed JSON body; a body that is not JSON is scrubbed as plain text.
+def _fits_sql(body: str, parsed: str) -> str:
+    """Whether the declared shape holds all of a body: the same JSON comes out as went in, nulls included."""
+    return f"coalesce(to_json(try_parse_json({body})) = to_json(try_parse_json(to_json({parsed}))), FALSE)"
 
-    ``schema`` should come from :func:`body_schema` when the shape is not known,
-    since a field outside it would not be sent on.  A bare JSON number, string
-    or literal passes through; a top-level array is scrubbed as text.
-    """
-    parsed = df.withColumn("_p", F.from_json(body, schema, {"mode": "PERMISSIVE"}))
-    is_json = f"try_parse_json({body}) IS NOT NULL"
-    sent = (
-        f"CASE WHEN {is_json} AND startswith(ltrim({body}), '{{') THEN to_json({scrub_value_sql('_p', schema)}) "
-        f"WHEN {is_json} AND NOT startswith(ltrim({body}), '[') THEN {body} ELSE {scrub_sql(body)} END"
-    )
-    return parsed.withColumn(name, F.expr(sent)).drop("_p")
 
+def scrub_body(df: DataFrame, body: str, schema: T.StructType | None = None, name: str = "sent") -> DataFrame:
+    """Adds the scrubbed JSON body; a body that is not JSON is scrubbed as plain text.
 
-def body_schema(bodies: DataFrame, column: str) -> T.StructType:
-    """Merged shape of all JSON bodies, found by one distributed aggregate."""
-    ddl = bodies.select(
-        F.schema_of_variant_agg(F.try_parse_json(F.col(column))).alias("ddl")
-    ).first()["ddl"]
-    ddl = ddl.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
-    return T._parse_datatype_string(ddl)
+    Bodies that ``schema`` holds completely are scrubbed by expressions; bodies of
+    any other shape, and all bodies without a schema, by ``json_walk``.  A bare
+    JSON number, string or literal passes through.
+    """
+    if schema is None:
+        return df.withColumn(name, json_walk.scrub_any(F.col(body)))
+    rows = df.withColumn("_p", F.from_json(body, schema, {"mode": "PERMISSIVE"}))
+    rows = rows.withColumn("_fits", F.expr(_fits_sql(f"`{body}`", "_p")))
+    other = json_walk.scrub_any(F.expr(f"CASE WHEN NOT _fits THEN `{body}` END"))
+    rows = rows.withColumn("_other", other)
+    sent = f"CASE WHEN _fits THEN to_json({scrub_value_sql('_p', schema)}) ELSE _other END"
+    return rows.withColumn(name, F.expr(sent)).drop("_p", "_fits", "_other")
+
+
+def audit_body(df: DataFrame, body: str, schema: T.StructType | None = None, name: str = "leaks") -> DataFrame:
+    """Adds the leaks of a JSON body of any shape; null for what is not JSON."""
+    if schema is None:
+        return df.withColumn(name, json_walk.leaks_any(F.col(body)))
+    rows = df.withColumn("_p", F.from_json(body, schema, {"mode": "PERMISSIVE"}))
+    rows = rows.withColumn("_fits", F.expr(_fits_sql(f"`{body}`", "_p")))
+    rows = rows.withColumn("_other", json_walk.leaks_any(F.expr(f"CASE WHEN NOT _fits THEN `{body}` END")))
+    found = f"CASE WHEN _fits THEN {_concat(leaks_sql('_p', schema))} ELSE _other END"
+    return rows.withColumn(name, F.expr(found)).drop("_p", "_fits", "_other")
 
 
 def scrub_headers(headers: Column) -> Column:

@@ -439,8 +439,8 @@ _LEAKS_SQL = _BODY_SQL + ", leaks AS (" + " UNION ALL ".join(
 
 def audited(spark, d) -> DataFrame:
     """Leaks of every body; a body that is not JSON was refused before and has none."""
-    parsed = payloads.intake(bodies(spark, d), "body", BODY)
-    return parsed.select("doc_id", "rejected", scrub.leaks("payload", BODY).alias("leaks"))
+    parsed = scrub.audit_body(payloads.intake(bodies(spark, d), "body", BODY), "body", BODY)
+    return parsed.select("doc_id", "rejected", "leaks")
 
 
 @query("leak_audit", f"WITH {_LEAKS_SQL} SELECT doc_id, path, reason FROM leaks")
@@ -460,6 +460,74 @@ def audit_verdict(spark, d):
     return judged.select("doc_id", F.size("v.leaks").alias("n_leaks"), "v.ok", "v.verdict")
 
 
+# Bodies of five shapes in one column: (shape, JSON text, where note, secret and other stand).
+_QUOTED = "to_json(named_struct('v', {}))"
+
+
+def _q(text: str) -> str:
+    """A JSON string with the value of a SQL expression."""
+    return f"regexp_replace({_QUOTED.format(text)}, '^.\"v\":|.$', '')"
+
+
+_SHAPES = [
+    (f"concat('{{\"note\":', {_q('text')}, ',\"password\":\"hunter2\",\"n\":', doc_id, '}}')", "$.note", "$.password", "$.n"),
+    (f"concat('{{\"note\":', doc_id, ',\"password\":null,\"extra\":', {_q('match_1')}, '}}')", "$.note", "$.password", "$.extra"),
+    (f"concat('{{\"note\":{{\"text\":', {_q('text')}, ',\"email\":', {_q('match_1')}, '}},\"AVOID\":', {_q('match_2')}, '}}')", "$.note.text", "$.note.email", "$.AVOID"),
+    (f"concat('[{{\"password\":', {_q('match_1')}, ',\"note\":', {_q('text')}, '}},', {_q('match_2')}, ',', doc_id, ']')", "$[0].note", "$[0].password", "$[1]"),
+    (f"concat('{{\"note\":[', {_q('text')}, ',{{\"pin\":\"1234\"}}],\"redaction\":{{\"email\":', {_q('match_1')}, '}},\"password\":[\"p\",{{\"x\":', {_q('match_2')}, '}}]}}')",
+     "$.note[0]", "$.note[1].pin", "$.password[1].x"),
+]
+
+
+def mixed_bodies(spark, d) -> DataFrame:
+    """One JSON body per planted document, in five shapes by document number."""
+    cases = " ".join(f"WHEN {i} THEN {text}" for i, (text, *_) in enumerate(_SHAPES))
+    return derived.planted_documents(spark, d).select("doc_id", F.expr(f"CASE doc_id % {len(_SHAPES)} {cases} END").alias("body"))
+
+
+_MIXED_SQL = f"WITH planted AS (SELECT {', '.join(derived.PLANTED)} FROM documents)"
+
+
+@query(
+    "scrub_json_mixed",
+    f"""{_MIXED_SQL}, good AS (SELECT * FROM planted), {_scrubbed_by('text', 'a_')}, {_scrubbed_by('match_1', 'b_')}, {_scrubbed_by('match_2', 'c_')}
+SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN CAST(doc_id AS VARCHAR) ELSE a.scrubbed END AS note,
+  CASE doc_id % 5 WHEN 1 THEN NULL ELSE '[REDACTED]' END AS secret,
+  CASE doc_id % 5 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN b.scrubbed ELSE c.scrubbed END AS other
+FROM planted JOIN a_scrubbed a USING (doc_id) JOIN b_scrubbed b USING (doc_id) JOIN c_scrubbed c USING (doc_id)""",
+)
+def scrub_json_mixed(spark, d):
+    """Bodies of any shape next to each other, scrubbed without a declared shape."""
+    sent = scrub.scrub_body(mixed_bodies(spark, d), "body").select("doc_id", "sent")
+
+    def at(k: int) -> str:
+        return "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN get_json_object(sent, '{shape[k]}')" for i, shape in enumerate(_SHAPES)) + " END"
+
+    return sent.select("doc_id", *[F.expr(at(k)).alias(n) for k, n in ((1, "note"), (2, "secret"), (3, "other"))])
+
+
+_MIXED_LEAKS = [  # (shape, path, reason, value that must hold a pattern)
+    (0, "note", "pii-pattern", "text"), (0, "password", "sensitive-key", None), (1, "password", "sensitive-key", None),
+    (1, "extra", "pii-pattern", "match_1"), (2, "note.text", "pii-pattern", "text"), (2, "note.email", "sensitive-key", None),
+    (2, "note.email", "pii-pattern", "match_1"), (2, "AVOID", "pii-pattern", "match_2"), (3, "0.password", "sensitive-key", None),
+    (3, "0.password", "pii-pattern", "match_1"), (3, "0.note", "pii-pattern", "text"), (3, "1", "pii-pattern", "match_2"),
+    (4, "note.0", "pii-pattern", "text"), (4, "note.1.pin", "sensitive-key", None), (4, "redaction.email", "pii-pattern", "match_1"),
+    (4, "password", "sensitive-key", None), (4, "password.1.x", "pii-pattern", "match_2"),
+]
+
+
+@query(
+    "leak_audit_mixed",
+    _MIXED_SQL + " " + " UNION ALL ".join(
+        f"SELECT doc_id, '{path}' AS path, '{reason}' AS reason FROM planted WHERE doc_id % 5 = {shape}" + (f" AND {_any_pattern('(' + value + ')')}" if value else "")
+        for shape, path, reason, value in _MIXED_LEAKS
+    ),
+)
+def leak_audit_mixed(spark, d):
+    found = scrub.audit_body(mixed_bodies(spark, d), "body").select("doc_id", F.explode_outer("leaks").alias("l")).where(c("l").isNotNull())
+    return found.select("doc_id", "l.path", "l.reason")
+
+
 # --- commands -------------------------------------------------------------------------------------------------
 
 # The commands an answer may hold, as SQL values; chosen by order number.
