@@ -112,11 +112,6 @@ TRANSITIONS = {
 }
 
 
-def next_state(state: str, event: str) -> str:
-    """One step of the state machine, for a stateful stream."""
-    return TRANSITIONS[event][STATES.index(state)] if event in TRANSITIONS else state
-
-
 def _function_of(event: Column) -> Column:
     """The state each of the six states goes to, as an array of indexes."""
     identity = F.array(*[F.lit(i) for i in range(len(STATES))])
@@ -134,9 +129,28 @@ def _compose(functions: Column) -> Column:
     )
 
 
-def final_states(
-    df: DataFrame, session: str, order: Sequence[str], event: str, levels: Sequence[str] = LEVELS
-) -> DataFrame:
+def per_second(df: DataFrame, session: str, order: Sequence[str], event: str) -> DataFrame:
+    """(session, _ts, _rows): the events of each second as functions from state to state, each with its place in the order."""
+    second = F.window(F.col(order[0]).cast("timestamp"), LEVELS[0])["start"].alias("_ts")
+    row = F.struct(F.struct(*order).alias("_at"), _function_of(F.col(event)).alias("_f"))
+    return df.groupBy(session, second).agg(F.collect_list(row).alias("_rows"))
+
+
+def states_of(parts: DataFrame, session: str, levels: Sequence[str] = LEVELS[1:]) -> DataFrame:
+    """State of each session after all its events; parts of one second may come in several rows."""
+    in_order = F.transform(F.array_sort(F.flatten(F.collect_list("_rows"))), lambda r: r["_f"])
+    rows = parts.groupBy(session, "_ts").agg(_compose(in_order).alias("_f"), F.sum(F.size("_rows")).cast("long").alias("_n"))
+    composed = [
+        _compose(F.transform(F.array_sort(F.collect_list(F.struct("_ts", "_f"))), lambda r: r["_f"])).alias("_f"), F.sum("_n").alias("_n")]
+    for width in levels:
+        rows = rows.groupBy(session, F.window("_ts", width)["start"].alias("_slice")).agg(*composed).withColumnRenamed("_slice", "_ts")
+    names = F.array(*[F.lit(s) for s in STATES])
+    return rows.groupBy(session).agg(*composed).select(
+        session, F.get(names, F.get("_f", F.lit(0))).alias("state"), F.col("_n").alias("n_events")
+    )
+
+
+def final_states(df: DataFrame, session: str, order: Sequence[str], event: str) -> DataFrame:
     """State of each session after all its events.
 
     A run of events is a function from state to state, and such functions
@@ -144,22 +158,7 @@ def final_states(
     session: every list is bounded by its time level, also in a session that
     holds a large part of all rows.
     """
-    rows = df.select(
-        session, F.struct(*order).alias("_at"), F.col(order[0]).cast("timestamp").alias("_ts"),
-        _function_of(F.col(event)).alias("_f"), F.lit(1).cast("long").alias("_n"),
-    )
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_f"))), lambda r: r["_f"])
-    composed = [_compose(in_order).alias("_f"), F.sum("_n").alias("_n")]
-    for width in levels:
-        slice_start = F.window(F.col("_ts"), width)["start"].alias("_slice")
-        rows = (
-            rows.groupBy(session, slice_start).agg(*composed)
-            .select(session, F.col("_slice").alias("_ts"), F.struct("_slice").alias("_at"), "_f", "_n")
-        )
-    names = F.array(*[F.lit(s) for s in STATES])
-    return rows.groupBy(session).agg(*composed).select(
-        session, F.get(names, F.get("_f", F.lit(0))).alias("state"), F.col("_n").alias("n_events")
-    )
+    return states_of(per_second(df, session, order, event), session)
 
 
 def gap_sessions(

@@ -12,6 +12,7 @@ from veilspan.operators import evaluate, redact, sessions
 from veilspan.plans import box_queries, derived, duck, field_queries, page_queries, text_queries
 from veilspan.sources import payloads
 from veilspan.sources.tables import table
+from veilspan.session import shared_folder
 from veilspan.streaming import jobs
 
 QUERIES: dict[str, Callable] = {}
@@ -218,8 +219,6 @@ def composite_score(spark, d):
 )
 def eval_report(spark, d):
     """All scores in one row, written as a JSON report and read back."""
-    from veilspan.session import shared_folder
-
     scores = {m: c(m) for m in fv.METRIC_WEIGHTS}
     row = _pivoted(spark, d).select(
         *[F.round(m, 4).alias(m.lower()) for m in fv.METRIC_WEIGHTS],
@@ -237,6 +236,10 @@ def steps_stream(spark, d) -> DataFrame:
     return events.withColumn("ts", c("ts").cast("timestamp"))
 
 
+def steps_history(spark, d) -> DataFrame:
+    return derived.steps(spark, d).withColumn("ts", c("ts").cast("timestamp"))
+
+
 @query("stream_scrub", text_queries.ORACLES["scrub_text"])
 def stream_scrub(spark, d):
     stream = jobs.scrubbed(jobs.table_stream(spark, d, "documents").select("doc_id", "text"))
@@ -257,8 +260,6 @@ def stream_scrub_stats(spark, d):
 def stream_log(spark, d):
     """Payloads of streamed pages; only their log lines are kept."""
     from veilspan.operators import detect
-    from veilspan.session import shared_folder
-
     pages = jobs.table_stream(spark, d, "pages").selectExpr(*derived.FORM_PAGES)
     built = payloads.build(detect.page_rows(pages), ["page_id"], task="Fill the form")
     folder = shared_folder(spark, "stream-log")
@@ -275,23 +276,24 @@ def stream_log(spark, d):
     f"WITH {STEPS_SQL} SELECT session, epoch_us(date_trunc('hour', ts)) AS started_us, count(*) AS n_steps, max(ms) AS max_ms FROM steps GROUP BY 1, 2",
 )
 def stream_step_window(spark, d):
-    windows = jobs.step_windows(steps_stream(spark, d))
+    windows = jobs.step_windows(steps_stream(spark, d), watermark=jobs.span_of(steps_history(spark, d)))
     out = jobs.drained_updates(spark, windows, "stream-windows", ["session", "started"])
     return out.select("session", F.unix_micros("started").alias("started_us"), "n_steps", "max_ms")
 
 
 @query("stream_sessions", _gap_sql(fv.TASK_TIMEOUT_SECONDS))
 def stream_sessions(spark, d):
-    jobs.merging_sessions_early(spark)
-    history = derived.steps(spark, d).withColumn("ts", c("ts").cast("timestamp"))
-    marked = jobs.with_end_mark(spark, steps_stream(spark, d).select("session", "ts"), history, "stream-end")
-    out = jobs.drained(spark, jobs.idle_sessions(marked), "stream-sessions")
+    history = steps_history(spark, d)
+    marked, finish = jobs.with_end_mark(spark, steps_stream(spark, d).select("session", "ts"), history, "stream-end")
+    out = jobs.drained(spark, jobs.idle_sessions(marked, watermark=jobs.span_of(history)), "stream-sessions", finish)
     return _in_micros(out.where("session >= 0"))
 
 
 @query("stream_session_state", _STATE_SQL)
 def stream_session_state(spark, d):
-    return jobs.drained_updates(spark, jobs.session_states(steps_stream(spark, d)), "stream-states", ["session"])
+    folder = shared_folder(spark, "stream-states")
+    jobs.session_parts(steps_stream(spark, d), folder)
+    return jobs.states(spark, folder).drop("n_late")
 
 
 @query("stream_dedupe", f"WITH {STEPS_SQL} SELECT session, event_id FROM steps")
@@ -299,7 +301,8 @@ def stream_dedupe(spark, d):
     """Every step sent twice, kept once."""
     steps = steps_stream(spark, d).select("session", "event_id", "ts")
     repeated = steps.unionByName(steps_stream(spark, d).select("session", "event_id", "ts"))
-    return jobs.drained(spark, jobs.without_repeats(repeated).select("session", "event_id"), "stream-dedupe")
+    once = jobs.without_repeats(repeated, watermark=jobs.span_of(steps_history(spark, d)))
+    return jobs.drained(spark, once.select("session", "event_id"), "stream-dedupe")
 
 
 @query(
