@@ -81,3 +81,25 @@ def test_summaries_hold_no_values(spark):
     out = detect.summaries(detect.page_rows(df))
     assert "value" not in out.columns
     assert out.where(F.col("text").contains("98765")).count() == 0
+
+
+def test_signs_inside_quotes_and_names_of_attributes(spark):
+    html = """<body><input placeholder="a > b" title='x < "y"' value="9876543210"><p class="nav hidden md:block" title="a hidden thing">Call 9876543211</p>
+<input type=hidden value="9876543212"><p hidden>no</p><p id=x hidden="">no</p><div data-x="<p>not a tag</p>">yes</div><p>5 < 6 and 7 > 2</p></body>"""
+    got = rows(spark, html)
+    assert [(r["tag"], r["value"] or r["text"]) for r in got] == [
+        ("input", "9876543210"), ("p", "Call 9876543211"), ("div", "yes"), ("p", "5")]
+    assert (got[0]["placeholder"], got[0]["label"]) == ("a > b", 'x < "y"')
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    body = df.select(pg.body_text("html").alias("t")).first()["t"]
+    assert "not a tag" not in body and "5 < 6 and 7 > 2" in body
+
+
+def test_long_tags_are_read_once(spark):
+    import time
+
+    for unit in ("<a ", "<a x='", "<", "<p>", "</p>", "<a \"' "):
+        df = spark.createDataFrame([(1, "<body>" + unit * (300_000 // len(unit)))], "page_id long, html string")
+        start = time.time()
+        pg.elements(df).count()
+        assert time.time() - start < 20, unit

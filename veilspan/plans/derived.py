@@ -166,6 +166,8 @@ FORM = " || ".join([
     "'<button class=\"btn primary\">Submit claim</button><a href=\"\">x</a><a name=\"top\">no target</a><a href=\"/empty\"></a>'",
     "'<div style=\"visibility:hidden\">hidden 9876543210</div><span hidden>secret</span><div></div><span></span>'",
     "'<table><tr><td>Account 5010023456' || " + _P4 + " || '</td><td></td></tr></table><span>DOB 15/08/1995</span>'",
+    "'<input placeholder=\"a > b\" title=\"x <b> y\" value=\"98765 4' || " + _P4 + " || '\"><input type=\"hidden\" value=\"98765 4' || " + _P4 + " || '\">'",
+    "'<p class=\"nav hidden md:block\" title=\"a hidden thing\">Call 98765 4' || " + _P4 + " || '</p><p id=x hidden=\"\">98765 4' || " + _P4 + " || '</p>'",
     "'<p>Card 4111 1111 ' || " + _P4 + " || ' 1111</p><p>' || " + pick("page_id", ["Claim submitted", "Thank you", "Please wait", "Order 12"]) + " || '</p></form>'",
 ])
 

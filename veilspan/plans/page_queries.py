@@ -63,9 +63,13 @@ _CONTAINERS = duck.quoted(fv.CONTAINER_TAGS)
 _COLLAPSED = f"trim(regexp_replace({_unescape('text')}, '\\s+', ' ', 'g'))"
 
 
+# Inside a tag, quoted values hold any sign (a doubled quote is one in SQL).
+_INSIDE = """(?:[^<>"'']|"[^"]*"|''[^'']*'')*"""
+
+
 def body_text_sql(html: str) -> str:
     markup = f"regexp_replace({_markup(html)}, '{pg.BLOCK_END}', chr(10), 'g')"
-    plain = _unescape(f"regexp_replace({markup}, '{pg.ANY_TAG}', '', 'g')")
+    plain = _unescape(f"regexp_replace({markup}, '</?[A-Za-z]{_INSIDE}>', '', 'g')")
     lines = f"regexp_replace({plain}, '[ \\t\\r\\f]+', ' ', 'g')"
     lines = f"regexp_replace({lines}, ' ?\\n[ \\n]*', chr(10), 'g')"
     return f"regexp_replace({lines}, '^[ \\n]+|[ \\n]+$', '', 'g')"
@@ -76,16 +80,17 @@ def nodes_ctes(source: str) -> str:
     return f"""marked AS (
   SELECT page_id, regexp_replace(regexp_replace({_markup('html')}, '{pg.OPTION}', '\\1 ', 'g'),
     '{_WRAPPED}', '<label\\1>\\2<\\3 data-wrapped-label="\\2"', 'g') AS mk FROM {source}),
-cut AS (SELECT page_id, list_filter(string_split(mk, '<'), lambda p: regexp_matches(p, '^[A-Za-z]')) AS ps,
+cut AS (SELECT page_id, regexp_extract_all(mk, '<[A-Za-z]{_INSIDE}>?[^<]*') AS ps,
   regexp_extract_all(mk, '{pg.LABEL_FOR}', 1) AS for_ids, regexp_extract_all(mk, '{pg.LABEL_FOR}', 2) AS for_texts FROM marked),
 each AS (SELECT page_id, for_ids, for_texts, unnest(ps) AS p, generate_subscripts(ps, 1) AS node_no FROM cut),
-nodes AS (SELECT page_id, node_no, for_ids, for_texts, lower(regexp_extract(p, '^([A-Za-z][A-Za-z0-9-]*)', 1)) AS tag,
-  regexp_replace(regexp_extract(p, '^[^>]*'), '^[A-Za-z][A-Za-z0-9-]*', '') AS attrs,
-  regexp_replace(p, '^[^>]*>?', '') AS text FROM each)"""
+nodes AS (SELECT page_id, node_no, for_ids, for_texts, lower(regexp_extract(p, '^<([A-Za-z][A-Za-z0-9-]*)', 1)) AS tag,
+  regexp_extract(p, '^<[A-Za-z][A-Za-z0-9-]*({_INSIDE})', 1) AS attrs,
+  regexp_replace(p, '^<{_INSIDE}>?', '') AS text FROM each)"""
 
 
 _VISIBLE = (
-    f"NOT (regexp_matches(coalesce({_attr('style')}, ''), '{pg.HIDDEN_STYLE}') OR regexp_matches(attrs, '{pg.HIDDEN_ATTR}'))"
+    f"NOT (regexp_matches(coalesce({_attr('style')}, ''), '{pg.HIDDEN_STYLE}') OR regexp_matches(regexp_replace(attrs, '\"[^\"]*\"|''[^'']*''', '', 'g'), '{pg.HIDDEN_ATTR}')"
+    f" OR coalesce(lower({_attr('type')}) = 'hidden', FALSE))"
 )
 _ROLE = (
     "CASE WHEN tag IN ('input', 'textarea', 'select') THEN tag WHEN tag = 'button' THEN 'button' "

@@ -1,7 +1,7 @@
 """Raw HTML pages to nodes and elements.
 
-There is no browser: a page is cut at each ``<`` and every opening tag is a
-node.  All of it is array and string functions on one row, so a page never
+There is no browser: every opening tag is a node, with the text up to the next
+tag; quoted attribute values may hold any sign.  All of it is array and string functions on one row, so a page never
 leaves its partition, and attributes are read after the node rows are cut to
 the ones that are kept.
 
@@ -28,7 +28,12 @@ OPTION = r"(?is)<option\b[^>]*>([^<]*)(?:</option\s*>)?"
 WRAPPED_LABEL = r'(?is)<label\b([^>]*)>([^<"]*)<(input|select|textarea)\b'
 LABEL_FOR = r'(?is)<label\b[^>]*\sfor="([^"]*)"[^>]*>([^<]*)'
 BLOCK_END = r"(?i)<(?:br|/p|/div|/li|/tr|/h[1-6]|/ul|/ol|/table|/section|/article|/main|/form|/nav|/footer|/header)\b[^>]*>"
-ANY_TAG = r"<[^>]*>"
+# What stands inside a tag: quoted values may hold < and >.
+INSIDE = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
+ANY_TAG = rf"</?[A-Za-z]{INSIDE}>"
+# An opening tag and the text right behind it.
+PIECE = rf"<[A-Za-z]{INSIDE}>?[^<]*+"
+QUOTED = r"""("[^"]*+"|'[^']*+')"""
 HIDDEN_STYLE = r"(?i)(display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(\.0*)?\s*(;|$))"
 HIDDEN_ATTR = r"(?i)\shidden(\s|=|/|$)"
 
@@ -51,7 +56,7 @@ def body_markup_sql(html: str) -> str:
 def body_text(html: str) -> Column:
     """Visible text: block ends become line breaks, entities are decoded."""
     markup = f"regexp_replace({body_markup_sql(html)}, {raw(BLOCK_END)}, '\\n')"
-    plain = tx.unescape_sql(f"regexp_replace({markup}, {raw(ANY_TAG)}, '')")
+    plain = tx.unescape_sql(f"regexp_replace({markup}, {_quoted(ANY_TAG)}, '')")
     lines = f"regexp_replace(regexp_replace({plain}, r'[ \t\r\f]+', ' '), r' ?\n[ \n]*', '\\n')"
     return F.expr(f"regexp_replace({lines}, r'^[ \n]+|[ \n]+$', '')")
 
@@ -77,13 +82,13 @@ def _marked_up_sql(html: str) -> str:
 
 def _nodes_sql(markup: str) -> str:
     """All opening tags of a page, in document order."""
-    name = "^[A-Za-z][A-Za-z0-9-]*"
+    name = "[A-Za-z][A-Za-z0-9-]*"
     return (
-        f"transform(filter(split({markup}, '<', -1), _p -> _p RLIKE '^[A-Za-z]'), (_p, _i) -> named_struct("
+        f"transform(regexp_extract_all({markup}, {_quoted(PIECE)}, 0), (_p, _i) -> named_struct("
         "'node_no', CAST(_i + 1 AS INT), "
-        f"'tag', lower(regexp_extract(_p, '{name}', 0)), "
-        f"'attrs', regexp_replace(substring_index(_p, '>', 1), '{name}', ''), "
-        "'text', regexp_replace(_p, '^[^>]*>?', '')))"
+        f"'tag', lower(regexp_extract(_p, '^<({name})', 1)), "
+        f"'attrs', regexp_extract(_p, {_quoted(f'^<{name}({INSIDE})')}, 1), "
+        f"'text', regexp_replace(_p, {_quoted(f'^<[A-Za-z]{INSIDE}>?')}, '')))"
     )
 
 
@@ -113,8 +118,14 @@ def is_skipped(tag: str = "tag") -> Column:
 
 
 def visible_sql(attrs: str) -> str:
+    """By the tag's own attributes: the name ``hidden``, ``type="hidden"``, and the style."""
     style = attribute_sql(attrs, "style")
-    hidden = f"{attrs} RLIKE {raw(HIDDEN_ATTR)} OR coalesce({style} RLIKE {raw(HIDDEN_STYLE)}, FALSE)"
+    names = f"regexp_replace({attrs}, {_quoted(QUOTED)}, '')"
+    typed = f"coalesce(lower({attribute_sql(attrs, 'type')}) = 'hidden', FALSE)"
+    hidden = (
+        f"(contains(lower({attrs}), 'hidden') AND ({names} RLIKE {raw(HIDDEN_ATTR)} OR {typed}))"
+        f" OR coalesce({style} RLIKE {raw(HIDDEN_STYLE)}, FALSE)"
+    )
     return f"({attrs} = '' OR NOT ({hidden}))"
 
 
