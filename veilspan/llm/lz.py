@@ -7,7 +7,7 @@ two phrase sets is common, and so how well one text compresses the other.
 
 A document is also compared with the document behind it in ascending order, which
 a second text is made of.  Documents are dealt into ranges of ids at percentiles
-(about one per 4000 documents, 10 000 at most); the first document of each range
+(about one per 1000 documents, 10 000 at most); the first document of each range
 goes to the range before it as well.  A range is sorted and streamed; a task holds
 two documents and their phrase sets.
 
@@ -30,44 +30,43 @@ from pyspark.sql import functions as F
 
 #: Hashes of a fingerprint.
 HASHES = 128
-DOCS_PER_RANGE, MOST_RANGES = 4_000, 10_000
+DOCS_PER_RANGE, MOST_RANGES = 1_000, 10_000
 _FIRST = -(1 << 63)
 
 
-def parse(text: str, seen: set[str], start: int, limit: int) -> int:
-    """Add the phrases from ``start`` on that end by ``limit``; returns where they end.
-
-    Every piece that starts a phrase is a phrase too, so the search for the end of
-    a phrase starts at the length of the last one and goes either way.
-    """
-    n, k, add = len(text), 1, seen.add
-    while start < n:
-        if text[start:start + k] in seen:
-            k += 1
-            while start + k <= n and text[start:start + k] in seen:
-                k += 1
-        else:
-            while k > 1 and text[start:start + k - 1] not in seen:
-                k -= 1
-        end = min(n, start + k)
-        if end > limit:
-            return start
-        add(text[start:end])
-        start = end
-    return start
-
-
-def signature(seen: Iterable[str], hashes: int = HASHES) -> np.ndarray:
+def parse(text: str, seen: set[str]) -> tuple[list[str], str]:
+    """Add the phrases of the text to ``seen``; returns the new ones and what is left behind the last, itself a phrase or empty."""
+    add, new, phrase = seen.add, [], ""
+    for c in text:
+        phrase += c
+        if phrase not in seen:
+            add(phrase)
+            new.append(phrase)
+            phrase = ""
+    return new, phrase
+
+
+def signature(phrases: list[str], hashes: int = HASHES) -> np.ndarray:
     """The smallest distinct hashes of the phrases, ascending."""
-    found = np.unique(np.fromiter(map(xxhash.xxh32_intdigest, seen), np.uint32))
-    return found[:hashes]
+    return smallest(np.fromiter(map(xxhash.xxh32_intdigest, phrases), np.uint32, len(phrases)), hashes)
+
+
+def smallest(found: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    if len(found) > 8 * hashes:  # distinct phrases hardly share hashes; if too many do, all are sorted
+        least = np.unique(np.partition(found, 2 * hashes)[:2 * hashes])
+        if len(least) > hashes:
+            return least[:hashes]
+    return np.unique(found)[:hashes]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, hashes: int = HASHES) -> float:
     """Estimated share of common phrases among all phrases of both."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    return float(np.isin(np.intersect1d(a, b, True), least := np.union1d(a, b)[:hashes]).sum() / len(least))
+    both = np.sort(np.concatenate([a, b]))
+    first = np.r_[True, both[1:] != both[:-1]]
+    least = both[first][:hashes]
+    return float((both[~first] <= least[-1]).sum() / len(least))
 
 
 def written(sig: np.ndarray) -> str:
@@ -81,15 +80,19 @@ class Parsed:
         self.doc_id, self.text = doc_id, text
         self.cut = len(text) - len(text) // 2
         self.early: set[str] = set()
-        self.at = parse(text, self.early, 0, self.cut)
-        seen = self.early.copy()
-        parse(text, seen, self.at, len(text))
-        self.sig = signature(seen)
+        found, self.left = parse(text[:self.cut], self.early)
+        self.early_sig = signature(found)
+        found, _ = parse(self.left + text[self.cut:], self.early.copy())
+        self.sig = self._and(found)
+
+    def _and(self, late: list[str]) -> np.ndarray:
+        return smallest(np.concatenate([self.early_sig, signature(late)]))
 
     def row(self, following: Parsed) -> tuple:
-        edited = self.text[:self.cut] + following.text[:len(self.text) - self.cut]
-        parse(edited, self.early, self.at, len(edited))
-        other = signature(self.early)
+        late = following.text[:len(self.text) - self.cut]
+        edited = self.text[:self.cut] + late
+        found, _ = parse(self.left + late, self.early)
+        other = self._and(found)
         return (self.doc_id, len(self.text), hashlib.sha256(edited.encode()).hexdigest(), written(self.sig), written(other),
                 likeness(self.sig, other), likeness(self.sig, following.sig))
 
@@ -151,7 +154,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 last, done = here, extra
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(SCHEMA), SCHEMA)], schema=SCHEMA)
 
-    placed = docs.mapInArrow(deal, dealt).repartition(max(1, len(firsts)), "part")
+    placed = docs.mapInArrow(deal, dealt).repartition("part")
     return placed.sortWithinPartitions("part", "extra", "id", "text").mapInArrow(run, DDL)
 
 
