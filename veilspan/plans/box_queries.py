@@ -328,13 +328,13 @@ QUALITY_SQL = """quality AS (SELECT CAST(sum(copies) AS BIGINT) AS n_truth, CAST
 
 def quality(spark, d) -> DataFrame:
     """Recall, precision (matched truth over predictions) and category accuracy."""
-    best = _best(spark, d).agg(
+    none = F.lit(0).cast("long")
+    best = _best(spark, d).select("copies", "matched", "agrees", none.alias("predicted"))
+    predicted = derived.predicted_boxes(spark, d).select(none.alias("copies"), F.lit(False).alias("matched"), F.lit(False).alias("agrees"), (none + 1).alias("predicted"))
+    joined = best.union(predicted).agg(
         F.sum("copies").alias("n_truth"), F.sum(F.when(c("matched"), c("copies")).otherwise(0)).alias("n_matched"),
-        F.sum(F.when(c("agrees"), c("copies")).otherwise(0)).alias("n_agree"),
+        F.sum(F.when(c("agrees"), c("copies")).otherwise(0)).alias("n_agree"), F.sum("predicted").alias("n_pred"),
     )
-    predicted = derived.predicted_boxes(spark, d).agg(F.count(F.lit(1)).alias("n_pred"))
-    # Two one-row tables, joined on a constant key.
-    joined = best.withColumn("k", F.lit(1)).join(predicted.withColumn("k", F.lit(1)), "k").drop("k")
     return joined.select(
         "n_truth", "n_matched", "n_agree", "n_pred",
         (c("n_matched") / c("n_truth")).alias("box_recall"),

@@ -91,6 +91,7 @@ def planted_labels(docs: DataFrame) -> DataFrame:
 
 # --- form fields from customers --------------------------------------------------------------
 
+# The labels that form fixtures carry, with a few traps added.
 FIELD_LABELS = [
     "Full name (as per ID)", "Date of birth", "Email address", "Mobile number", "Residential address",
     "PIN code", "Aadhaar number", "PAN", "Bank account number", "IFSC code", "Create login password",
@@ -151,6 +152,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 _P = "CAST(page_id AS STRING)"
 _P4 = _four("page_id")
 
+# A form with the labels of the fixtures, one control a line.
 FORM = " || ".join([
     "'<form id=\"f' || " + _P + " || '\">'",
     "'<label>Full name (as per ID) <input type=\"text\" name=\"full_name\" autocomplete=\"name\" value=\"Priya ' || " + _P + " || '\"></label>'",
@@ -168,6 +170,9 @@ FORM = " || ".join([
     "'<table><tr><td>Account 5010023456' || " + _P4 + " || '</td><td></td></tr></table><span>DOB 15/08/1995</span>'",
     "'<input placeholder=\"a > b\" title=\"x <b> y\" value=\"98765 4' || " + _P4 + " || '\"><input type=\"hidden\" value=\"98765 4' || " + _P4 + " || '\">'",
     "'<p class=\"nav hidden md:block\" title=\"a hidden thing\">Call 98765 4' || " + _P4 + " || '</p><p id=x hidden=\"\">98765 4' || " + _P4 + " || '</p>'",
+    "'<label>' || repeat('Very long label ', 8) || '<input name=\"l\" title=\"not used\" class=\"' || repeat('wide ', 20) || '\"></label>'",
+    "'<input aria-label=\"' || repeat('Spoken label ', 9) || '\" title=\"not used\"><textarea title=\"Only a title\"></textarea>'",
+    "'<img src=\"/' || repeat('deep/', 40) || 'x.png\" alt=\"\" class=\"' || repeat('pic ', 30) || '\"><div class=\"' || repeat('box ', 20) || '\">x</div>'",
     "'<p>Card 4111 1111 ' || " + _P4 + " || ' 1111</p><p>' || " + pick("page_id", ["Claim submitted", "Thank you", "Please wait", "Order 12"]) + " || '</p></form>'",
 ])
 

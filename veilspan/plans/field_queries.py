@@ -271,28 +271,6 @@ def scrub_headers(spark, d):
 
 # --- fallbacks, truncation, options -------------------------------------------------------------
 
-@query(
-    "label_fallback",
-    f"WITH {FIELDS_SQL} SELECT field_id, coalesce(nullif(label, ''), nullif(aria_label, ''), nullif(placeholder, '')) AS label FROM fields",
-)
-def label_fallback(spark, d):
-    return derived.fields(spark, d).select(
-        "field_id", tx.first_filled(c("label"), c("aria_label"), c("placeholder")).alias("label")
-    )
-
-
-@query(
-    "truncate_attrs",
-    "SELECT page_id, nullif(left(html, 60), '') AS control_class, nullif(left(html, 40), '') AS plain_class, "
-    "nullif(left(url, 120), '') AS src, nullif(left(trim(html), 80), '') AS label FROM pages",
-)
-def truncate_attrs(spark, d):
-    return table(spark, d, "pages").select(
-        "page_id", tx.clip(c("html"), 60).alias("control_class"), tx.clip(c("html"), 40).alias("plain_class"),
-        tx.clip(c("url"), 120).alias("src"), tx.clip(F.trim("html"), 80).alias("label"),
-    )
-
-
 @query(
     "scan_source",
     f"WITH {FIELDS_SQL} SELECT field_id, CASE WHEN input_type = 'password' THEN NULL WHEN coalesce(value, '') <> '' AND field_id % 4 <> 0 THEN value "

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from veilspan.functions import fixed_values as fv
 from veilspan.functions import classify, scrub
 from veilspan.functions import text as tx
+from veilspan.functions.spans import let_sql
 from veilspan.operators import agent, detect
 from veilspan.plans import derived, duck
 from veilspan.plans.field_queries import image_sql, verdict_sql
@@ -204,6 +205,20 @@ def generic_elements(spark, d):
     return rows.select("page_id", "uid", "kept_no", "tag", "has_text", "text", "class_name")
 
 
+@query("label_fallback", f"WITH {_ELEMENTS} SELECT page_id, uid, label FROM elements WHERE role IN ('input', 'textarea', 'select')")
+def label_fallback(spark, d):
+    """A control's own label, else its spoken label, else its title."""
+    rows = pg.elements(derived.form_pages(spark, d)).where(c("role").isin("input", "textarea", "select"))
+    return rows.select("page_id", "uid", "label")
+
+
+@query("truncate_attrs", f"WITH {_ELEMENTS} SELECT page_id, uid, class_name, src, label FROM elements WHERE class_name IS NOT NULL OR src IS NOT NULL OR label IS NOT NULL")
+def truncate_attrs(spark, d):
+    """Attributes cut to what is shown: 60 or 40 characters of a class, 120 of a source, 80 of a label."""
+    rows = pg.elements(derived.form_pages(spark, d)).select("page_id", "uid", "class_name", "src", "label")
+    return rows.where("class_name IS NOT NULL OR src IS NOT NULL OR label IS NOT NULL")
+
+
 # --- detections of pages ----------------------------------------------------------------------------
 
 _SCANNED = (
@@ -304,44 +319,66 @@ def row_caps(spark, d):
 
 
 def page_payloads(spark, d) -> DataFrame:
-    return payloads.build(detect.page_rows(derived.form_pages(spark, d)), ["page_id"], task="Fill the form")
+    return payloads.build(payloads.audited_rows(derived.form_pages(spark, d)), ["page_id"], task="Fill the form")
 
 
 _PAYLOAD_SQL = f"""{_DETECTIONS}, capped AS (SELECT * FROM elements WHERE in_cap), {summaries_ctes('capped')},
 {duck.scrub_ctes('(SELECT page_id, id, text FROM summaries)', 'page_id, id', 'text', 's_')},
 first_cat AS (SELECT page_id, uid, category FROM detections WHERE det_no = 1),
-n_cat AS (SELECT page_id, count(*) AS n_detections, count(DISTINCT category) AS n_types, count(*) FILTER (WHERE category = 'face') AS n_faces FROM detections GROUP BY 1),
-totals AS (SELECT s.page_id, count(*) AS element_count, count(f.category) AS n_tagged, CAST(sum(length(x.scrubbed)) AS BIGINT) AS n_chars
-  FROM summaries s JOIN s_scrubbed x ON x.page_id = s.page_id AND x.id = s.id LEFT JOIN first_cat f ON f.page_id = s.page_id AND f.uid = s.id GROUP BY 1)"""
+n_cat AS (SELECT page_id, count(*) FILTER (WHERE category = 'face') AS n_faces FROM detections GROUP BY 1),
+cats AS (SELECT page_id, string_agg(category || '=' || n, ',' ORDER BY category) AS categories
+  FROM (SELECT page_id, category, CAST(count(*) AS VARCHAR) AS n FROM detections GROUP BY 1, 2) GROUP BY 1),
+bodies AS (SELECT page_id, {body_text_sql('html')} AS body FROM form_pages), {duck.hits_ctes('bodies', 'page_id', 'body', 'b_')},
+{duck.regions_ctes('b_hits', 'page_id')},
+altered AS (SELECT page_id, sum(r_end - r_start) AS n, sum(greatest(r_end - r_start - 2, 0)) AS masked FROM regions GROUP BY 1),
+spanned AS (SELECT page_id, sum(length(match)) AS n FROM b_hits GROUP BY 1),
+audits AS (SELECT b.page_id, coalesce(a.n, 0) / length(body) AS pixel_delta, coalesce(s.n, 0) / length(body) AS coverage,
+  least(1, (strlen(body) + 2 * coalesce(masked, 0)) / strlen(body)) AS byte_delta
+  FROM bodies b LEFT JOIN altered a ON a.page_id = b.page_id LEFT JOIN spanned s ON s.page_id = b.page_id)"""
 
 
 @query(
     "payload_build",
-    f"WITH {_PAYLOAD_SQL} SELECT t.page_id, '{payloads.SCHEMA_TAG}' AS schema, 'blur' AS scheme, coalesce(n_detections, 0) AS n_detections, "
-    "coalesce(n_types, 0) AS n_types, coalesce(n_faces, 0) AS face_count, element_count, n_tagged, n_chars "
-    "FROM totals t LEFT JOIN n_cat n ON n.page_id = t.page_id",
+    f"WITH {_PAYLOAD_SQL} SELECT s.page_id, s.id, s.role, x.scrubbed AS text, s.input_type, s.interactive, f.category AS pii_category, "
+    f"'{payloads.SCHEMA_TAG}' AS schema, 'blur' AS scheme, coalesce(categories, '') AS categories, coalesce(n_faces, 0) AS face_count, "
+    f"{duck.rounded('pixel_delta')} AS pixel_delta, {duck.rounded('byte_delta')} AS byte_delta, {duck.rounded('coverage')} AS coverage "
+    "FROM summaries s JOIN s_scrubbed x ON x.page_id = s.page_id AND x.id = s.id LEFT JOIN first_cat f ON f.page_id = s.page_id AND f.uid = s.id "
+    "LEFT JOIN n_cat n ON n.page_id = s.page_id LEFT JOIN cats ON cats.page_id = s.page_id JOIN audits a ON a.page_id = s.page_id",
 )
 def payload_build(spark, d):
-    p, red = c("payload"), c("payload.redaction")
-    counts = F.map_values(red["categories"])
-    return page_payloads(spark, d).select(
-        "page_id", p["schema"].alias("schema"), red["scheme"].alias("scheme"),
-        F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n).alias("n_detections"),
-        F.size(counts).alias("n_types"), red["faceCount"].alias("face_count"),
-        F.size(p["elements"]).alias("element_count"),
-        F.size(F.filter(p["elements"], lambda e: e["piiCategory"].isNotNull())).alias("n_tagged"),
-        F.aggregate(p["elements"], F.lit(0).cast("long"), lambda a, e: a + F.length(e["text"])).alias("n_chars"),
+    """One row per listed element, with what the payload says about its page."""
+    told = (
+        "'schema', _p.schema, 'scheme', _p.redaction.scheme, 'categories', "
+        "array_join(transform(array_sort(map_entries(_p.redaction.categories)), _c -> concat(_c.key, '=', _c.value)), ','), "
+        "'face_count', _p.redaction.faceCount, 'pixel_delta', round(_p.redaction.audit.pixelDelta, 9), "
+        "'byte_delta', round(_p.redaction.audit.byteDelta, 9), 'coverage', round(_p.redaction.audit.redactionCoverage, 9)"
     )
+    row = (
+        "named_struct('id', _e.id, 'role', _e.role, 'text', _e.text, 'input_type', _e.inputType, 'interactive', _e.interactive, "
+        f"'pii_category', _e.piiCategory, {told})"
+    )
+    # bound in a lambda, the payload is computed once and not once for each field read from it
+    listed = let_sql("payload", "_p", f"transform(_p.elements, _e -> {row})")
+    return page_payloads(spark, d).select("page_id", F.expr(f"inline({listed})"))
 
 
 @query(
     "agent_log",
-    f"WITH {_PAYLOAD_SQL} SELECT t.page_id, 'Fill the form' AS task, CAST(1 AS BIGINT) AS step, CAST(640 AS BIGINT) AS w, CAST(1100 AS BIGINT) AS h, 'blur' AS scheme, "
-    "coalesce(n_faces, 0) AS face_count, CAST(0 AS DOUBLE) AS pixel_delta, CAST(0 AS DOUBLE) AS byte_delta, CAST(0 AS BIGINT) AS image_kb, element_count "
-    "FROM totals t LEFT JOIN n_cat n ON n.page_id = t.page_id",
+    f"WITH {_PAYLOAD_SQL}, totals AS (SELECT page_id, count(*) AS element_count FROM summaries GROUP BY 1) "
+    "SELECT t.page_id, 'Fill the form' AS task, CAST(1 AS BIGINT) AS step, CAST(640 AS BIGINT) AS w, CAST(1100 AS BIGINT) AS h, 'blur' AS scheme, "
+    "coalesce(categories, '') AS categories, coalesce(n_faces, 0) AS face_count, "
+    f"{duck.rounded('pixel_delta', 4)} AS pixel_delta, {duck.rounded('byte_delta', 4)} AS byte_delta, CAST(0 AS BIGINT) AS image_kb, element_count, TRUE AS timed "
+    "FROM totals t LEFT JOIN n_cat n ON n.page_id = t.page_id LEFT JOIN cats ON cats.page_id = t.page_id JOIN audits a ON a.page_id = t.page_id",
 )
 def agent_log(spark, d):
-    return payloads.log_rows(page_payloads(spark, d), ["page_id"]).drop("ts", "categories")
+    return shown_log(payloads.log_rows(page_payloads(spark, d), ["page_id"]))
+
+
+def shown_log(rows: DataFrame) -> DataFrame:
+    """Log lines with the counts as text and the time as a test: it is now, to an hour."""
+    counts = F.transform(F.array_sort(F.map_entries("categories")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    now = F.abs(F.unix_seconds("ts") - F.unix_seconds(F.current_timestamp())) < 3600
+    return rows.withColumn("categories", F.array_join(counts, ",")).withColumn("timed", now).drop("ts")
 
 
 # --- JSON bodies -------------------------------------------------------------------------------------------

@@ -332,16 +332,16 @@ def redact_solid(spark, d):
     f"""WITH {_REGIONS},
 r AS (SELECT doc_id, sum(r_end - r_start) AS altered, count(*) AS n FROM regions GROUP BY 1),
 h AS (SELECT doc_id, sum(length(match)) AS covered FROM hits GROUP BY 1),
-x AS (SELECT p.doc_id, length(p.text) AS n_chars, CAST(coalesce(altered, 0) AS BIGINT) AS altered_chars,
+x AS (SELECT p.doc_id, length(p.text) AS n_chars, strlen(p.text) AS n_bytes, CAST(coalesce(altered, 0) AS BIGINT) AS altered_chars,
   CAST(coalesce(covered, 0) AS BIGINT) AS span_chars, coalesce(n, 0) AS n_regions
   FROM planted p LEFT JOIN r ON r.doc_id = p.doc_id LEFT JOIN h ON h.doc_id = p.doc_id)
-SELECT doc_id, n_chars, altered_chars, span_chars, n_regions, {duck.rounded('altered_chars / n_chars')} AS char_delta,
+SELECT doc_id, n_chars, altered_chars, span_chars, n_regions, {duck.rounded('least(1, (n_bytes + 2 * altered_chars) / n_bytes)')} AS size_ratio, {duck.rounded('altered_chars / n_chars')} AS char_delta,
   {duck.rounded('span_chars / n_chars')} AS coverage FROM x""",
 )
 def redaction_audit(spark, d):
     done = redact.redacted(derived.planted_documents(spark, d), "doc_id", style="solid")
     return redact.audit(done, "doc_id").select(
-        "doc_id", "n_chars", "altered_chars", "span_chars", "n_regions",
+        "doc_id", "n_chars", "altered_chars", "span_chars", "n_regions", F.round("size_ratio", 9).alias("size_ratio"),
         F.round("char_delta", 9).alias("char_delta"), F.round("coverage", 9).alias("coverage"),
     )
 

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from veilspan.functions import fixed_values as fv
 from veilspan.functions import scrub
 from veilspan.functions.spans import let_sql
-from veilspan.operators import detect
+from veilspan.operators import detect, redact
+from veilspan.sources import pages as pg
 
 SCHEMA_TAG = "veilspan/1"
 REPORT_VERSION = "1.0"
@@ -60,6 +61,13 @@ def intake(
     return rows.withColumn("rejected", reason)
 
 
+def audited_rows(pages: DataFrame, keys: Sequence[str] = ("page_id",), style: str = "blur") -> DataFrame:
+    """``detect.page_rows`` with the audit of redacting the page's body text; narrow."""
+    bodies = pages.select(*keys, "html", pg.body_text("html").alias("_body"))
+    told = redact.audit(redact.redacted(bodies, *keys, "html", text="_body", style=style), *keys, "html")
+    return detect.page_rows(told, (*keys, "char_delta", "size_ratio", "coverage"))
+
+
 def build(
     rows: DataFrame, keys: Sequence[str], scheme: str = "blur", task: str | None = None,
     viewport: tuple[int, int, float] = (640, 1100, 1.0), step: int = 1,

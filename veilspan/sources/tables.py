@@ -7,21 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from veilspan.session import cores, path_of
 
 
+#: Bytes of files that are dealt out anew.
+SMALL = 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(path_of(sf_dir, name))
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a costly scan enough tasks when the files make too few.
+    """Give a costly scan of a small table enough tasks.
 
     A small table in one row group is read by one task.  The round-robin
-    shuffle is added only below the core count; a large table has many more
-    splits than that and is scanned where it lies.
+    shuffle moves ``SMALL`` bytes of files at most, by the estimate of the plan,
+    and needs no listing of splits; a larger table is scanned where it lies.
     """
-    wanted = cores(df.sparkSession)
-    if df.rdd.getNumPartitions() >= wanted:
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size) > SMALL:
         return df
-    return df.repartition(wanted)
+    return df.repartition(cores(df.sparkSession))
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
