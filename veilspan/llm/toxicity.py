@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -43,9 +43,11 @@ SAMPLE, TRAIN_WORDS, SPAN = 8_000, 500_000, 32
 WEIGHTS, STEPS, ROUNDS, RIDGE = 1 << 18, 60, 2, 2e-6
 #: Log-odds from which a word of a toxic document is first labelled toxic, and toxic documents that must hold the feature.
 SEED_ODDS, SEED_DOCS = 2.5, 3
+#: Hashed features that are counted by document.
+SEED_FEATURES = 1 << 22
 THRESHOLD = 0.3
 #: Words a task remembers the emission of, and words that run side by side.
-REMEMBERED, WORDS_AT_ONCE = 500_000, 1_000_000
+REMEMBERED, WORDS_AT_ONCE = 300_000, 500_000
 
 _WORD = re.compile(r"\w+")
 
@@ -172,17 +174,37 @@ def spans(text: str, odds: np.ndarray) -> list[tuple[int, int]]:
 
 # --- training -----------------------------------------------------------------------------------------
 
-def _fit(model: Field, rows: list[np.ndarray], types: list[list[int]], tags: list[np.ndarray]) -> None:
-    """Adam on the log-likelihood of the tags; rows hold word types, types their hashed features."""
-    times, many = SPAN, len(rows)
+class Words:
+    """Numbered words and the hashes of their features, as flat arrays."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        self.docs = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())], np.int32) for t in texts]
+        sizes = np.zeros(len(number) + 1, np.int64)
+        flat = array("L" if array("L").itemsize == 4 else "I")
+        for i, word in enumerate(number):
+            found = [zlib.crc32(f.encode("utf-8", "replace")) for f in features(word)]
+            flat.extend(found)
+            sizes[i + 1] = len(found)
+        self.flat, self.starts = np.frombuffer(flat, np.uint32).astype(np.int64), np.cumsum(sizes)
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words, and the hash, of every feature of the words."""
+        sizes = self.starts[words + 1] - self.starts[words]
+        owner = np.repeat(np.arange(len(words)), sizes)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.starts[words], sizes)
+        return owner, self.flat[at]
+
+
+def _fit(model: Field, rows: list[np.ndarray], owner: np.ndarray, weight_at: np.ndarray, tags: list[np.ndarray]) -> None:
+    """Adam on the log-likelihood of the tags; rows hold word types, whose features are (owner, weight) pairs."""
+    times, many, kinds = SPAN, len(rows), int(owner[-1]) + 1
     lengths = np.array([len(r) for r in rows])
     inside = np.arange(times)[:, None] < lengths
     word = np.zeros((times, many), np.int64)
     tag = np.zeros((times, many))
     for k, (r, y) in enumerate(zip(rows, tags)):
         word[:len(r), k], tag[:len(r), k] = r, y
-    owner = np.repeat(np.arange(len(types)), [len(t) for t in types])
-    weight_at = np.concatenate([np.array(t, np.int64) for t in types])
     used, place = np.unique(weight_at, return_inverse=True)
     x = np.concatenate([model.weights[used], [model.bias, model.start], model.moves.ravel()])
     m, v = np.zeros_like(x), np.zeros_like(x)
@@ -193,11 +215,11 @@ def _fit(model: Field, rows: list[np.ndarray], types: list[list[int]], tags: lis
     observed = np.array([[((y_from == i) & (y_to == j) & pairs).sum() for j in (0, 1)] for i in (0, 1)], float)
     for step in range(1, STEPS + 1):
         a = x[n + 2:].reshape(2, 2)
-        emission = (np.bincount(owner, x[place], len(types)) + x[n])[word]
+        emission = (np.bincount(owner, x[place], kinds) + x[n])[word]
         z, before, behind = marginals(emission, lengths, x[n + 1], a)
         p = np.where(inside, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
         wrong = np.where(inside, tag - p, 0.0)
-        by_type = np.bincount(word.ravel(), wrong.ravel(), len(types))
+        by_type = np.bincount(word.ravel(), wrong.ravel(), kinds)
         r, s = before[:-1] + emission[:-1], emission[1:] + behind[1:]
         joint = np.stack([[a[i, j] + i * r + j * s for j in (0, 1)] for i in (0, 1)])
         joint = np.exp(joint - joint.max(axis=(0, 1)))
@@ -209,14 +231,16 @@ def _fit(model: Field, rows: list[np.ndarray], types: list[list[int]], tags: lis
     model.weights[used], model.bias, model.start, model.moves = x[:n], x[n], x[n + 1], x[n + 2:].reshape(2, 2)
 
 
-def _seeds(cut: list[list[str]], labels: np.ndarray) -> dict[str, float]:
-    """Log-odds of features that toxic documents hold and clean ones hold less."""
-    bad, good = Counter(), Counter()
-    for words, label in zip(cut, labels):
-        (bad if label else good).update(set().union(*map(features, set(words))) if words else ())
-    many, few = (labels == 1).sum() + 1, (labels == 0).sum() + 1
-    odds = {f: np.log((c + 0.2) / many) - np.log((good[f] + 0.2) / few) for f, c in bad.items() if c >= SEED_DOCS}
-    return {f: o for f, o in odds.items() if o >= SEED_ODDS}
+def _seeds(words: Words, chosen: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """For each word the largest log-odds of a feature that toxic documents hold and clean ones hold less; 0 below ``SEED_ODDS``."""
+    held = np.zeros((2, SEED_FEATURES), np.int32)
+    for i in chosen:
+        _, found = words.of(np.unique(words.docs[i]))
+        held[int(labels[i]), np.unique(found % SEED_FEATURES)] += 1
+    many = np.array([(labels[chosen] == k).sum() + 1 for k in (0, 1)])
+    odds = np.log((held[1] + 0.2) / many[1]) - np.log((held[0] + 0.2) / many[0])
+    odds[(held[1] < SEED_DOCS) | (odds < SEED_ODDS)] = 0
+    return np.maximum.reduceat(odds[words.flat % SEED_FEATURES], words.starts[:-1]) if len(words.flat) else np.zeros(0)
 
 
 def learn(texts: list[str], labels: np.ndarray) -> Field:
@@ -227,36 +251,34 @@ def learn(texts: list[str], labels: np.ndarray) -> Field:
     fit = np.array([zlib.crc32(str(i).encode()) % 4 != 0 for i in range(len(texts))])
     if len(set(labels[fit])) < 2 or len(set(labels[~fit])) < 2:
         fit[:] = True
-    cut = [_WORD.findall(t) for t in texts]
+    words = Words([t if f else "" for t, f in zip(texts, fit)])
     chosen = np.flatnonzero(fit)
-    seeds = _seeds([cut[i] for i in chosen], labels[chosen])
-
-    def seeded(word: str) -> float:
-        return max((seeds.get(f, 0.0) for f in features(word)), default=0.0)
-
-    # a toxic document's strongest words are seeds; weak ones next to strong ones are left to the field
-    scores = {w: seeded(w) for i in chosen if labels[i] for w in set(cut[i])}
+    seeded = _seeds(words, chosen, labels)
     pieces = []
     for i in chosen:
-        top = max((scores[w] for w in cut[i]), default=0.0) if labels[i] else 0.0
-        for k in range(0, len(cut[i]), SPAN):
-            words = cut[i][k:k + SPAN]
-            tags = [bool(labels[i] and scores[w] >= max(SEED_ODDS, 0.8 * top)) for w in words]
-            pieces.append((not any(tags), zlib.crc32(f"{i}:{k}".encode()), i, words, np.array(tags, float)))
+        doc = words.docs[i]
+        # a toxic document's strongest words are seeds; weak ones next to strong ones are left to the field
+        top = max(SEED_ODDS, 0.8 * seeded[doc].max()) if labels[i] and len(doc) else np.inf
+        for k in range(0, len(doc), SPAN):
+            tags = seeded[doc[k:k + SPAN]] >= top
+            pieces.append((not tags.any(), zlib.crc32(f"{i}:{k}".encode()), i, doc[k:k + SPAN], tags.astype(float)))
     pieces.sort(key=lambda p: p[:2])
     pieces = pieces[:TRAIN_WORDS // SPAN]
-    number: dict[str, int] = {}
-    rows = [np.array([number.setdefault(w.lower(), len(number)) for w in p[3]], np.int64) for p in pieces]
-    types = [hashed(w) for w in number]
-    tags = [p[4] for p in pieces]
-    for turn in range(ROUNDS):
-        _fit(model, rows, types, tags)
-        if turn + 1 < ROUNDS:
-            known = model.emission(number)
-            for k, (piece, r) in enumerate(zip(pieces, rows)):
-                if labels[piece[2]]:
-                    z, _, _ = marginals(known[r][:, None], np.array([len(r)]), model.start, model.moves)
-                    tags[k] = (z[:, 0] > 0).astype(float)
+    if pieces:
+        kinds, flat = np.unique(np.concatenate([p[3] for p in pieces]), return_inverse=True)
+        rows = np.split(flat, np.cumsum([len(p[3]) for p in pieces])[:-1])
+        owner, hashes = words.of(kinds)
+        weight_at = hashes % WEIGHTS
+        tags = [p[4] for p in pieces]
+        for turn in range(ROUNDS):
+            _fit(model, rows, owner, weight_at, tags)
+            if turn + 1 < ROUNDS:
+                known = np.bincount(owner, model.weights[weight_at], len(kinds)) + model.bias
+                for k, (piece, r) in enumerate(zip(pieces, rows)):
+                    if labels[piece[2]]:
+                        z, _, _ = marginals(known[r][:, None], np.array([len(r)]), model.start, model.moves)
+                        tags[k] = (z[:, 0] > 0).astype(float)
+    del words, pieces
     rest = ~fit if not fit.all() else fit
     numbers = numbers_of(Tagger(model).odds([texts[i] for i in np.flatnonzero(rest)]))
     model.score = logistic(numbers, labels[rest].astype(float))
@@ -279,7 +301,9 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", n: int = 4,
     found = labelled_sample(docs, labels, column, n, rest, rows).toPandas()
     found["text"] = found["text"].fillna("")
     found = found.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    return learn(found["text"].tolist(), found["label"].to_numpy())
+    texts, tags = found["text"].tolist(), found["label"].to_numpy()
+    del found
+    return learn(texts, tags)
 
 
 # --- application --------------------------------------------------------------------------------------
