@@ -105,11 +105,10 @@ def valid(vectors: DataFrame) -> DataFrame:
 def search(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of every row whose id is divisible by ``every``."""
     rows = valid(vectors)
-    counts = rows.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
-    rows = rows.join(counts, "dim")
-    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v", "blocks")).alias("r")).select("vec_id", "r.*")
-    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"), "vec_id", "v")
-    block = F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")
+    blocks = max(1, -(-rows.count() // BLOCK))
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("r")).select("vec_id", "r.*")
+    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("query"), "vec_id", "v")
+    block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
     both = rows.select("dim", block.alias("block"), F.lit(0).alias("query"), "vec_id", "v").union(asked)
     both = both.repartition("dim", "block").sortWithinPartitions("dim", "block", "query", "vec_id")
 
