@@ -103,3 +103,22 @@ def test_long_tags_are_read_once(spark):
         start = time.time()
         pg.elements(df).count()
         assert time.time() - start < 20, unit
+
+
+def test_text_goes_on_through_tags_inside_a_line(spark):
+    html = """<body><p>Call <b>me</b> on 9876543210 today</p><a href="/x"><i></i> Mail priya@example.com</a> <button><span>Go <em>now</em></span></button>
+<label><b>Aadhaar number</b> <input name="w"></label><label for="q"><span>PAN</span> code</label><input id="q"><p>x <bold>y</bold> z</p></body>"""
+    got = rows(spark, html)
+    by_tag = [(r["tag"], r["text"]) for r in got if r["text"]]
+    assert by_tag == [("p", "Call me on 9876543210 today"), ("b", "me"), ("a", "Mail priya@example.com"), ("button", "Go now"), ("span", "Go now"), ("em", "now"),
+                      ("label", "Aadhaar number"), ("b", "Aadhaar number"), ("label", "PAN code"), ("span", "PAN"), ("p", "x"), ("bold", "y")]
+    assert [r["label"] for r in got if r["tag"] == "input"] == ["Aadhaar number", "PAN code"]
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    found = {(r["category"], r["match"]) for r in detect.page_detections(df).collect()}
+    assert {("phone", "9876543210"), ("email", "priya@example.com"), ("aadhaar", "Aadhaar number"), ("pan", "PAN code")} <= found
+
+
+def test_whole_texts_are_scanned(spark):
+    df = spark.createDataFrame([(1, "<body><p>" + "word " * 500 + "9876543210</p></body>")], "page_id long, html string")
+    row = detect.page_rows(df).selectExpr("elements[0].text AS t", "detections[0].match AS m").first()
+    assert len(row["t"]) == 120 and row["m"] == "9876543210"

@@ -100,6 +100,8 @@ def unescape_sql(value: str) -> str:
     return let_sql(value, "_u", f"CASE WHEN contains(_u, '&') THEN {decoded} ELSE _u END")
 
 
-def short_text_sql(value: str, limit: int = 120) -> str:
-    collapsed = f"left(trim(regexp_replace({value}, r'\\s+', ' ')), {limit})"
+def short_text_sql(value: str, limit: int | None = 120) -> str:
+    """Collapsed text, cut to ``limit`` characters if there is one; null when nothing is left."""
+    collapsed = f"trim(regexp_replace({value}, r'\\s+', ' '))"
+    collapsed = f"left({collapsed}, {limit})" if limit else collapsed
     return let_sql(collapsed, "_t", "CASE WHEN _t <> '' THEN _t END")

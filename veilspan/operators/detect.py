@@ -48,18 +48,23 @@ def counted_rows(counted: DataFrame, *keys: str) -> DataFrame:
 
 def detections_sql(
     of: str = "", extra_labels: Sequence[classify.Rule] = (), extra_hints: Sequence[classify.Rule] = (),
-    extra_images: Sequence[classify.Rule] = (),
+    extra_images: Sequence[classify.Rule] = (), whole: str | None = None,
 ) -> str:
     """SQL array of an element's detections: text hits, field class, image class.
 
     ``of`` is put in front of each element column (``"_n."`` inside a lambda).
+    ``whole`` names the column with the uncut text, which is then scanned
+    instead of the shown text.
     """
     none = f"CAST(array() AS array<{DETECTION}>)"
     hit = (
         f"named_struct('category', _h.category, 'confidence', {fv.SOURCE_CONFIDENCE['value']}D, "
         "'source', 'text', 'match', _h.match)"
     )
-    scanned = spans.let_sql(tx.scan_source_sql(of), "_text", spans.scan_sql("_text"))
+    source = tx.scan_source_sql(of)
+    if whole:
+        source = f"CASE WHEN {of}input_type = 'password' THEN NULL WHEN {of}value <> '' THEN {of}value ELSE {of}{whole} END"
+    scanned = spans.let_sql(source, "_text", spans.scan_sql("_text"))
     texts = f"transform({scanned}, _h -> {hit})"
 
     def one(verdict: str, match: str, when: str) -> str:
@@ -119,7 +124,7 @@ def page_rows(pages: DataFrame, keys: Sequence[str] = ("page_id",), html: str =
     has a stacked ``rect``.
     """
     per_element = (
-        f"transform({detections_sql('_n.')}, (_d, _k) -> named_struct('uid', _n.uid, 'det_no', CAST(_k + 1 AS INT), "
+        f"transform({detections_sql('_n.', whole='full')}, (_d, _k) -> named_struct('uid', _n.uid, 'det_no', CAST(_k + 1 AS INT), "
         "'category', _d.category, 'confidence', _d.confidence, 'source', _d.source, 'match', _d.match, "
         f"'rect', {_padded('_n.rect')}))"
     )

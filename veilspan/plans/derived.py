@@ -173,6 +173,9 @@ FORM = " || ".join([
     "'<label>' || repeat('Very long label ', 8) || '<input name=\"l\" title=\"not used\" class=\"' || repeat('wide ', 20) || '\"></label>'",
     "'<input aria-label=\"' || repeat('Spoken label ', 9) || '\" title=\"not used\"><textarea title=\"Only a title\"></textarea>'",
     "'<img src=\"/' || repeat('deep/', 40) || 'x.png\" alt=\"\" class=\"' || repeat('pic ', 30) || '\"><div class=\"' || repeat('box ', 20) || '\">x</div>'",
+    "'<p>Call <b>me</b> on <i>98765</i> 4' || " + _P4 + " || ' or <a href=\"/c\"><i></i>mail <b>user' || " + _P4 + " || '</b>@example.com</a> today</p><button><span>Send</span> it</button>'",
+    "'<label><b>Aadhaar</b> number <input name=\"w\"></label><label for=\"q' || " + _P + " || '\"><span>PAN</span> code</label><input id=\"q' || " + _P + " || '\">'",
+    "'<p>' || repeat('far behind ', 20) || '98765 4' || " + _P4 + " || '</p>'",
     "'<p>Card 4111 1111 ' || " + _P4 + " || ' 1111</p><p>' || " + pick("page_id", ["Claim submitted", "Thank you", "Please wait", "Order 12"]) + " || '</p></form>'",
 ])
 

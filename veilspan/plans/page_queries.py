@@ -58,16 +58,16 @@ def _attr(name: str, attrs: str = "attrs") -> str:
     return f"""nullif({_unescape(f"regexp_replace({raw}, '^[''\"]|[''\"]$', '', 'g')")}, '')"""
 
 
-_WRAPPED = pg.WRAPPED_LABEL.replace("'", "''")
+# Inside a tag, quoted values hold any sign (a doubled quote is one in SQL).
+_INSIDE = """(?:[^<>"'']|"[^"]*"|''[^'']*'')*"""
+_FORMATTING = "b|i|em|strong|u|s|small|mark|sub|sup|font|code|abbr|cite|q|kbd|samp|var|time|del|ins|big|tt|bdi|bdo|wbr"
+_WRAPPED = f'(?is)<label\\b([^>]*)>((?:[^<"]|</?(?:{_FORMATTING}|span)(?:[\\s/][^<>"]*)?>)*)<(input|select|textarea)\\b'
+_FOR = f'(?is)<label\\b[^>]*\\sfor="([^"]*)"[^>]*>((?:[^<]|</?(?:{_FORMATTING}|span)(?:[\\s/][^<>"]*)?>)*)'
 _SKIP = duck.quoted(fv.SKIPPED_TAGS)
 _CONTAINERS = duck.quoted(fv.CONTAINER_TAGS)
 _COLLAPSED = f"trim(regexp_replace({_unescape('text')}, '\\s+', ' ', 'g'))"
 
 
-# Inside a tag, quoted values hold any sign (a doubled quote is one in SQL).
-_INSIDE = """(?:[^<>"'']|"[^"]*"|''[^'']*'')*"""
-
-
 def body_text_sql(html: str) -> str:
     markup = f"regexp_replace({_markup(html)}, '{pg.BLOCK_END}', chr(10), 'g')"
     plain = _unescape(f"regexp_replace({markup}, '</?[A-Za-z]{_INSIDE}>', '', 'g')")
@@ -81,12 +81,22 @@ def nodes_ctes(source: str) -> str:
     return f"""marked AS (
   SELECT page_id, regexp_replace(regexp_replace({_markup('html')}, '{pg.OPTION}', '\\1 ', 'g'),
     '{_WRAPPED}', '<label\\1>\\2<\\3 data-wrapped-label="\\2"', 'g') AS mk FROM {source}),
-cut AS (SELECT page_id, regexp_extract_all(mk, '<[A-Za-z]{_INSIDE}>?[^<]*') AS ps,
-  regexp_extract_all(mk, '{pg.LABEL_FOR}', 1) AS for_ids, regexp_extract_all(mk, '{pg.LABEL_FOR}', 2) AS for_texts FROM marked),
-each AS (SELECT page_id, for_ids, for_texts, unnest(ps) AS p, generate_subscripts(ps, 1) AS node_no FROM cut),
-nodes AS (SELECT page_id, node_no, for_ids, for_texts, lower(regexp_extract(p, '^<([A-Za-z][A-Za-z0-9-]*)', 1)) AS tag,
+pieces AS (SELECT page_id, for_ids, for_texts, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FROM (
+  SELECT page_id, regexp_extract_all(mk, '</?[A-Za-z]{_INSIDE}>?[^<]*') AS ps,
+    regexp_extract_all(mk, '{_FOR}', 1) AS for_ids, regexp_extract_all(mk, '{_FOR}', 2) AS for_texts FROM marked)),
+parts AS (SELECT *, lower(regexp_extract(p, '^</?([A-Za-z][A-Za-z0-9-]*)', 1)) AS tag, regexp_replace(p, '^</?[A-Za-z]{_INSIDE}>?', '') AS t FROM pieces),
+kinds AS (SELECT *, regexp_full_match(tag, '{_FORMATTING}') AS formats, tag IN ('a', 'span') AS spans FROM parts),
+runs AS (SELECT *, sum(CASE WHEN formats THEN 0 ELSE 1 END) OVER w AS mid, sum(CASE WHEN formats OR spans THEN 0 ELSE 1 END) OVER w AS far,
+  sum(CASE WHEN formats OR spans OR tag = 'label' THEN 0 ELSE 1 END) OVER w AS wide
+  FROM kinds WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+mids AS (SELECT page_id, mid, string_agg(t, '' ORDER BY pos) AS text FROM runs GROUP BY 1, 2),
+fars AS (SELECT page_id, far, string_agg(t, '' ORDER BY pos) AS text FROM runs GROUP BY 1, 2),
+wides AS (SELECT page_id, wide, string_agg(t, '' ORDER BY pos) AS text FROM runs GROUP BY 1, 2),
+nodes AS (SELECT r.page_id, row_number() OVER (PARTITION BY r.page_id ORDER BY pos) AS node_no, for_ids, for_texts, tag,
   regexp_extract(p, '^<[A-Za-z][A-Za-z0-9-]*({_INSIDE})', 1) AS attrs,
-  regexp_replace(p, '^<{_INSIDE}>?', '') AS text FROM each)"""
+  CASE WHEN formats THEN t WHEN spans THEN m.text WHEN tag = 'label' THEN f.text ELSE w.text END AS text
+  FROM runs r JOIN mids m ON m.page_id = r.page_id AND m.mid = r.mid JOIN fars f ON f.page_id = r.page_id AND f.far = r.far JOIN wides w ON w.page_id = r.page_id AND w.wide = r.wide
+  WHERE NOT starts_with(p, '</'))"""
 
 
 _VISIBLE = (
@@ -104,11 +114,12 @@ def elements_ctes(source: str) -> str:
     aria, title = _attr("aria-label"), _attr("title")
     wrapped, own_id = _attr("data-wrapped-label"), _attr("id")
     for_label = f"list_extract(for_texts, list_position(for_ids, {own_id}))"
-    label = f"coalesce(nullif(left(trim(coalesce({wrapped}, {_unescape(for_label)})), 80), ''), {aria}, {title})"
+    own = f"regexp_replace(coalesce({wrapped}, {_unescape(for_label)}), '</?[A-Za-z]{_INSIDE}>', '', 'g')"
+    label = f"coalesce(nullif(left(trim({own}), 80), ''), {aria}, {title})"
     control = "role IN ('input', 'textarea', 'select')"
     return f"""{nodes_ctes(source)},
 candidates AS (
-  SELECT * FROM (SELECT *, {_ROLE} AS role, nullif(left({_COLLAPSED}, 120), '') AS short FROM nodes
+  SELECT * FROM (SELECT *, {_ROLE} AS role, nullif({_COLLAPSED}, '') AS whole, nullif(left({_COLLAPSED}, 120), '') AS short FROM nodes
     WHERE tag NOT IN ({_SKIP}) AND {_VISIBLE})
   WHERE role IN ('input', 'textarea', 'select', 'button', 'img') OR short IS NOT NULL OR (role = 'element' AND tag IN ({_CONTAINERS}))),
 placed AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY node_no) AS place FROM candidates),
@@ -125,6 +136,7 @@ elements AS (SELECT page_id, node_no AS uid, kept_no, node_no <= 2000 AND kept_n
   left({_attr('class')}, CASE WHEN role = 'element' THEN 40 ELSE 60 END) AS class_name,
   CASE role WHEN 'input' THEN {_attr('value')} WHEN 'textarea' THEN nullif({_unescape('text')}, '') END AS value,
   CASE WHEN role IN ('select', 'button', 'link') THEN left(short, 60) WHEN role = 'element' THEN short END AS text,
+  CASE WHEN role IN ('select', 'button', 'link', 'element') THEN whole END AS "full",
   CASE WHEN role = 'img' THEN left({_attr('src')}, 120) END AS src,
   CASE WHEN role = 'img' THEN {_attr('alt')} END AS alt,
   {control} OR role IN ('button', 'link') AS interactive, short IS NOT NULL AS has_text
@@ -223,7 +235,7 @@ def truncate_attrs(spark, d):
 
 _SCANNED = (
     "scanned AS (SELECT page_id, uid, CASE WHEN input_type = 'password' THEN NULL WHEN coalesce(value, '') <> '' THEN value "
-    "WHEN length(text) < 300 THEN nullif(text, '') END AS scanned FROM elements)"
+    "ELSE nullif(\"full\", '') END AS scanned FROM elements)"
 )
 _DETECTIONS = f"""{_ELEMENTS}, {_SCANNED}, {duck.hits_ctes('scanned', 'page_id, uid', 'scanned', 't_')},
 controls AS (SELECT *, {verdict_sql('category')} AS category, {verdict_sql('confidence')} AS confidence, {verdict_sql('source')} AS source

@@ -1,13 +1,14 @@
 """Raw HTML pages to nodes and elements.
 
-There is no browser: every opening tag is a node, with the text up to the next
-tag; quoted attribute values may hold any sign.  All of it is array and string functions on one row, so a page never
+There is no browser: every opening tag is a node; its text goes on through tags
+that run inside a line, up to the next other tag.  Quoted attribute values may
+hold any sign.  All of it is array and string functions on one row, so a page never
 leaves its partition, and attributes are read after the node rows are cut to
 the ones that are kept.
 
 What differs from a live page: style comes from the inline ``style`` and
-``hidden`` attributes of the tag itself, an element's text is the text right
-behind its opening tag, and boxes are stacked by position.
+``hidden`` attributes of the tag itself, text behind the closing tag of a block
+belongs to no element (the body text has it), and boxes are stacked by position.
 """
 
 from __future__ import annotations
@@ -25,19 +26,38 @@ STACK_X, STACK_Y, STACK_W, STACK_H, STACK_GAP = 20, 24, 320, 34, 18
 COMMENT = r"(?s)<!--.*?-->"
 BODY_TAG = r"(?i)</?body\b[^>]*>"
 OPTION = r"(?is)<option\b[^>]*>([^<]*)(?:</option\s*>)?"
-WRAPPED_LABEL = r'(?is)<label\b([^>]*)>([^<"]*)<(input|select|textarea)\b'
-LABEL_FOR = r'(?is)<label\b[^>]*\sfor="([^"]*)"[^>]*>([^<]*)'
 BLOCK_END = r"(?i)<(?:br|/p|/div|/li|/tr|/h[1-6]|/ul|/ol|/table|/section|/article|/main|/form|/nav|/footer|/header)\b[^>]*>"
 # What stands inside a tag: quoted values may hold < and >.
 INSIDE = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
 ANY_TAG = rf"</?[A-Za-z]{INSIDE}>"
-# An opening tag and the text right behind it.
-PIECE = rf"<[A-Za-z]{INSIDE}>?[^<]*+"
+OPENING = rf"<[A-Za-z]{INSIDE}>?"
+# Tags that run inside a line: an element's text goes on through them.  A link or
+# span ends at its own closing tag, so its text goes on through the first kind
+# only, and a label's through all but labels; a tag of the first kind has the
+# text right behind it.
+FORMATTING = "b|i|em|strong|u|s|small|mark|sub|sup|font|code|abbr|cite|q|kbd|samp|var|time|del|ins|big|tt|bdi|bdo|wbr"
+SPANNING = "a|span"
+
+
+def _text_through(names: str) -> str:
+    return rf"(?:[^<]++|</?(?i:{names})(?=[\s/>]){INSIDE}>)*+"
+
+
+# An opening tag, and its text in the group of its kind.
+TEXT_BEHIND = (
+    rf"<(?:(?i:{FORMATTING})(?=[\s/>]){INSIDE}>?(?=([^<]*+))"
+    rf"|(?i:{SPANNING})(?=[\s/>]){INSIDE}>?(?=({_text_through(FORMATTING)}))"
+    rf"|(?i:label)(?=[\s/>]){INSIDE}>?(?=({_text_through(FORMATTING + '|' + SPANNING)}))"
+    rf"|[A-Za-z]{INSIDE}>?(?=({_text_through(FORMATTING + '|label|' + SPANNING)})))"
+)
 QUOTED = r"""("[^"]*+"|'[^']*+')"""
 HIDDEN_STYLE = r"(?i)(display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(\.0*)?\s*(;|$))"
 HIDDEN_ATTR = r"(?i)\shidden(\s|=|/|$)"
 
 
+WRAPPED_LABEL = rf'(?is)<label\b([^>]*)>((?:[^<"]++|</?(?:{FORMATTING}|span)(?=[\s/>])[^<>"]*+>)*+)<(input|select|textarea)\b'
+LABEL_FOR = rf'(?is)<label\b[^>]*\sfor="([^"]*)"[^>]*>({_text_through(FORMATTING + "|span")})'
+
 # Elements whose content is not markup.
 RAW_TEXT = r"(?is)(<(" + "|".join(RAW_TEXT_TAGS) + r")\b[^>]*>).*?(</\2\s*>)"
 ATTRIBUTE = r"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
@@ -77,18 +97,22 @@ def attribute(attrs: str, name: str) -> Column:
 def _marked_up_sql(html: str) -> str:
     """Body markup with option texts and wrapping labels moved to their control."""
     with_options = f"regexp_replace({body_markup_sql(html)}, {raw(OPTION)}, '$1 ')"
-    return f"regexp_replace({with_options}, {raw(WRAPPED_LABEL)}, '<label$1>$2<$3 data-wrapped-label=\"$2\"')"
+    return f"regexp_replace({with_options}, {_quoted(WRAPPED_LABEL)}, '<label$1>$2<$3 data-wrapped-label=\"$2\"')"
 
 
 def _nodes_sql(markup: str) -> str:
     """All opening tags of a page, in document order."""
     name = "[A-Za-z][A-Za-z0-9-]*"
-    return (
-        f"transform(regexp_extract_all({markup}, {_quoted(PIECE)}, 0), (_p, _i) -> named_struct("
+    texts = [f"regexp_extract_all({markup}, {_quoted(TEXT_BEHIND)}, {k})" for k in (1, 2, 3, 4)]
+    found = f"named_struct('a', {texts[0]}, 'b', {texts[1]}, 'c', {texts[2]}, 'd', {texts[3]})"
+    text = "concat(get(_texts.a, _i), get(_texts.b, _i), get(_texts.c, _i), get(_texts.d, _i))"
+    return let_sql(
+        found, "_texts",
+        f"transform(regexp_extract_all({markup}, {_quoted(OPENING)}, 0), (_p, _i) -> named_struct("
         "'node_no', CAST(_i + 1 AS INT), "
         f"'tag', lower(regexp_extract(_p, '^<({name})', 1)), "
         f"'attrs', regexp_extract(_p, {_quoted(f'^<{name}({INSIDE})')}, 1), "
-        f"'text', regexp_replace(_p, {_quoted(f'^<[A-Za-z]{INSIDE}>?')}, '')))"
+        f"'text', {let_sql(text, '_x', f'CASE WHEN contains(_x, {chr(39)}<{chr(39)}) THEN regexp_replace(_x, {_quoted(ANY_TAG)}, {chr(39) * 2}) ELSE _x END')}))"
     )
 
 
@@ -152,7 +176,7 @@ def _candidates_sql(nodes_sql: str) -> str:
     described = (
         f"transform({visible}, _n -> named_struct('node_no', _n.node_no, 'tag', _n.tag, 'attrs', _n.attrs, "
         f"'text', _n.text, 'role', {role_sql('_n.tag', '_n.attrs')}, "
-        f"'short', {tx.short_text_sql(tx.unescape_sql('_n.text'))}))"
+        f"'full', {tx.short_text_sql(tx.unescape_sql('_n.text'), None)}, 'short', {tx.short_text_sql(tx.unescape_sql('_n.text'))}))"
     )
     eligible = (
         f"filter({described}, _n -> _n.role IN ('input', 'textarea', 'select', 'button', 'img') "
@@ -196,8 +220,9 @@ def _described_sql(markup: str) -> str:
 
     # First label written for this id; an unlabelled control has position 0.
     for_label = tx.unescape_sql("get(_labels.text, CAST(array_position(_labels.id, _id) AS INT) - 1)")
+    no_tags = f"regexp_replace(coalesce({attr('data-wrapped-label')}, {for_label}), {_quoted(ANY_TAG)}, '')"
     own_label = let_sql(
-        f"left(trim(coalesce({attr('data-wrapped-label')}, {for_label})), 80)", "_l", "CASE WHEN _l <> '' THEN _l END"
+        f"left(trim({no_tags}), 80)", "_l", "CASE WHEN _l <> '' THEN _l END"
     )
     fields = {
         "uid": "_n.node_no",
@@ -217,6 +242,7 @@ def _described_sql(markup: str) -> str:
         "value": f"CASE _n.role WHEN 'input' THEN {attr('value')} WHEN 'textarea' THEN "
                  + let_sql(tx.unescape_sql("_n.text"), "_t", "CASE WHEN _t <> '' THEN _t END") + " END",
         "text": _SHOWN,
+        "full": "CASE WHEN _n.role IN ('select', 'button', 'link', 'element') THEN _n.full END",
         "src": f"CASE WHEN _n.role = 'img' THEN left({attr('src')}, 120) END",
         "alt": f"CASE WHEN _n.role = 'img' THEN {attr('alt')} END",
         "interactive": f"{control} OR _n.role IN ('button', 'link')",
@@ -225,7 +251,8 @@ def _described_sql(markup: str) -> str:
     }
     struct = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
     own_id = f"CASE WHEN {control} OR _n.role = 'img' THEN {attr('id')} END"
-    written = f"named_struct('id', regexp_extract_all({markup}, {raw(LABEL_FOR)}, 1), 'text', regexp_extract_all({markup}, {raw(LABEL_FOR)}, 2))"
+    label = _quoted(LABEL_FOR)
+    written = f"named_struct('id', regexp_extract_all({markup}, {label}, 1), 'text', regexp_extract_all({markup}, {label}, 2))"
     # Bound outside the lambda, so that the labels of a page are collected once.
     return let_sql(written, "_labels", f"transform({candidates}, (_n, _i) -> {let_sql(own_id, '_id', struct)})")
 
