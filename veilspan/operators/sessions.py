@@ -16,6 +16,7 @@ from veilspan.functions import fixed_values as fv
 
 SLICE = "10 minutes"
 LEVELS = ("1 second", "1 hour")
+PERCENTILES = (0.5, 0.95)
 
 
 def sliced(df: DataFrame, ts: str = "ts", width: str = SLICE) -> DataFrame:
@@ -167,29 +168,23 @@ def gap_sessions(
 ) -> DataFrame:
     """Runs of steps with no pause above ``timeout_s``: start, end, number of steps.
 
-    Runs are numbered per slice plus what the slices before opened; the runs
-    themselves are a plain aggregate with partial sums.
+    One sorted pass cuts each slice into runs; the runs, one or a few a slice, are
+    then joined up along the session where no long pause lies between.
     """
-    rows = with_previous(
-        df.withColumn("_us", F.unix_micros(F.col(order[0]).cast("timestamp"))),
-        session, order, "_us", "_before", width,
-    )
-    opens = F.col("_before").isNull() | (F.col("_us") - F.col("_before") > timeout_s * 1_000_000)
-    rows = sliced(rows.withColumn("_opens", opens.cast("long")), order[0], width)
-    per_slice = rows.groupBy(session, "_slice").agg(F.sum("_opens").alias("_opened"))
-    carried = per_slice.select(
-        session, "_slice", F.coalesce(F.sum("_opened").over(_earlier(session)), F.lit(0)).alias("_carry")
-    )
-    here = F.sum("_opens").over(_in_slice(session, order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = (
-        rows.withColumn("_here", here).join(carried, [session, "_slice"])
-        .withColumn("_run", F.col("_here") + F.col("_carry"))
-    )
-    ended = F.max("_us") + timeout_s * 1_000_000
+    pause = timeout_s * 1_000_000
+    rows = sliced(df.select(session, *order, F.unix_micros(F.col(order[0]).cast("timestamp")).alias("_us")), order[0], width)
+    here = _in_slice(session, order)
+    opens = F.coalesce(F.col("_us") - F.lag("_us").over(here) > pause, F.lit(False)).cast("long")
+    rows = rows.withColumn("_opens", opens)
+    rows = rows.withColumn("_run", F.sum("_opens").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = rows.groupBy(session, "_slice", "_run").agg(F.min("_us").alias("_from"), F.max("_us").alias("_to"), F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy(session).orderBy("_from")
+    runs = runs.withColumn("_opens", F.coalesce(F.col("_from") - F.lag("_to").over(along) > pause, F.lit(True)).cast("long"))
+    runs = runs.withColumn("_run", F.sum("_opens").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return (
-        numbered.groupBy(session, "_run")
-        .agg(F.timestamp_micros(F.min("_us")).alias("started"), F.timestamp_micros(ended).alias("ended"),
-             F.count(F.lit(1)).alias("n_steps"))
+        runs.groupBy(session, "_run")
+        .agg(F.timestamp_micros(F.min("_from")).alias("started"), F.timestamp_micros(F.max("_to") + pause).alias("ended"),
+             F.sum("_n").alias("n_steps"))
         .drop("_run")
     )
 
@@ -200,6 +195,7 @@ def telemetry(df: DataFrame, session: str, value: str) -> DataFrame:
         F.avg(value).alias("avg_ms"),
         F.max(value).alias("max_ms"),
         F.min(value).alias("min_ms"),
+        *[F.percentile_approx(value, p, 10_000).alias(f"p{round(p * 100)}_ms") for p in PERCENTILES],
     )
 
 

@@ -37,7 +37,8 @@ ORDER = ["ts", "event_id"]
 
 @query(
     "session_telemetry",
-    f"WITH {STEPS_SQL} SELECT session, count(*) AS n_steps, {duck.rounded('avg(ms)', 6)} AS avg_ms, max(ms) AS max_ms, min(ms) AS min_ms FROM steps GROUP BY 1",
+    f"WITH {STEPS_SQL} SELECT session, count(*) AS n_steps, {duck.rounded('avg(ms)', 6)} AS avg_ms, max(ms) AS max_ms, min(ms) AS min_ms, "
+    "quantile_disc(ms, 0.5) AS p50_ms, quantile_disc(ms, 0.95) AS p95_ms FROM steps GROUP BY 1",
 )
 def session_telemetry(spark, d):
     out = sessions.telemetry(derived.steps(spark, d), "session", "ms")
