@@ -86,16 +86,18 @@ pieces AS (SELECT page_id, for_ids, for_texts, unnest(ps) AS p, generate_subscri
     regexp_extract_all(mk, '{_FOR}', 1) AS for_ids, regexp_extract_all(mk, '{_FOR}', 2) AS for_texts FROM marked)),
 parts AS (SELECT *, lower(regexp_extract(p, '^</?([A-Za-z][A-Za-z0-9-]*)', 1)) AS tag, regexp_replace(p, '^</?[A-Za-z]{_INSIDE}>?', '') AS t FROM pieces),
 kinds AS (SELECT *, regexp_full_match(tag, '{_FORMATTING}') AS formats, tag IN ('a', 'span') AS spans FROM parts),
-runs AS (SELECT *, sum(CASE WHEN formats THEN 0 ELSE 1 END) OVER w AS mid, sum(CASE WHEN formats OR spans THEN 0 ELSE 1 END) OVER w AS far,
-  sum(CASE WHEN formats OR spans OR tag = 'label' THEN 0 ELSE 1 END) OVER w AS wide
+counted AS (SELECT *, sum(CASE WHEN formats THEN 0 ELSE 1 END) OVER w AS m, sum(CASE WHEN formats OR spans THEN 0 ELSE 1 END) OVER w AS f,
+  sum(CASE WHEN formats OR spans OR tag = 'label' THEN 0 ELSE 1 END) OVER w AS w
   FROM kinds WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-mids AS (SELECT page_id, mid, string_agg(t, '' ORDER BY pos) AS text FROM runs GROUP BY 1, 2),
-fars AS (SELECT page_id, far, string_agg(t, '' ORDER BY pos) AS text FROM runs GROUP BY 1, 2),
-wides AS (SELECT page_id, wide, string_agg(t, '' ORDER BY pos) AS text FROM runs GROUP BY 1, 2),
+-- one key a run: with page and number apart, runs of one page could be joined to each other first
+runs AS (SELECT *, page_id || '/' || m AS mid, page_id || '/' || f AS far, page_id || '/' || w AS wide FROM counted),
+mids AS (SELECT mid, string_agg(t, '' ORDER BY pos) AS text FROM runs GROUP BY 1),
+fars AS (SELECT far, string_agg(t, '' ORDER BY pos) AS text FROM runs GROUP BY 1),
+wides AS (SELECT wide, string_agg(t, '' ORDER BY pos) AS text FROM runs GROUP BY 1),
 nodes AS (SELECT r.page_id, row_number() OVER (PARTITION BY r.page_id ORDER BY pos) AS node_no, for_ids, for_texts, tag,
   regexp_extract(p, '^<[A-Za-z][A-Za-z0-9-]*({_INSIDE})', 1) AS attrs,
-  CASE WHEN formats THEN t WHEN spans THEN m.text WHEN tag = 'label' THEN f.text ELSE w.text END AS text
-  FROM runs r JOIN mids m ON m.page_id = r.page_id AND m.mid = r.mid JOIN fars f ON f.page_id = r.page_id AND f.far = r.far JOIN wides w ON w.page_id = r.page_id AND w.wide = r.wide
+  CASE WHEN formats THEN t WHEN spans THEN mids.text WHEN tag = 'label' THEN fars.text ELSE wides.text END AS text
+  FROM runs r JOIN mids ON mids.mid = r.mid JOIN fars ON fars.far = r.far JOIN wides ON wides.wide = r.wide
   WHERE NOT starts_with(p, '</'))"""
 
 
