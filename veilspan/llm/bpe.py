@@ -25,8 +25,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from veilspan.llm.common import in_slices
+
 #: Pre-tokens a task remembers, and characters of texts it cuts up at once.
-REMEMBERED, CHARS_AT_ONCE = 400_000, 2_000_000
+REMEMBERED, CHARS_AT_ONCE = 250_000, 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -129,7 +131,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(*shared.value, pattern)
-        for batch in batches:
+        for batch in in_slices(batches):
             n, ids_sha, decoded_sha, kept = [], [], [], []
             for ids in coder.encode(batch.column(1).to_pylist()):
                 n.append(len(ids) // 4)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,25 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(path_of(sf_dir, name))
 
 
-def map_rows(df: DataFrame, schema: str, fn: Callable[[list], list[tuple]]) -> DataFrame:
-    """``fn(values of the columns, one list each) -> output tuples``, an Arrow batch at a time."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    target = to_arrow_schema(_parse(df.sparkSession, schema))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = fn([batch.column(i).to_pylist() for i in range(batch.num_columns)])
-            columns = list(zip(*rows)) or [()] * len(target)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
-
-    return df.mapInArrow(run, schema)
-
-
-def _parse(spark: SparkSession, schema: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(schema)
+def in_slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that few texts are Python strings at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def words_of(text) -> F.Column:

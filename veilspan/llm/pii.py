@@ -26,6 +26,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from veilspan.llm.common import in_slices
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
 
@@ -193,7 +195,7 @@ def found(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder()
-        for batch in batches:
+        for batch in in_slices(batches):
             columns = [[] for _ in range(len(BASE) + 2)]
             for text in batch.column(1).to_pylist():
                 spans = finder.spans(text or "")
@@ -213,7 +215,7 @@ def scrub(docs: DataFrame, column: str = "text") -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder()
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = [None if t is None else scrubbed(t, finder.spans(t)) for t in batch.column(place).to_pylist()]
             columns = batch.columns
             columns[place] = pa.array(texts, batch.schema.field(place).type)

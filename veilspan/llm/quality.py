@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from veilspan.llm.common import in_slices
 from veilspan.llm.learning import held_out, labelled_sample
 
 #: Labelled rows that trees are grown on.
@@ -126,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", n: int =
     names = [f"x{i}" for i in range(len(STATISTICS))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             x = matrix(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, x.T.copy()), batch.column(2)], names=["doc_id", *names, "label"])
 
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", n: int =
 def scored(docs: DataFrame, forest: Forest, n: int = 3, rest: int = 1) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             scores = forest.scores(matrix(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))],

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspan.llm.common import in_slices
 from veilspan.llm.components import components
 from veilspan.session import checkpoints_on
 
@@ -63,7 +64,7 @@ def with_fingerprint(docs: DataFrame, name: str = "fp", text: str = "text") -> D
     place, schema = docs.columns.index(text), _ddl(docs) + f", `{name}` long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             fps = np.array([fingerprint(t) for t in batch.column(place).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, name])
 

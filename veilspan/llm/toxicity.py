@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from veilspan.llm.common import in_slices
 from veilspan.llm.learning import held_out, labelled_sample
 
 #: Labelled documents in the sample, words the field is trained on, words of a training sequence.
@@ -315,7 +316,7 @@ def scored(docs: DataFrame, model: Field, n: int = 4, rest: int = 2) -> DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column(2).to_pylist()
             numbers, found = [], []
             for text, odds in zip(texts, tagger.odds(texts)):
@@ -337,7 +338,7 @@ def without_toxic(docs: DataFrame, model: Field) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
-        for batch in batches:
+        for batch in in_slices(batches):
             numbers = [numbers_of([odds]) for odds in tagger.odds(batch.column(place).to_pylist())]
             keep = shared.value.document_scores(np.concatenate(numbers)) < THRESHOLD if numbers else np.zeros(0, bool)
             yield batch.filter(pa.array(keep))
