@@ -316,7 +316,7 @@ def scored(docs: DataFrame, model: Field, n: int = 4, rest: int = 2) -> DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, 4000):
             texts = batch.column(2).to_pylist()
             numbers, found = [], []
             for text, odds in zip(texts, tagger.odds(texts)):
@@ -338,7 +338,7 @@ def without_toxic(docs: DataFrame, model: Field) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, 4000):
             numbers = [numbers_of([odds]) for odds in tagger.odds(batch.column(place).to_pylist())]
             keep = shared.value.document_scores(np.concatenate(numbers)) < THRESHOLD if numbers else np.zeros(0, bool)
             yield batch.filter(pa.array(keep))
