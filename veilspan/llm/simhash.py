@@ -271,16 +271,25 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def without_copies(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """One row of each component: that of its smallest doc_id (rows without an id last), ties to the smallest fingerprint and text hash."""
-    spark = docs.sparkSession
-    checkpoints_on(spark)
+def keyed(docs: DataFrame) -> DataFrame:
+    """All columns and a row's place: doc_id, whether it is null, and the text's hash."""
+    return docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull(), "_key": F.xxhash64("text")})
+
+
+def first_rows(keyed: DataFrame, rows: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """One row of each root of found (fp, root); rows hold the place and fp of every row."""
     place = ["_id", "_null", "_key"]
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull(), "_key": F.xxhash64("text")})
-    rows = with_fingerprint(keyed.select(*place, "text")).select(*place, "fp").checkpoint()
-    found = groups(rows.select(F.when(~F.col("_null"), F.col("_id")).alias("doc_id"), "fp"), most)
     first = F.min(F.struct("_null", "_id", "fp", "_key")).alias("k")
     kept = rows.join(found.select("fp", "root"), "fp").groupBy("root").agg(first).select(*[f"k.{c}" for c in place])
     same = keyed.join(kept, place, "left_semi")
     number = F.row_number().over(Window.partitionBy(*place).orderBy("_key"))
-    return same.withColumn("_number", number).filter("_number = 1").select(*docs.columns)
+    return same.withColumn("_number", number).filter("_number = 1").select(*columns)
+
+
+def without_copies(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """One row of each component: that of its smallest doc_id (rows without an id last), ties to the smallest fingerprint and text hash."""
+    checkpoints_on(docs.sparkSession)
+    with_key, place = keyed(docs), ["_id", "_null", "_key"]
+    rows = with_fingerprint(with_key.select(*place, "text")).select(*place, "fp").checkpoint()
+    found = groups(rows.select(F.when(~F.col("_null"), F.col("_id")).alias("doc_id"), "fp"), most)
+    return first_rows(with_key, rows, found, docs.columns)
