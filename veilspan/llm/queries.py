@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import ann, bpe, chat, lz, mixing, pages, pii, quality, simhash, toxicity
+from veilspan.llm import ann, bpe, chat, divergence, lz, merkle, mixing, pages, pii, quality, simhash, toxicity
 from veilspan.llm.common import table
 
 
@@ -66,6 +66,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"), merkle.lowered_text())
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ann": op2_ann,
@@ -77,10 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_lz_fingerprint": op9_lz_fingerprint,
     "op10_pii": op10_pii,
+    "op12_merkle": op12_merkle,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op2_ann": ann.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op8_chat": chat.ORACLE,
+    "op12_merkle": merkle.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
