@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import ann, bpe, chat, divergence, lz, merkle, mixing, pages, pii, quality, simhash, toxicity
+from veilspan.llm import ann, bpe, chat, divergence, lz, merkle, mixing, pages, pii, quality, simhash, superkmers, toxicity
 from veilspan.llm.common import table
 
 
@@ -66,6 +66,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(table(spark, sf_dir, "documents"))
 
 
+def op11_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = superkmers.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(table(spark, sf_dir, "documents"), merkle.lowered_text())
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_lz_fingerprint": op9_lz_fingerprint,
     "op10_pii": op10_pii,
+    "op11_superkmers": op11_superkmers,
     "op12_merkle": op12_merkle,
     "op13_divergence": op13_divergence,
 }
@@ -93,6 +99,7 @@ ORACLES: dict[str, str] = {
     "op2_ann": ann.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op8_chat": chat.ORACLE,
+    "op11_superkmers": superkmers.ORACLE,
     "op12_merkle": merkle.ORACLE,
     "op13_divergence": divergence.ORACLE,
 }
