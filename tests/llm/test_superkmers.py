@@ -64,6 +64,8 @@ def test_parts_of_long_texts_and_frequent_strings(spark, monkeypatch):
     monkeypatch.setattr(superkmers, "PIECE", 40)
     monkeypatch.setattr(superkmers, "FREQUENT", 3)
     monkeypatch.setattr(superkmers, "COUNTED", 5)
+    monkeypatch.setattr(superkmers, "MOST", 1 << 8)
+    monkeypatch.setattr(superkmers, "FEWEST", 1 << 6)
     assert found(spark, docs) == want
 
 

@@ -6,14 +6,17 @@ one minimiser travel as one packed string to the minimiser's bucket, where the s
 are cut into windows again and sorted; a window's first document is the smallest id of
 its run.  Hashes only bring windows together, equal words decide.
 
-Strings are combined before the shuffle: a task sends each of its strings once, with
-smallest and largest id, so that a passage of many documents is one row a task.  Runs
-of words that a sample of the texts holds often come last in the order of minimisers,
-which keeps buckets small; the sample decides nothing else.  A bucket that is still
-overfull is handed on, and its windows are grouped one by one.
+A string stays at home if no other document has its minimiser, for then its windows
+are unique.  This is looked up in a table of bits of bounded size: if the table is too
+small for a corpus, more strings travel, and no result changes.  Strings are combined
+before the shuffle: a task sends each of its strings once, with smallest and largest
+id, so that a passage of many documents is few rows.  Runs of words that a sample of
+the texts holds often come last in the order of minimisers, which keeps buckets small;
+the sample decides nothing else.  A bucket that is still overfull is handed on, and its
+windows are grouped one by one.
 
 Results go back by string: only strings with a repeated window have one, and only
-documents that may hold such a string are joined, after a bit table of fixed size.
+documents that may hold such a string are joined, after a second table of bits.
 Strings of very many documents are salted; at most 1000 strings can be that frequent.
 
 Defined results: a null or empty text has no words; rows of one id are one document and
@@ -37,8 +40,8 @@ from veilspan.session import checkpoints_on
 
 #: Words of a window, words of a minimiser.
 WORDS, INNER = 13, 5
-#: Words handled at once, strings in a task's memory, bits of the table of wanted strings.
-PIECE, HELD, WANTED = 50_000, 200_000, 1 << 25
+#: Words handled at once, strings in a task's memory, bits of a table at least and at most.
+PIECE, HELD, FEWEST, MOST = 50_000, 50_000, 1 << 20, 1 << 28
 #: Rows sampled for the order, runs of words whose count is kept, salts of a frequent string, copies that make one frequent.
 SAMPLE, COUNTED, SALTS, FREQUENT = 5000, 1 << 16, 64, 10_000
 #: Hash of a byte, base of a string's polynomial, id of rows without one.
@@ -89,40 +92,46 @@ def key_of(string: bytes) -> bytes:
     return xxhash.xxh3_128_digest(string)
 
 
-def packed(parts: list[list[bytes]], known: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """(minimisers, strings, numbers of the parts, first words) of the windows of some lists of words.
+class Strings:
+    """The strings of some texts: row of the batch, minimiser, first word, and where the words are."""
+
+    def __init__(self, parts: list[list[bytes]], at: list[tuple[int, int]], known: np.ndarray):
+        long = np.array([i for i, words in enumerate(parts) if len(words) >= WORDS], np.int64)
+        self.rows = self.begin = self._starts = self._ends = long[:0]
+        self.minimisers = np.zeros(0, np.uint64)
+        if not len(long):
+            return
+        counts = np.array([len(parts[i]) for i in long])
+        self._line = line = Line(b" ".join(b" ".join(parts[i]) for i in long))
+        hashes = line.inner()
+        if len(known):
+            found = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hashes |= (known[found] == hashes).astype(np.uint64) << np.uint64(63)
+        n = len(line.starts) - WORDS + 1
+        least, place = hashes[:n].copy(), np.arange(n)
+        for k in range(1, WORDS - INNER + 1):
+            other = hashes[k:n + k]
+            better = np.flatnonzero(other < least)
+            least[better] = other[better]
+            place[better] = better + k
+        part = np.repeat(np.arange(len(long)), counts)
+        inside = part[:n] == part[WORDS - 1:]
+        first = np.flatnonzero(inside & np.r_[True, (place[1:] != place[:-1]) | (part[1:n] != part[:n - 1])])
+        windows = np.flatnonzero(inside)
+        last = windows[np.searchsorted(windows, np.r_[first[1:], n]) - 1]
+        rows, starts = np.array([at[i] for i in long], np.int64).T
+        self.rows, self.minimisers = rows[part[first]], least[first]
+        self.begin = first - (np.cumsum(counts) - counts - starts)[part[first]]
+        self._starts, self._ends = line.starts[first], line.ends[last + WORDS - 1]
+
+    def words(self, some: np.ndarray) -> list[bytes]:
+        return [self._line.joined[a:b] for a, b in zip(self._starts[some].tolist(), self._ends[some].tolist())]
+
+
+def of_batches(batches: Iterable[pa.RecordBatch], known: np.ndarray) -> Iterator[tuple[pa.RecordBatch, Strings]]:
+    """The strings of some texts at a time; the last column is the text.
 
     ``known`` are the sorted hashes of frequent runs, which are minimisers only of windows that hold no other.
-    """
-    long = np.array([i for i, words in enumerate(parts) if len(words) >= WORDS], np.int64)
-    if not len(long):
-        return np.zeros(0, np.uint64), [], long, long
-    counts = np.array([len(parts[i]) for i in long])
-    line = Line(b" ".join(b" ".join(parts[i]) for i in long))
-    hashes = line.inner()
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        hashes |= (known[at] == hashes).astype(np.uint64) << np.uint64(63)
-    n = len(line.starts) - WORDS + 1
-    least, place = hashes[:n].copy(), np.arange(n)
-    for k in range(1, WORDS - INNER + 1):
-        other = hashes[k:n + k]
-        better = np.flatnonzero(other < least)
-        least[better] = other[better]
-        place[better] = better + k
-    part = np.repeat(np.arange(len(long)), counts)
-    inside = part[:n] == part[WORDS - 1:]
-    first = np.flatnonzero(inside & np.r_[True, (place[1:] != place[:-1]) | (part[1:n] != part[:n - 1])])
-    windows = np.flatnonzero(inside)
-    last = windows[np.searchsorted(windows, np.r_[first[1:], n]) - 1]
-    begin = first - (np.cumsum(counts) - counts)[part[first]]
-    cuts = zip(line.starts[first].tolist(), line.ends[last + WORDS - 1].tolist())
-    return least[first], [line.joined[a:b] for a, b in cuts], long[part[first]], begin
-
-
-def of_batches(batches: Iterable[pa.RecordBatch], known: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
-    """(rows, numbers of the rows, minimisers, strings, first words), some texts at a time; the last column is the text.
-
     A very long text is handled in parts that overlap by 12 words, so every window is in one part.
     """
     for batch in in_slices(batches, 200):
@@ -134,15 +143,38 @@ def of_batches(batches: Iterable[pa.RecordBatch], known: np.ndarray) -> Iterator
                 at.append((row, start))
                 size += len(parts[-1])
                 if size > PIECE:
-                    yield batch, *_placed(parts, at, known)
+                    yield batch, Strings(parts, at, known)
                     parts, at, size = [], [], 0
-        yield batch, *_placed(parts, at, known)
+        yield batch, Strings(parts, at, known)
+
+
+class Bits:
+    """A table of bits for 64-bit hashes; it may hold more than was put in, never less."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes % np.uint64(64 * len(self.words))
+        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
+    @classmethod
+    def of(cls, hashes: DataFrame) -> Bits:
+        """Of the only column, longs; eight bits for each hash, up to ``MOST``."""
+        size = min(MOST, max(FEWEST, 1 << (8 * hashes.count()).bit_length()))
 
-def _placed(parts: list[list[bytes]], at: list[tuple[int, int]], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    least, strings, number, begin = packed(parts, known)
-    rows, starts = np.array(at, np.int64).reshape(-1, 2).T
-    return rows[number], least, strings, begin + starts[number]
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.unique(batch.column(0).to_numpy().view(np.uint64) % np.uint64(size))
+                word = (at >> np.uint64(6)).astype(np.int64)
+                first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else word
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(word) else at
+                yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(bits.view(np.int64))], names=["at", "bits"])
+
+        rows = hashes.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+        words = np.zeros(size >> 6, np.uint64)
+        words[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+        return cls(words)
 
 
 def frequent_runs(docs: DataFrame) -> np.ndarray:
@@ -159,9 +191,25 @@ def frequent_runs(docs: DataFrame) -> np.ndarray:
     return np.sort(rows.orderBy(F.desc("n"), "key").limit(COUNTED).select("key").toArrow()["key"].to_numpy().view(np.uint64))
 
 
-def strings_of(docs: DataFrame, known: np.ndarray) -> DataFrame:
+def shared_minimisers(docs: DataFrame, known: np.ndarray) -> DataFrame:
+    """(bucket) of the minimisers that several rows of (_id, text) have."""
+    order = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in of_batches(batches, order.value):
+            sort = np.lexsort((found.rows, found.minimisers))
+            least, rows = found.minimisers[sort], found.rows[sort]
+            once = least[np.r_[True, (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])]] if len(least) else least
+            buckets, n = np.unique(once, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets.view(np.int64)), pa.array(n.astype(np.int32))], names=["bucket", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "bucket long, n int")
+    return rows.groupBy("bucket").agg(F.sum("n").alias("n")).filter("n > 1").select("bucket")
+
+
+def strings_of(docs: DataFrame, known: np.ndarray, shared: Bits) -> DataFrame:
     """(bucket, packed, least, most, copies) of (_id, text): each string of a task once, with its smallest and largest id."""
-    order, limit = docs.sparkSession.sparkContext.broadcast(known), HELD
+    both, limit = docs.sparkSession.sparkContext.broadcast((known, shared)), HELD
 
     def rows(held: dict[bytes, list[int]]) -> pa.RecordBatch:
         numbers = np.array(list(held.values()), np.int64).reshape(-1, 4)
@@ -170,9 +218,11 @@ def strings_of(docs: DataFrame, known: np.ndarray) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
-        for batch, at, least, strings, _ in of_batches(batches, order.value):
-            ids = batch.column(0).to_numpy()[at].tolist()
-            for doc, bucket, string in zip(ids, least.view(np.int64).tolist(), strings):
+        known, shared = both.value
+        for batch, found in of_batches(batches, known):
+            some = np.flatnonzero(shared.holds(found.minimisers))
+            ids, buckets = batch.column(0).to_numpy()[found.rows[some]].tolist(), found.minimisers[some].view(np.int64).tolist()
+            for doc, bucket, string in zip(ids, buckets, found.words(some)):
                 old = held.setdefault(string, [bucket, doc, doc, 0])
                 old[1], old[2], old[3] = min(old[1], doc), max(old[2], doc), old[3] + 1
             if len(held) > limit:
@@ -283,44 +333,40 @@ def by_window(strings: DataFrame) -> DataFrame:
     return found.select("key", F.col("w.first").alias("firsts"), "copies")
 
 
-def results(docs: DataFrame, known: np.ndarray) -> DataFrame:
+def results(docs: DataFrame, known: np.ndarray, shared: Bits) -> DataFrame:
     """(key, firsts, copies) of the strings that hold a repeated window."""
-    rows = sorted_buckets(strings_of(docs, known)).checkpoint()
+    rows = sorted_buckets(strings_of(docs, known, shared)).checkpoint()
     done, over = rows.filter("key is not null").select("key", "firsts", "copies"), rows.filter("key is null")
     return done if over.isEmpty() else done.unionByName(by_window(over)).checkpoint()
 
 
-def _bit(keys: np.ndarray) -> np.ndarray:
-    """A place in the table of wanted strings for each key (16 bytes)."""
-    return keys.view(np.uint64)[::2] % np.uint64(WANTED)
+def _front(keys: list[bytes]) -> np.ndarray:
+    """The first half of each key."""
+    return np.frombuffer(b"".join(keys), np.uint64)[::2]
 
 
-def wanted(found: DataFrame) -> np.ndarray:
-    """Bits of the strings that have a result; a table of fixed size, filled up in tasks and merged word by word."""
+def _fronts(found: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(_bit(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.left_shift(1, at & 31))], names=["at", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(_front(batch.column(0).to_pylist()).view(np.int64))], names=["front"])
 
-    rows = found.select("key").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(WANTED >> 5, np.uint32)
-    table[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
-    return table
+    return found.select("key").mapInArrow(run, "front long")
 
 
-def holders(docs: DataFrame, known: np.ndarray, table: np.ndarray, frequent: list[bytes]) -> DataFrame:
+def holders(docs: DataFrame, known: np.ndarray, shared: Bits, wanted: Bits, frequent: list[bytes]) -> DataFrame:
     """(key, salt, _id, _key, start): where the wanted strings, and a few more, stand in (_id, _key, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((known, table, set(frequent)))
+    sent = docs.sparkSession.sparkContext.broadcast((known, shared, wanted, set(frequent)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, frequent = shared.value
-        for batch, at, _, strings, begin in of_batches(batches, known):
-            keys = [key_of(s) for s in strings]
-            bit = _bit(np.frombuffer(b"".join(keys), np.uint8))
-            some = np.flatnonzero(table[bit >> np.uint64(5)] >> (bit & np.uint64(31)).astype(np.uint32) & 1)
-            keys, at, texts = [keys[i] for i in some.tolist()], at[some], batch.column(1).to_numpy()
-            salts = [t % SALTS if k in frequent else 0 for k, t in zip(keys, texts[at].tolist())]
-            arrays = [pa.array(keys, pa.binary()), pa.array(salts, pa.int32()), pa.array(batch.column(0).to_numpy()[at]), pa.array(texts[at]), pa.array(begin[some])]
+        known, shared, wanted, frequent = sent.value
+        for batch, found in of_batches(batches, known):
+            some = np.flatnonzero(shared.holds(found.minimisers))
+            keys = list(map(key_of, found.words(some)))
+            held = np.flatnonzero(wanted.holds(_front(keys)))
+            keys, some = [keys[i] for i in held.tolist()], some[held]
+            rows, texts = found.rows[some], batch.column(1).to_numpy()
+            salts = [t % SALTS if k in frequent else 0 for k, t in zip(keys, texts[rows].tolist())]
+            arrays = [pa.array(keys, pa.binary()), pa.array(salts, pa.int32()), pa.array(batch.column(0).to_numpy()[rows]), pa.array(texts[rows]), pa.array(found.begin[some])]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "salt", "_id", "_key", "start"])
 
     return docs.select("_id", "_key", "text").mapInArrow(run, "key binary, salt int, _id long, _key long, start long")
@@ -329,12 +375,13 @@ def holders(docs: DataFrame, known: np.ndarray, table: np.ndarray, frequent: lis
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(_id, _key, starts) of (_id, _key, text): first words of the windows that a smaller id holds too, in lists."""
     known = frequent_runs(docs)
-    found = results(docs, known)
+    shared = Bits.of(shared_minimisers(docs, known).checkpoint())
+    found = results(docs, known, shared)
     least = max(FREQUENT, (found.agg(F.sum("copies")).first()[0] or 0) // 1000)
     frequent = [bytes(r["key"]) for r in found.filter(F.col("copies") > least).select("key").collect()]
     salts = F.when(F.col("copies") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    found = found.select("key", F.explode(salts).alias("salt"), "firsts")
-    rows = holders(docs, known, wanted(found), frequent).join(found, ["key", "salt"])
+    salted = found.select("key", F.explode(salts).alias("salt"), "firsts")
+    rows = holders(docs, known, shared, Bits.of(_fronts(found)), frequent).join(salted, ["key", "salt"])
     starts = F.expr("transform(filter(sequence(0, size(firsts) - 1), i -> firsts[i] < _id), i -> start + i)")
     rows = rows.select("_id", "_key", starts.alias("starts")).filter("size(starts) > 0")
     return rows.groupBy("_id", "_key").agg(F.collect_set("starts").alias("starts"))
