@@ -8,8 +8,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_pii import brute as brute_spans
-from tests.llm.test_simhash import brute as brute_groups
-from tests.llm.test_simhash import plain_fingerprint
+from tests.llm.test_shingles import survivors
 from veilspan.llm import mixing, pii, toxicity
 from veilspan.llm.common import table
 
@@ -60,8 +59,8 @@ def first_words(text, n):
 def expected(docs, model, coder):
     tagger = toxicity.Tagger(model)
     docs = [d for d in docs if model.document_scores(toxicity.numbers_of(tagger.odds([d.text])))[0] < toxicity.THRESHOLD]
-    group = {i: c for i, _, c in brute_groups([(d.doc_id, plain_fingerprint(d.text)) for d in docs])}
-    docs = [d for d in docs if group[d.doc_id] == d.doc_id]
+    left = set(survivors([(d.doc_id, d.text) for d in docs]))
+    docs = [d for d in docs if d.doc_id in left]
     docs = [(d.doc_id, pii.scrubbed(d.text, brute_spans(d.text) | {k: pii.Finder().spans(d.text)[k] for k in ("url", "account")}), d.source) for d in docs]
     rows = []
     for (doc_id, text, _), n, taken in zip(docs, *brute_taken(docs)):

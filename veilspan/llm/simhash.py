@@ -44,6 +44,9 @@ WORDS, SEED, MOST_BITS = 3, 42, 3
 BLOCK = 4096
 #: Bits of a value that the histogram of a partition tells apart.
 TOLD = 16
+#: A row's place: doc_id, whether it is null, the text's hash.  The names end in a character that no column of a table has.
+PLACE = ["_id\u2063", "_null\u2063", "_key\u2063"]
+_NUMBER = "_number\u2063"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -272,24 +275,24 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """All columns and a row's place: doc_id, whether it is null, and the text's hash."""
-    return docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull(), "_key": F.xxhash64("text")})
+    """All columns and a row's place."""
+    return docs.select("*", *[c.alias(n) for n, c in zip(PLACE, (F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.xxhash64("text")))])
 
 
 def first_rows(keyed: DataFrame, rows: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
     """One row of each root of found (fp, root); rows hold the place and fp of every row."""
-    place = ["_id", "_null", "_key"]
-    first = F.min(F.struct("_null", "_id", "fp", "_key")).alias("k")
-    kept = rows.join(found.select("fp", "root"), "fp").groupBy("root").agg(first).select(*[f"k.{c}" for c in place])
-    same = keyed.join(kept, place, "left_semi")
-    number = F.row_number().over(Window.partitionBy(*place).orderBy("_key"))
-    return same.withColumn("_number", number).filter("_number = 1").select(*columns)
+    id_, null, key = map(F.col, PLACE)
+    first = F.min(F.struct(null, id_, "fp", key)).alias("k")
+    kept = rows.join(found.select("fp", "root"), "fp").groupBy("root").agg(first).select(*[F.col("k")[c].alias(c) for c in PLACE])
+    same = keyed.join(kept, PLACE, "left_semi")
+    number = F.row_number().over(Window.partitionBy(*PLACE).orderBy(key))
+    return same.withColumn(_NUMBER, number).filter(F.col(_NUMBER) == 1).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def without_copies(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """One row of each component: that of its smallest doc_id (rows without an id last), ties to the smallest fingerprint and text hash."""
     checkpoints_on(docs.sparkSession)
-    with_key, place = keyed(docs), ["_id", "_null", "_key"]
-    rows = with_fingerprint(with_key.select(*place, "text")).select(*place, "fp").checkpoint()
-    found = groups(rows.select(F.when(~F.col("_null"), F.col("_id")).alias("doc_id"), "fp"), most)
+    with_key = keyed(docs)
+    rows = with_fingerprint(with_key.select(*PLACE, "text")).select(*PLACE, "fp").checkpoint()
+    found = groups(rows.select(F.when(~F.col(PLACE[1]), F.col(PLACE[0])).alias("doc_id"), "fp"), most)
     return first_rows(with_key, rows, found, docs.columns)
