@@ -51,6 +51,7 @@ def found(spark, docs, parts=7):
 @pytest.mark.parametrize("held", [superkmers.HELD, 50, 3])
 def test_against_brute_force(spark, monkeypatch, held):
     monkeypatch.setattr(superkmers, "HELD", held)
+    monkeypatch.setattr(superkmers, "SORTED", held)
     docs = made(held)
     want = brute(docs)
     assert sum(r[2] for r in want) > 1000

@@ -40,8 +40,8 @@ from veilspan.session import checkpoints_on
 
 #: Words of a window, words of a minimiser.
 WORDS, INNER = 13, 5
-#: Words handled at once, strings in a task's memory, bits of a table at least and at most.
-PIECE, HELD, FEWEST, MOST = 50_000, 50_000, 1 << 20, 1 << 28
+#: Words handled at once, strings a task combines, strings of buckets in its memory, bits of a table at least and at most.
+PIECE, HELD, SORTED, FEWEST, MOST = 50_000, 50_000, 20_000, 1 << 20, 1 << 28
 #: Rows sampled for the order, runs of words whose count is kept, salts of a frequent string, copies that make one frequent.
 SAMPLE, COUNTED, SALTS, FREQUENT = 5000, 1 << 16, 64, 10_000
 #: Hash of a byte, base of a string's polynomial, id of rows without one.
@@ -54,9 +54,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2^64."""
     if len(_POWERS[0]) < n:
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(2 * n, base, np.uint64)
+            steps = np.full(n + n // 8, base, np.uint64)
             steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
+            _POWERS[k] = np.multiply.accumulate(steps, out=steps)
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
@@ -238,7 +238,7 @@ def sorted_buckets(strings: DataFrame) -> DataFrame:
 
     Strings of overfull buckets come back as they are, with packed, least and most.
     """
-    limit = HELD
+    limit = SORTED
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, over = [], None
