@@ -34,3 +34,13 @@ def test_long_runs(spark):
         start = time.time()
         row = df.select(F.size(spans.scan("t")).alias("n"), F.length(scrub.scrub_text("t")).alias("k")).first()
         assert row.n >= 1 and time.time() - start < 10, (unit, time.time() - start)
+
+
+def test_prose(spark):
+    """A text with one address among thousands of words costs little more than one without."""
+    words = "the quick brown fox, jumps over. Lazy dogs and some other words in a line - of prose; " * 120
+    df = spark.range(1500).selectExpr(f"concat(id, ' {words}', 'mail to user', id, '@example.org now. ', '{words}') AS t").repartition(8).cache()
+    df.count()
+    start = time.time()
+    assert df.filter(F.col("t").rlike(rx.address())).count() == 1500
+    assert time.time() - start < 8

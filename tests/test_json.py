@@ -147,3 +147,13 @@ def test_sinks(spark, tmp_path):
     log = spark.read.parquet(str(tmp_path / "log"))
     assert log.count() == 2 and "payload" not in log.columns
     assert log.first()["task"] == "write [REDACTED:6]"
+
+
+def test_bodies_that_utf8_or_json_cannot_hold(spark):
+    """Half surrogate pairs stay escaped, in paths they are replaced; numbers beyond a double become null."""
+    bodies = [r'{"k":"\ud800 x"}', r'{"\ud800":"call 9876543210"}', '{"a":1e400,"b":-1e999,"c":1.5}', r'{"k":"\ud83d\ude00 a@b.co"}', '{"ok":"9876543210"}']
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string").repartition(2)
+    sent = {r.i: r.sent for r in scrub.scrub_body(rows, "body").collect()}
+    assert sent == {0: r'{"k":"\ud800 x"}', 1: r'{"\ud800":"call [REDACTED:10]"}', 2: '{"a":null,"b":null,"c":1.5}', 3: '{"k":"\U0001f600 [REDACTED:6]"}', 4: '{"ok":"[REDACTED:10]"}'}
+    found = {r.i: [tuple(x) for x in r.leaks] for r in scrub.audit_body(rows, "body").collect()}
+    assert found == {0: [], 1: [("\ufffd", "pii-pattern")], 2: [], 3: [("k", "pii-pattern")], 4: [("ok", "pii-pattern")]}

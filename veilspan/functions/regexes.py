@@ -56,10 +56,11 @@ def address() -> str:
     All starts inside one run of local characters meet the same at-sign, so only
     the first can matter: the first word character of the run, or, right behind
     an earlier match, the sign that ends a word there.  A run is then read once.
+    The long look-behind is tried only where a sign stands in front.
     """
     local, signs, word = "[A-Za-z0-9._%+-]", "[.%+-]", f"[{ASCII_WORD}]"
     far = rf"(?:(?<=(?:\A|[^A-Za-z0-9._%+-]|\G){signs}{{1,64}})|(?<={signs}{{65}}))"
-    before = rf"(?:(?<!{signs})|(?<=\G{signs})|(?<!{word}{signs}){far})"
+    before = rf"(?:(?<!{signs})|(?<={signs})(?:(?<=\G{signs})|(?<!{word}{signs}){far}))"
     first = rf"(?:(?={word})(?<!{word}){before}|\G(?<={word})(?={signs}))"
     head, tail = EMAIL.split("@")
     assert head == rf"\b{local}+"

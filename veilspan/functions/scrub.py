@@ -46,8 +46,8 @@ def _replace_sql(text: str, pattern: str, guard: str) -> str:
     gaps = f"split({text}, {p}, -1)"
     kept = "zip_with(slice(_g, 1, size(_m)), _m, (_a, _b) -> concat(_a, '[REDACTED:', length(_b), ']'))"
     rebuilt = let_sql(gaps, "_g", f"concat(array_join({kept}, ''), element_at(_g, -1))")
-    found = let_sql(f"regexp_extract_all({text}, {p}, 0)", "_m", rebuilt)
-    return f"CASE WHEN {guard} AND {text} RLIKE {p} THEN {found} ELSE {text} END"
+    found = let_sql(f"regexp_extract_all({text}, {p}, 0)", "_m", f"CASE WHEN size(_m) > 0 THEN {rebuilt} ELSE {text} END")
+    return f"CASE WHEN {guard} THEN {found} ELSE {text} END"
 
 
 def scrub_sql(text: str, card_first: bool = False) -> str:

@@ -89,11 +89,11 @@ def pieces_sql(text: str, category: str, pattern: str, guard: str) -> str:
     """
     p = raw(pattern)
     stepped = (
-        f"zip_with(slice(split({text}, {p}, -1), 1, size(_m)), _m, (_g, _x) -> "
-        f"named_struct('category', '{category}', 'match', _x, 'step', length(_g) + length(_x)))"
+        f"CASE WHEN size(_m) > 0 THEN zip_with(slice(split({text}, {p}, -1), 1, size(_m)), _m, (_g, _x) -> "
+        f"named_struct('category', '{category}', 'match', _x, 'step', length(_g) + length(_x))) ELSE CAST(array() AS {PIECES}) END"
     )
     found = let_sql(f"regexp_extract_all({text}, {p}, 0)", "_m", stepped)
-    return f"CASE WHEN {guard} AND {text} RLIKE {p} THEN CAST({found} AS {PIECES}) ELSE CAST(array() AS {PIECES}) END"
+    return f"CASE WHEN {guard} THEN CAST({found} AS {PIECES}) ELSE CAST(array() AS {PIECES}) END"
 
 
 def located_sql(pieces: str) -> str:
