@@ -1,5 +1,8 @@
 """Pages to elements."""
 
+import random
+from html.parser import HTMLParser
+
 from pyspark.sql import functions as F
 
 from veilspan.operators import detect
@@ -88,7 +91,7 @@ def test_signs_inside_quotes_and_names_of_attributes(spark):
 <input type=hidden value="9876543212"><p hidden>no</p><p id=x hidden="">no</p><div data-x="<p>not a tag</p>">yes</div><p>5 < 6 and 7 > 2</p></body>"""
     got = rows(spark, html)
     assert [(r["tag"], r["value"] or r["text"]) for r in got] == [
-        ("input", "9876543210"), ("p", "Call 9876543211"), ("div", "yes"), ("p", "5")]
+        ("input", "9876543210"), ("p", "Call 9876543211"), ("div", "yes"), ("p", "5 < 6 and 7 > 2")]
     assert (got[0]["placeholder"], got[0]["label"]) == ("a > b", 'x < "y"')
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
     body = df.select(pg.body_text("html").alias("t")).first()["t"]
@@ -111,7 +114,7 @@ def test_text_goes_on_through_tags_inside_a_line(spark):
     got = rows(spark, html)
     by_tag = [(r["tag"], r["text"]) for r in got if r["text"]]
     assert by_tag == [("p", "Call me on 9876543210 today"), ("b", "me"), ("a", "Mail priya@example.com"), ("button", "Go now"), ("span", "Go now"), ("em", "now"),
-                      ("label", "Aadhaar number"), ("b", "Aadhaar number"), ("label", "PAN code"), ("span", "PAN"), ("p", "x"), ("bold", "y")]
+                      ("b", "Aadhaar number"), ("label", "PAN code"), ("span", "PAN"), ("p", "x y z"), ("bold", "y")]
     assert [r["label"] for r in got if r["tag"] == "input"] == ["Aadhaar number", "PAN code"]
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
     found = {(r["category"], r["match"]) for r in detect.page_detections(df).collect()}
@@ -122,3 +125,86 @@ def test_whole_texts_are_scanned(spark):
     df = spark.createDataFrame([(1, "<body><p>" + "word " * 500 + "9876543210</p></body>")], "page_id long, html string")
     row = detect.page_rows(df).selectExpr("elements[0].text AS t", "detections[0].match AS m").first()
     assert len(row["t"]) == 120 and row["m"] == "9876543210"
+
+
+class Tree(HTMLParser):
+    """Nodes of a well-formed page: [tag, hides, parent, pieces], a piece is a text or a child's number."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=False)
+        self.nodes, self.open = [["body", False, None, []]], [0]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        hides = any(k == "hidden" or k == "style" and ("none" in v or "visibility" in v) for k, v in attrs)
+        self.nodes.append([tag, hides, self.open[-1], []])
+        self.nodes[self.open[-1]][3].append(len(self.nodes) - 1)
+        if tag not in pg.VOID:
+            self.open.append(len(self.nodes) - 1)
+
+    def handle_endtag(self, tag):
+        if tag not in pg.VOID:
+            self.open.pop()
+            self.nodes[self.open[-1]][3].append(("end", tag))
+
+    def handle_data(self, data):
+        self.nodes[self.open[-1]][3].append(data)
+
+    def hidden(self, i):
+        return i is not None and i > 0 and (self.nodes[i][1] and self.nodes[i][0] not in pg.VOID or self.hidden(self.nodes[i][2]))
+
+    def text(self, i, top=True):
+        tag, _, _, pieces = self.nodes[i]
+        out = "" if top or tag in pg.IN_LINE else " "
+        for p in pieces:
+            if isinstance(p, int):
+                out += self.text(p, False)
+            elif isinstance(p, tuple):
+                out += "" if p[1] in pg.IN_LINE else " "
+            elif not self.hidden(i):
+                out += p
+        return out
+
+    def row(self, i):
+        own = not self.hidden(i) and any(isinstance(p, str) and p.strip() for p in self.nodes[i][3])
+        return self.nodes[i][0], " ".join(self.text(i).split()), own, self.hidden(i)
+
+
+def made(rng, depth=0):
+    out = ""
+    for _ in range(rng.randrange(1, 5)):
+        tag = rng.choice(["div", "p", "b", "span", "ul", "li", "section", "i", "td", "a"])
+        attrs = rng.choice(["", "", "", ' class="x"', " hidden", ' style="display:none"', ' style="visibility: hidden"', ' style="color:red"', ' title="<b>"'])
+        inner = made(rng, depth + 1) if depth < 4 and rng.random() < .6 else rng.choice(["", " ", "word", "two words"])
+        out += rng.choice(["", " ", "x", "some text "]) + f"<{tag}{attrs}>{inner}</{tag}>" + rng.choice(["", "", "<br>", "y", " z", '<img src="a.png" hidden>'])
+    return out
+
+
+def test_page_tree_against_a_parser(spark):
+    rng = random.Random(4)
+    pages = [(i, f"<body>{made(rng)}</body>") for i in range(300)] + [(300, "<body>" + "<div>" * 300 + "deep" + "</div>" * 300 + "</body>")]
+    got = {}
+    for r in pg.nodes(spark.createDataFrame(pages, "page_id long, html string").repartition(8)).orderBy("page_id", "node_no").collect():
+        got.setdefault(r.page_id, []).append((r.tag, " ".join(r.text.split()), r.own, r.hidden))
+    for i, html in pages:
+        tree = Tree(html)
+        assert got[i] == [tree.row(k) for k in range(2, len(tree.nodes))], html
+
+
+def test_text_behind_a_block_and_hidden_ancestors(spark):
+    html = """<body><div><p>hi</p>call 9876543210 now</div><div style="display:none"><p>call 9876543211</p></div><section hidden><ul><li>9876543212</li></ul></section>
+<div style="opacity:0"><p>call 9876543213</p></div><ul><li>one<li>two <b>bold</b></ul><p>a<p>b</p></body>"""
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    by_tag = [(r["tag"], r["text"], r["has_text"]) for r in rows(spark, html)]
+    assert by_tag == [("div", "hi call 9876543210 now", True), ("p", "hi", True), ("p", "call 9876543213", True),
+                      ("ul", "one two bold", True), ("li", "one", True), ("li", "two bold", True), ("b", "bold", True), ("p", "a", True), ("p", "b", True)]
+    assert sorted(r["match"] for r in detect.page_detections(df).collect()) == ["9876543210", "9876543213"]
+
+
+def test_containers_are_scanned_in_their_parts(spark):
+    """A container without text of its own shows 120 characters of its parts; each part is scanned whole."""
+    html = "<body><main>" + "".join(f"<p>{'word ' * 40}98765432{i:02d}</p>" for i in range(20)) + "</main></body>"
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    found = [r["match"] for r in detect.page_detections(df).orderBy("uid").collect()]
+    assert found == [f"98765432{i:02d}" for i in range(20)]

@@ -146,9 +146,8 @@ def body_hit_owners(pages: DataFrame, keys: Sequence[str] = ("page_id",), html:
     ``in_cap`` marks the 61 hits a single-page run would use; hits without an
     owner are left out.
     """
-    owners = pages.select(*keys, html, pg.body_text(html).alias("_body")).select(
-        *keys, spans.scan("_body").alias("_hits"), pg.shown_texts(html).alias("_shown")
-    )
+    owners = pages.select(*keys, html, pg.body_text(html).alias("_body"))
+    owners = pg.with_nodes(owners, (*keys, "_body"), html).select(*keys, spans.scan("_body").alias("_hits"), pg.shown_texts("_nodes").alias("_shown"))
     attributed = (
         "transform(_hits, (_h, _i) -> named_struct('hit_no', _i + 1, 'category', _h.category, 'match', _h.match, "
         "'uid', get(filter(_texts, _e -> contains(_e.text, _h.match)), 0).uid))"

@@ -61,6 +61,7 @@ def _attr(name: str, attrs: str = "attrs") -> str:
 # Inside a tag, quoted values hold any sign (a doubled quote is one in SQL).
 _INSIDE = """(?:[^<>"'']|"[^"]*"|''[^'']*'')*"""
 _FORMATTING = "b|i|em|strong|u|s|small|mark|sub|sup|font|code|abbr|cite|q|kbd|samp|var|time|del|ins|big|tt|bdi|bdo|wbr"
+_TOKEN = f"</?[A-Za-z]{_INSIDE}>?"
 _WRAPPED = f'(?is)<label\\b([^>]*)>((?:[^<"]|</?(?:{_FORMATTING}|span)(?:[\\s/][^<>"]*)?>)*)<(input|select|textarea)\\b'
 _FOR = f'(?is)<label\\b[^>]*\\sfor="([^"]*)"[^>]*>((?:[^<]|</?(?:{_FORMATTING}|span)(?:[\\s/][^<>"]*)?>)*)'
 _SKIP = duck.quoted(fv.SKIPPED_TAGS)
@@ -77,32 +78,37 @@ def body_text_sql(html: str) -> str:
 
 
 def nodes_ctes(source: str) -> str:
-    """CTE ``nodes(page_id, node_no, tag, attrs, text, for_ids, for_texts)``."""
+    """CTE ``nodes(page_id, node_no, tag, attrs, text, own, inside_hidden, for_ids, for_texts)``."""
     return f"""marked AS (
   SELECT page_id, regexp_replace(regexp_replace({_markup('html')}, '{pg.OPTION}', '\\1 ', 'g'),
     '{_WRAPPED}', '<label\\1>\\2<\\3 data-wrapped-label="\\2"', 'g') AS mk FROM {source}),
-pieces AS (SELECT page_id, for_ids, for_texts, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FROM (
-  SELECT page_id, regexp_extract_all(mk, '</?[A-Za-z]{_INSIDE}>?[^<]*') AS ps,
+tag_tokens AS (SELECT page_id, for_ids, for_texts, ts, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FROM (
+  SELECT page_id, regexp_extract_all(mk, '{_TOKEN}') AS ps, string_split_regex(mk, '{_TOKEN}') AS ts,
     regexp_extract_all(mk, '{_FOR}', 1) AS for_ids, regexp_extract_all(mk, '{_FOR}', 2) AS for_texts FROM marked)),
-parts AS (SELECT *, lower(regexp_extract(p, '^</?([A-Za-z][A-Za-z0-9-]*)', 1)) AS tag, regexp_replace(p, '^</?[A-Za-z]{_INSIDE}>?', '') AS t FROM pieces),
-kinds AS (SELECT *, regexp_full_match(tag, '{_FORMATTING}') AS formats, tag IN ('a', 'span') AS spans FROM parts),
-counted AS (SELECT *, sum(CASE WHEN formats THEN 0 ELSE 1 END) OVER w AS m, sum(CASE WHEN formats OR spans THEN 0 ELSE 1 END) OVER w AS f,
-  sum(CASE WHEN formats OR spans OR tag = 'label' THEN 0 ELSE 1 END) OVER w AS w
-  FROM kinds WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
--- one key a run: with page and number apart, runs of one page could be joined to each other first
-runs AS (SELECT *, page_id || '/' || m AS mid, page_id || '/' || f AS far, page_id || '/' || w AS wide FROM counted),
-mids AS (SELECT mid, string_agg(t, '' ORDER BY pos) AS text FROM runs GROUP BY 1),
-fars AS (SELECT far, string_agg(t, '' ORDER BY pos) AS text FROM runs GROUP BY 1),
-wides AS (SELECT wide, string_agg(t, '' ORDER BY pos) AS text FROM runs GROUP BY 1),
-nodes AS (SELECT r.page_id, row_number() OVER (PARTITION BY r.page_id ORDER BY pos) AS node_no, for_ids, for_texts, tag,
-  regexp_extract(p, '^<[A-Za-z][A-Za-z0-9-]*({_INSIDE})', 1) AS attrs,
-  CASE WHEN formats THEN t WHEN spans THEN mids.text WHEN tag = 'label' THEN fars.text ELSE wides.text END AS text
-  FROM runs r JOIN mids ON mids.mid = r.mid JOIN fars ON fars.far = r.far JOIN wides ON wides.wide = r.wide
-  WHERE NOT starts_with(p, '</'))"""
+tag_parts AS (SELECT page_id, for_ids, for_texts, p, pos, ts[pos + 1] AS t, lower(regexp_extract(p, '^</?([A-Za-z][A-Za-z0-9-]*)', 1)) AS tag,
+  regexp_extract(p, '^<[A-Za-z][A-Za-z0-9-]*({_INSIDE})', 1) AS attrs FROM tag_tokens),
+tag_kinds AS (SELECT *, CASE WHEN tag IN ({duck.quoted(pg.VOID)}) THEN 0 WHEN starts_with(p, '</') THEN -1 ELSE 1 END AS kind, tag NOT IN ({duck.quoted(pg.IN_LINE)}) AS block,
+  regexp_matches(coalesce({_attr('style')}, ''), '{pg.HIDING_STYLE}') OR regexp_matches(regexp_replace(attrs, '"[^"]*"|''[^'']*''', '', 'g'), '{pg.HIDDEN_ATTR}') AS hides FROM tag_parts),
+tag_levels AS (SELECT *, sum(kind) OVER (PARTITION BY page_id, tag ORDER BY pos) + CASE WHEN kind = -1 THEN 1 ELSE 0 END AS level FROM tag_kinds),
+tag_paired AS (SELECT *, CASE WHEN kind = 1 AND lead(kind) OVER w = -1 THEN lead(pos) OVER w END AS closed, coalesce(kind = -1 AND lag(kind) OVER w = 1, FALSE) AS closes, lag(hides) OVER w AS hid
+  FROM tag_levels WINDOW w AS (PARTITION BY page_id, tag, kind = 0, level ORDER BY pos)),
+tag_placed AS (SELECT *, sum(CASE WHEN closed IS NOT NULL AND hides THEN 1 WHEN closes AND hid THEN -1 ELSE 0 END) OVER d AS cover,
+  sum(CASE WHEN closed IS NOT NULL THEN 1 WHEN closes THEN -1 ELSE 0 END) OVER d AS depth, count(*) OVER (PARTITION BY page_id) AS n,
+  min(CASE WHEN block THEN pos END) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ahead,
+  min(CASE WHEN block OR (kind = 1 AND closed IS NULL) THEN pos END) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS near
+  FROM tag_paired WINDOW d AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+tag_shown AS (SELECT *, CASE WHEN cover > 0 THEN '' ELSE t END AS v FROM tag_placed),
+tag_opened AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS node_no, CASE WHEN kind = 0 THEN pos ELSE coalesce(closed, CASE WHEN block THEN ahead ELSE near END, n + 1) END AS until
+  FROM tag_shown WHERE NOT starts_with(p, '</')),
+tag_inside AS (SELECT o.page_id, o.node_no, string_agg(CASE WHEN s.pos > o.pos AND s.block THEN ' ' ELSE '' END || s.v, '' ORDER BY s.pos) AS text,
+  bool_or(s.depth = o.depth AND regexp_matches(s.v, '\\S')) AS own
+  FROM tag_opened o JOIN tag_shown s ON s.page_id = o.page_id AND s.pos >= o.pos AND s.pos < o.until GROUP BY 1, 2),
+nodes AS (SELECT o.page_id, o.node_no, for_ids, for_texts, tag, attrs, coalesce(i.text, '') AS text, coalesce(i.own, FALSE) AS own, cover > 0 AS inside_hidden
+  FROM tag_opened o LEFT JOIN tag_inside i ON i.page_id = o.page_id AND i.node_no = o.node_no)"""
 
 
 _VISIBLE = (
-    f"NOT (regexp_matches(coalesce({_attr('style')}, ''), '{pg.HIDDEN_STYLE}') OR regexp_matches(regexp_replace(attrs, '\"[^\"]*\"|''[^'']*''', '', 'g'), '{pg.HIDDEN_ATTR}')"
+    f"NOT (inside_hidden OR regexp_matches(coalesce({_attr('style')}, ''), '{pg.HIDDEN_STYLE}') OR regexp_matches(regexp_replace(attrs, '\"[^\"]*\"|''[^'']*''', '', 'g'), '{pg.HIDDEN_ATTR}')"
     f" OR coalesce(lower({_attr('type')}) = 'hidden', FALSE))"
 )
 _ROLE = (
@@ -123,10 +129,11 @@ def elements_ctes(source: str) -> str:
 candidates AS (
   SELECT * FROM (SELECT *, {_ROLE} AS role, nullif({_COLLAPSED}, '') AS whole, nullif(left({_COLLAPSED}, 120), '') AS short FROM nodes
     WHERE tag NOT IN ({_SKIP}) AND {_VISIBLE})
-  WHERE role IN ('input', 'textarea', 'select', 'button', 'img') OR short IS NOT NULL OR (role = 'element' AND tag IN ({_CONTAINERS}))),
+  WHERE role IN ('input', 'textarea', 'select', 'button', 'img') OR (role = 'link' AND short IS NOT NULL)
+    OR (role = 'element' AND (tag IN ({_CONTAINERS}) OR (own AND short IS NOT NULL)))),
 placed AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY node_no) AS place FROM candidates),
 kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY node_no) AS kept_no FROM placed
-  WHERE role <> 'element' OR short IS NOT NULL OR place <= 201),
+  WHERE role <> 'element' OR (own AND short IS NOT NULL) OR place <= 201),
 elements AS (SELECT page_id, node_no AS uid, kept_no, node_no <= 2000 AND kept_no <= 500 AS in_cap, tag, role,
   CASE role WHEN 'input' THEN coalesce(lower({_attr('type')}), 'text') WHEN 'textarea' THEN 'textarea' WHEN 'select' THEN 'select-one' END AS input_type,
   CASE WHEN {control} THEN {_attr('name')} END AS name,
@@ -138,10 +145,10 @@ elements AS (SELECT page_id, node_no AS uid, kept_no, node_no <= 2000 AND kept_n
   left({_attr('class')}, CASE WHEN role = 'element' THEN 40 ELSE 60 END) AS class_name,
   CASE role WHEN 'input' THEN {_attr('value')} WHEN 'textarea' THEN nullif({_unescape('text')}, '') END AS value,
   CASE WHEN role IN ('select', 'button', 'link') THEN left(short, 60) WHEN role = 'element' THEN short END AS text,
-  CASE WHEN role IN ('select', 'button', 'link', 'element') THEN whole END AS "full",
+  CASE WHEN role = 'element' AND NOT own THEN short WHEN role IN ('select', 'button', 'link', 'element') THEN whole END AS "full",
   CASE WHEN role = 'img' THEN left({_attr('src')}, 120) END AS src,
   CASE WHEN role = 'img' THEN {_attr('alt')} END AS alt,
-  {control} OR role IN ('button', 'link') AS interactive, short IS NOT NULL AS has_text
+  {control} OR role IN ('button', 'link') AS interactive, own AND short IS NOT NULL AS has_text
   FROM kept)"""
 
 
@@ -196,7 +203,7 @@ def skip_tags(spark, d):
     f"WITH {_FORM_SQL}, {nodes_ctes('form_pages')} SELECT page_id, node_no, tag, {_VISIBLE} AS visible FROM nodes",
 )
 def visible_elements(spark, d):
-    return pg.nodes(derived.form_pages(spark, d)).select("page_id", "node_no", "tag", pg.is_visible().alias("visible"))
+    return pg.nodes(derived.form_pages(spark, d)).select("page_id", "node_no", "tag", (pg.is_visible() & ~c("hidden")).alias("visible"))
 
 
 @query(

@@ -1,14 +1,19 @@
 """Raw HTML pages to nodes and elements.
 
-There is no browser: every opening tag is a node; its text goes on through tags
-that run inside a line, up to the next other tag.  Quoted attribute values may
-hold any sign.  All of it is array and string functions on one row, so a page never
-leaves its partition, and attributes are read after the node rows are cut to
-the ones that are kept.
-
-What differs from a live page: style comes from the inline ``style`` and
-``hidden`` attributes of the tag itself, text behind the closing tag of a block
-belongs to no element (the body text has it), and boxes are stacked by position.
+There is no browser.  Every opening tag is a node, and its place in the page's tree
+is an interval of tags: running counts of opening and closing tags of one name give
+each tag its level, and in the order of (name, level, place) a closing tag stands right
+behind the one it closes.  A tag that is never closed holds what follows up to the next
+tag that does not run inside a line (one that does, also only up to the next one that is
+never closed), which counts as its parent's own text too; so one forgotten closing tag
+changes nothing elsewhere.  A node's text is all text in its interval, that of hidden parts left out, a
+space in front of every tag that does not run inside a line.  Quoted attribute values
+may hold any sign.  All of it is array and string functions on one row, so a page never
+leaves its partition.
+
+What differs from a live page: style comes from the inline ``style`` and ``hidden``
+attributes of a tag and its ancestors (a child cannot become visible again), and boxes
+are stacked by position.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import fixed_values as fv
 from veilspan.functions import text as tx
-from veilspan.functions.spans import let_sql, raw
+from veilspan.functions.spans import let_sql, raw, running, running_sum
 
 RAW_TEXT_TAGS = ["script", "style", "noscript", "template", "title", "canvas", "svg"]
 STACK_X, STACK_Y, STACK_W, STACK_H, STACK_GAP = 20, 24, 320, 34, 18
@@ -30,28 +35,20 @@ BLOCK_END = r"(?i)<(?:br|/p|/div|/li|/tr|/h[1-6]|/ul|/ol|/table|/section|/articl
 # What stands inside a tag: quoted values may hold < and >.
 INSIDE = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
 ANY_TAG = rf"</?[A-Za-z]{INSIDE}>"
-OPENING = rf"<[A-Za-z]{INSIDE}>?"
-# Tags that run inside a line: an element's text goes on through them.  A link or
-# span ends at its own closing tag, so its text goes on through the first kind
-# only, and a label's through all but labels; a tag of the first kind has the
-# text right behind it.
+TOKEN = rf"</?[A-Za-z]{INSIDE}>?"
+# Tags that run inside a line, and tags that hold nothing.
 FORMATTING = "b|i|em|strong|u|s|small|mark|sub|sup|font|code|abbr|cite|q|kbd|samp|var|time|del|ins|big|tt|bdi|bdo|wbr"
-SPANNING = "a|span"
+IN_LINE = [*FORMATTING.split("|"), "a", "span", "label"]
+VOID = "area base br col embed hr img input link meta param source track wbr".split()
 
 
 def _text_through(names: str) -> str:
     return rf"(?:[^<]++|</?(?i:{names})(?=[\s/>]){INSIDE}>)*+"
 
 
-# An opening tag, and its text in the group of its kind.
-TEXT_BEHIND = (
-    rf"<(?:(?i:{FORMATTING})(?=[\s/>]){INSIDE}>?(?=([^<]*+))"
-    rf"|(?i:{SPANNING})(?=[\s/>]){INSIDE}>?(?=({_text_through(FORMATTING)}))"
-    rf"|(?i:label)(?=[\s/>]){INSIDE}>?(?=({_text_through(FORMATTING + '|' + SPANNING)}))"
-    rf"|[A-Za-z]{INSIDE}>?(?=({_text_through(FORMATTING + '|label|' + SPANNING)})))"
-)
 QUOTED = r"""("[^"]*+"|'[^']*+')"""
 HIDDEN_STYLE = r"(?i)(display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(\.0*)?\s*(;|$))"
+HIDING_STYLE = r"(?i)(display\s*:\s*none|visibility\s*:\s*hidden)"
 HIDDEN_ATTR = r"(?i)\shidden(\s|=|/|$)"
 
 
@@ -100,20 +97,97 @@ def _marked_up_sql(html: str) -> str:
     return f"regexp_replace({with_options}, {_quoted(WRAPPED_LABEL)}, '<label$1>$2<$3 data-wrapped-label=\"$2\"')"
 
 
-def _nodes_sql(markup: str) -> str:
-    """All opening tags of a page, in document order."""
+def _hides_sql(attrs: str) -> str:
+    """Whether a tag hides what is inside it: the name ``hidden``, or a style that is passed on."""
+    names = f"regexp_replace({attrs}, {_quoted(QUOTED)}, '')"
+    return (
+        f"((contains(lower({attrs}), 'hidden') AND {names} RLIKE {raw(HIDDEN_ATTR)})"
+        f" OR (contains(lower({attrs}), 'style') AND coalesce({attribute_sql(attrs, 'style')} RLIKE {raw(HIDING_STYLE)}, FALSE)))"
+    )
+
+
+def _pairs_sql(tags: str) -> str:
+    """For every tag of ``tags``, in order: ``to``, the place of the tag that closes it, and ``of``, of the one it closes; -1 for none."""
+    by_name = f"array_sort(transform(filter({tags}, _t -> _t.kind <> 0), _t -> named_struct('tag', _t.tag, 'pos', _t.pos, 'kind', _t.kind)))"
+    levels = running_sum("transform(_named, _t -> _t.kind)")
+    by_level = (
+        f"array_sort(zip_with(_named, {levels}, (_t, _d) -> named_struct('tag', _t.tag, 'level', "
+        "CASE WHEN _t.kind = 1 THEN _d ELSE _d + 1 END, 'pos', _t.pos, 'kind', _t.kind)))"
+    )
+    meets = "get(_lv, _i {side}).kind = {kind} AND get(_lv, _i {side}).level = _t.level AND get(_lv, _i {side}).tag = _t.tag"
+    place = (
+        "named_struct('pos', _t.pos, "
+        f"'to', CASE WHEN _t.kind = 1 AND {meets.format(side='+ 1', kind=-1)} THEN get(_lv, _i + 1).pos ELSE -1 END, "
+        f"'of', CASE WHEN _t.kind = -1 AND {meets.format(side='- 1', kind=1)} THEN get(_lv, _i - 1).pos ELSE -1 END)"
+    )
+    empty = f"transform(filter({tags}, _t -> _t.kind = 0), _t -> named_struct('pos', _t.pos, 'to', -1, 'of', -1))"
+    return let_sql(by_name, "_named", let_sql(by_level, "_lv", f"array_sort(concat(transform(_lv, (_t, _i) -> {place}), {empty}))"))
+
+
+def _tags_sql(markup: str) -> str:
+    """All tags of a page, in document order."""
     name = "[A-Za-z][A-Za-z0-9-]*"
-    texts = [f"regexp_extract_all({markup}, {_quoted(TEXT_BEHIND)}, {k})" for k in (1, 2, 3, 4)]
-    found = f"named_struct('a', {texts[0]}, 'b', {texts[1]}, 'c', {texts[2]}, 'd', {texts[3]})"
-    text = "concat(get(_texts.a, _i), get(_texts.b, _i), get(_texts.c, _i), get(_texts.d, _i))"
-    return let_sql(
-        found, "_texts",
-        f"transform(regexp_extract_all({markup}, {_quoted(OPENING)}, 0), (_p, _i) -> named_struct("
-        "'node_no', CAST(_i + 1 AS INT), "
-        f"'tag', lower(regexp_extract(_p, '^<({name})', 1)), "
-        f"'attrs', regexp_extract(_p, {_quoted(f'^<{name}({INSIDE})')}, 1), "
-        f"'text', {let_sql(text, '_x', f'CASE WHEN contains(_x, {chr(39)}<{chr(39)}) THEN regexp_replace(_x, {_quoted(ANY_TAG)}, {chr(39) * 2}) ELSE _x END')}))"
+    kind = f"CASE WHEN _tag IN ({_names(VOID)}) THEN 0 WHEN startswith(_p, '</') THEN -1 ELSE 1 END"
+    tag = (
+        f"named_struct('pos', CAST(_i AS INT), 'tag', _tag, 'kind', {kind}, 'opens', NOT startswith(_p, '</'), "
+        f"'attrs', regexp_extract(_p, {_quoted(f'^<{name}({INSIDE})')}, 1), 'block', NOT _tag IN ({_names(IN_LINE)}))"
     )
+    named_tag = let_sql(f"lower(regexp_extract(_p, '^</?({name})', 1))", "_tag", tag)
+    return f"transform(regexp_extract_all({markup}, {_quoted(TOKEN)}, 0), (_p, _i) -> {named_tag})"
+
+
+# An array column used inside a lambda could be computed once a step; bound here, it is computed once a page.
+def _bound(value: str, *columns: str) -> str:
+    for column in columns:
+        value = let_sql(column, column, value)
+    return value
+
+
+def _places_sql() -> dict[str, str]:
+    """Of ``_tags`` and ``_pairs``, for every tag: open tags that hide, open tags, and where tags that are never closed end.
+
+    Those end at the next block; inside a line also at the next one like them.
+    """
+    opened = "CASE WHEN _q.to >= 0{} THEN 1 WHEN _q.of >= 0{} THEN -1 ELSE 0 END"
+    hiding = running_sum(f"transform(_pairs, _q -> {opened.format(' AND get(_hides, _q.pos)', ' AND get(_hides, _q.of)')})")
+    cover = f"CASE WHEN exists(_hides, _h -> _h) THEN {hiding} ELSE array_repeat(0, size(_pairs)) END"
+    hides = f"transform(_tags, _t -> _t.kind = 1 AND {_hides_sql('_t.attrs')})"
+    loose = "_t.kind = 1 AND get(_pairs, _t.pos).to < 0"
+
+    def ahead(ends: str) -> str:
+        places = f"reverse(transform(_tags, _t -> CASE WHEN {ends} THEN _t.pos ELSE size(_tags) END))"
+        return f"CASE WHEN exists(_tags, _t -> {loose}) THEN reverse({running(places, 'least({a}, {b})')}) ELSE CAST(array() AS array<int>) END"
+
+    return {
+        "_cover": _bound(let_sql(hides, "_hides", cover), "_tags", "_pairs"),
+        "_depth": running_sum(f"transform(_pairs, _q -> {opened.format('', '')})"),
+        "_next": _bound(ahead("_t.block"), "_tags", "_pairs"),
+        "_near": _bound(ahead(f"_t.block OR ({loose})"), "_tags", "_pairs"),
+    }
+
+
+def _nodes_sql() -> str:
+    """All opening tags, in order: their text, whether some of it is their own, and whether an ancestor or they hide it."""
+    shown = "transform(_tags, _t -> CASE WHEN get(_cover, _t.pos) > 0 THEN '' ELSE get(_texts, _t.pos + 1) END)"
+    spaced = "transform(_tags, _t -> concat(CASE WHEN _t.block THEN ' ' ELSE '' END, get(_shown, _t.pos)))"
+    own = "transform(_tags, _t -> CASE WHEN get(_shown, _t.pos) RLIKE r'\\S' THEN get(_depth, _t.pos) END)"
+    until = (
+        "CASE WHEN _t.kind = 0 THEN _t.pos WHEN get(_pairs, _t.pos).to >= 0 THEN get(_pairs, _t.pos).to "
+        "ELSE coalesce(get(CASE WHEN _t.block THEN _next ELSE _near END, _t.pos + 1), size(_tags)) END"
+    )
+    node = (
+        "named_struct('tag', _t.tag, 'attrs', _t.attrs, "
+        "'text', CASE WHEN _to > _t.pos THEN concat(get(_shown, _t.pos), array_join(slice(_spaced, _t.pos + 2, _to - _t.pos - 1), '')) ELSE '' END, "
+        "'own', _to > _t.pos AND exists(slice(_own, _t.pos + 1, _to - _t.pos), _d -> _d <=> get(_depth, _t.pos)), "
+        "'hidden', get(_cover, _t.pos) > 0)"
+    )
+    found = f"transform(filter(_tags, _t -> _t.opens), _t -> {let_sql(until, '_to', node)})"
+    found = (
+        f"transform({found}, (_n, _i) -> named_struct('node_no', CAST(_i + 1 AS INT), 'tag', _n.tag, 'attrs', _n.attrs, "
+        "'text', _n.text, 'own', _n.own, 'hidden', _n.hidden))"
+    )
+    found = let_sql(shown, "_shown", let_sql(spaced, "_spaced", let_sql(own, "_own", found)))
+    return _bound(found, "_texts", "_tags", "_pairs", "_cover", "_depth", "_next", "_near")
 
 
 def nodes(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html") -> DataFrame:
@@ -122,11 +196,8 @@ def nodes(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "h
     ``in_cap`` marks the first 2000 nodes, which is as far as a single-page
     walk would look; no node is dropped here.
     """
-    return (
-        pages.select(*keys, F.expr(_marked_up_sql(html)).alias("_markup"))
-        .select(*keys, F.expr(f"inline({_nodes_sql('_markup')})"))
-        .withColumn("in_cap", F.col("node_no") <= fv.MAX_PAGE_NODES)
-    )
+    rows = with_nodes(pages, keys, html).select(*keys, F.expr("inline(_nodes)"))
+    return rows.withColumn("in_cap", F.col("node_no") <= fv.MAX_PAGE_NODES)
 
 
 def _names(values: list[str]) -> str:
@@ -142,7 +213,7 @@ def is_skipped(tag: str = "tag") -> Column:
 
 
 def visible_sql(attrs: str) -> str:
-    """By the tag's own attributes: the name ``hidden``, ``type="hidden"``, and the style."""
+    """By a tag's own attributes: the name ``hidden``, ``type="hidden"``, and the style."""
     style = attribute_sql(attrs, "style")
     names = f"regexp_replace({attrs}, {_quoted(QUOTED)}, '')"
     typed = f"coalesce(lower({attribute_sql(attrs, 'type')}) = 'hidden', FALSE)"
@@ -172,20 +243,21 @@ def role_of(tag: str = "tag", attrs: str = "attrs") -> Column:
 
 def _candidates_sql(nodes_sql: str) -> str:
     """Nodes that become elements, numbered per page; still one array per page."""
-    visible = f"filter({nodes_sql}, _n -> NOT {skipped_sql('_n.tag')} AND {visible_sql('_n.attrs')})"
+    visible = f"filter({nodes_sql}, _n -> NOT _n.hidden AND NOT {skipped_sql('_n.tag')} AND {visible_sql('_n.attrs')})"
     described = (
         f"transform({visible}, _n -> named_struct('node_no', _n.node_no, 'tag', _n.tag, 'attrs', _n.attrs, "
-        f"'text', _n.text, 'role', {role_sql('_n.tag', '_n.attrs')}, "
+        f"'text', _n.text, 'own', _n.own, 'role', {role_sql('_n.tag', '_n.attrs')}, "
         f"'full', {tx.short_text_sql(tx.unescape_sql('_n.text'), None)}, 'short', {tx.short_text_sql(tx.unescape_sql('_n.text'))}))"
     )
     eligible = (
         f"filter({described}, _n -> _n.role IN ('input', 'textarea', 'select', 'button', 'img') "
-        f"OR _n.short IS NOT NULL OR (_n.role = 'element' AND _n.tag IN ({_names(fv.CONTAINER_TAGS)})))"
+        "OR (_n.role = 'link' AND _n.short IS NOT NULL) "
+        f"OR (_n.role = 'element' AND (_n.tag IN ({_names(fv.CONTAINER_TAGS)}) OR (_n.own AND _n.short IS NOT NULL))))"
     )
     # Everything eligible is kept until the limit, so the position in this
     # array is the number of elements kept before.
     return (
-        f"filter({eligible}, (_n, _i) -> _n.role <> 'element' OR _n.short IS NOT NULL "
+        f"filter({eligible}, (_n, _i) -> _n.role <> 'element' OR (_n.own AND _n.short IS NOT NULL) "
         f"OR _i <= {fv.EMPTY_CONTAINERS_UNTIL})"
     )
 
@@ -193,9 +265,18 @@ def _candidates_sql(nodes_sql: str) -> str:
 _SHOWN = "CASE WHEN _n.role IN ('select', 'button', 'link') THEN left(_n.short, 60) WHEN _n.role = 'element' THEN _n.short END"
 
 
-def shown_texts(html: str) -> Column:
+def with_nodes(pages: DataFrame, columns: tuple[str, ...], html: str = "html") -> DataFrame:
+    """Some columns of pages, the markup and the array of nodes; in steps, since one expression for all would nest too deep."""
+    rows = pages.select(*columns, F.expr(_marked_up_sql(html)).alias("_markup"))
+    rows = rows.select("*", F.expr(f"split(_markup, {_quoted(TOKEN)}, -1)").alias("_texts"), F.expr(_tags_sql("_markup")).alias("_tags"))
+    rows = rows.select("*", F.expr(_pairs_sql("_tags")).alias("_pairs"))
+    rows = rows.select("*", *[F.expr(value).alias(name) for name, value in _places_sql().items()])
+    return rows.select(*columns, "_markup", F.expr(_nodes_sql()).alias("_nodes"))
+
+
+def shown_texts(nodes: str) -> Column:
     """``array<struct<uid, text>>`` of the elements that show text, in page order."""
-    shown = f"transform({_candidates_sql(_nodes_sql(_marked_up_sql(html)))}, _n -> named_struct('uid', _n.node_no, 'text', {_SHOWN}))"
+    shown = f"transform({_candidates_sql(nodes)}, _n -> named_struct('uid', _n.node_no, 'text', {_SHOWN}))"
     return F.expr(f"filter({shown}, _n -> _n.text IS NOT NULL)")
 
 
@@ -207,9 +288,9 @@ def _stacked_sql(uid: str) -> str:
     )
 
 
-def _described_sql(markup: str) -> str:
+def _described_sql(markup: str, nodes: str) -> str:
     """Element structs; every attribute is read once, and only where its role uses it."""
-    candidates = _candidates_sql(_nodes_sql(markup))
+    candidates = _candidates_sql(nodes)
     control = "_n.role IN ('input', 'textarea', 'select')"
 
     def attr(name: str) -> str:
@@ -242,11 +323,12 @@ def _described_sql(markup: str) -> str:
         "value": f"CASE _n.role WHEN 'input' THEN {attr('value')} WHEN 'textarea' THEN "
                  + let_sql(tx.unescape_sql("_n.text"), "_t", "CASE WHEN _t <> '' THEN _t END") + " END",
         "text": _SHOWN,
-        "full": "CASE WHEN _n.role IN ('select', 'button', 'link', 'element') THEN _n.full END",
+        # what is scanned: a container without text of its own is read whole in its parts
+        "full": "CASE WHEN _n.role = 'element' AND NOT _n.own THEN _n.short WHEN _n.role IN ('select', 'button', 'link', 'element') THEN _n.full END",
         "src": f"CASE WHEN _n.role = 'img' THEN left({attr('src')}, 120) END",
         "alt": f"CASE WHEN _n.role = 'img' THEN {attr('alt')} END",
         "interactive": f"{control} OR _n.role IN ('button', 'link')",
-        "has_text": "_n.short IS NOT NULL",
+        "has_text": "_n.own AND _n.short IS NOT NULL",
         "rect": _stacked_sql("_n.node_no"),
     }
     struct = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
@@ -259,15 +341,14 @@ def _described_sql(markup: str) -> str:
 
 def element_arrays(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html") -> DataFrame:
     """Each page with an array of its elements."""
-    marked = pages.select(*keys, F.expr(_marked_up_sql(html)).alias("_markup"))
-    return marked.select(*keys, F.expr(_described_sql("_markup")).alias("elements"))
+    return with_nodes(pages, tuple(keys), html).select(*keys, F.expr(_described_sql("_markup", "_nodes")).alias("elements"))
 
 
 def elements(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html") -> DataFrame:
     """One row per element of a page with its role, attributes, text and stacked box.
 
     ``uid`` is the node number and ``kept_no`` the element's place on its page.
-    A container without text is kept only while at most 200 elements are kept
+    A container without text of its own is kept only while at most 200 elements are kept
     before it; ``in_cap`` marks what a single-page walk would return (2000
     nodes, 500 elements).
     """
