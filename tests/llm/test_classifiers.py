@@ -82,6 +82,13 @@ def test_sample_leaves_held_out_rows(spark):
     assert len(got) == 50 and all(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in got)
 
 
+def test_sample_has_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, t) for t in ("b", None, "c") * 20] + [(3, "z"), (3, "y")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (3, 0), (3, 1)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", 4, 2, 50)
+    assert sorted(map(tuple, got.collect())) == sorted((i, t, 1) for i, t in ((1, ""), (3, "y")) if zlib.crc32(str(i).encode()) % 4 != 2)
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, "you idiot fool", "x"), (1, "you idiot fool", "x"), (2, None, "y"), (None, "", "z"), (3, "w " * 5000, None)],
                                  "doc_id long, text string, score string")

@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", n: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, x.T.copy()), batch.column(2)], names=["doc_id", *names, "label"])
 
     found = sample.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in names) + ", label int").toPandas()
-    found = found.sort_values(["doc_id", *names]).drop_duplicates("doc_id")  # the same trees whatever the order of rows
+    found = found.sort_values("doc_id")  # the same trees whatever the order of rows
     return grow(found[names].to_numpy(), found["label"].to_numpy())
 
 

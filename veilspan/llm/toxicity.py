@@ -300,8 +300,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", n: int = 4, rest: int = 2, rows: int = SAMPLE) -> Field:
     """A field from a sample of at most ``rows`` labelled documents, which the driver reads."""
     found = labelled_sample(docs, labels, column, n, rest, rows).toPandas()
-    found["text"] = found["text"].fillna("")
-    found = found.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    found = found.sort_values("doc_id")
     texts, tags = found["text"].tolist(), found["label"].to_numpy()
     del found
     return learn(texts, tags)
