@@ -93,6 +93,14 @@ def test_thresholds_add_up():
     assert ((t + 1).sum(axis=0) == 4).all() and (t[2] == -1).all()
 
 
+@pytest.mark.parametrize("groups,most", [(4, 3), (4, 12), (3, 9), (3, 12)])
+def test_thresholds_of_wide_radii_add_up(groups, most):
+    parts = simhash.Partitions([list(range(i, 64, groups)) for i in range(groups)], most)
+    parts.estimate([np.ones(1 << simhash.TOLD)] * groups)
+    t = parts.thresholds(np.arange(50, dtype=np.uint64))
+    assert ((t + 1).sum(axis=0) == most + 1).all()
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (300, 200), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

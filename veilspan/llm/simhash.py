@@ -101,7 +101,7 @@ class Partitions:
         for bits, count in zip(self.groups, counts):
             rows, found, probes = [np.zeros(1 << TOLD)], np.zeros(1 << TOLD), 0
             share = 2.0 ** -max(0, len(bits) - TOLD)
-            for t in range(min(3, self.most + 1)):
+            for t in range(min(self.most + 1, max(3, -(-(self.most + 1) // len(self.groups))))):
                 for flips in combinations(range(len(bits)), t):
                     mask = sum(1 << f for f in flips if f < TOLD)
                     found += count[at ^ mask] * share
