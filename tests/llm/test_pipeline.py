@@ -126,3 +126,14 @@ def test_mix(spark, monkeypatch):
     counted = written.select("source", "text").collect()
     assert sum(len(WORD.findall(r.text or "")) for r in counted) == sum(by.values())
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_own_columns_named_as_the_mix_names_its_own(spark):
+    names = ["_source", "_key", "_size", "_sum", "_range", "_turn", "_budget", "Target", "c0"]
+    df = spark.createDataFrame([(i, "w " * (i % 5), "ab"[i % 2], *[f"{n}{i}" for n in names]) for i in range(20)],
+                               "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mix(df)
+    kept = [n for n in names if n != "Target"]
+    assert got.columns == ["doc_id", "text", "source", *kept, "size", "source_size", "target", "taken"]
+    assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in kept)
+    assert all(r[n] == f"{n}{r.doc_id}" for r in mixing.written(got).collect() for n in kept)

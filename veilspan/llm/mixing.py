@@ -8,8 +8,10 @@ the smallest keys, the last of them in part.
 
 Defined results: a null text has size 0; the null source is a source of its own,
 last in order; rows with the same doc_id and text share one key and are cut one
-after the other; an empty table gives an empty mix; other columns are kept.
-Order of magnitude: one row of the small table per 10 000 documents.
+after the other; an empty table gives an empty mix; other columns are kept, but
+own columns named size, source_size, target or taken are replaced.
+Order of magnitude: one row of the small table per 10 000 documents.  One task sorts
+the sources to give them weights and levels: they are meant to be few, not hosts.
 """
 
 from __future__ import annotations
@@ -51,11 +53,12 @@ def targets(sums: DataFrame, weights: Sequence[float], share: float, most: float
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
     """The documents with size, source_size, target and taken: the words of each that the mix holds, repeats counted."""
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    kept = _own(docs)
     ranges = max(1, -(-docs.count() // DOCS_PER_RANGE))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"),
                          F.md5(F.coalesce("text", F.lit("")))))
-    rows = docs.select(*kept, F.col("source").alias("_source"), words_of(F.col("text")).alias("_size"), key.alias("_key"))
+    # own columns travel under names that none of the columns below has
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col("source").alias("_source"), words_of(F.col("text")).alias("_size"), key.alias("_key"))
     part = F.floor(F.conv(F.substring("_key", 1, 12), 16, 10).cast("double") / float(1 << 48) * ranges)
     rows = rows.withColumn("_range", part)
     sums = rows.groupBy("_source", "_range").agg(F.sum("_size").alias("_sum"))
@@ -69,10 +72,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     epochs = F.when(F.col("_source_size") > 0, F.floor(F.col("_budget") / F.col("_source_size"))).otherwise(0)
     rest = F.col("_budget") - epochs * F.col("_source_size")
     here = F.greatest(F.lit(0), F.least(F.col("_size"), rest - (F.col("_start") + F.col("_sum") - F.col("_size"))))
-    return rows.select(*kept, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
                        F.col("_target").alias("target"), (epochs * F.col("_size") + here).cast("long").alias("taken"))
 
 
+def _own(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.lower() not in ("size", "source_size", "target", "taken")]
+
+
 def _join(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Inner join in which null keys meet; small tables are broadcast only if Spark finds them small."""
     other = right.select(*[F.col(c).alias(f"{c}_r") if c in keys else F.col(c) for c in right.columns])
@@ -82,13 +89,14 @@ def _join(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
 
 def written(mixed: DataFrame) -> DataFrame:
     """The mix itself: a row for each time a document is taken, the last one cut after its last taken word."""
-    kept = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
-    words = F.least(F.col("size"), F.col("taken") - F.col("_turn") * F.col("size"))
+    kept = _own(mixed)
+    turn = "_turn" + "_" * max(map(len, mixed.columns))
+    words = F.least(F.col("size"), F.col("taken") - F.col(turn) * F.col("size"))
     pieces = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     cut = F.when(words == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), ""))
     turns = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int") - 1)
-    rows = mixed.filter(F.col("taken") > 0).select("*", F.explode(turns).alias("_turn"))
-    return rows.select(*[cut.alias(c) if c == "text" else F.col(c) for c in kept])
+    rows = mixed.filter(F.col("taken") > 0).select("*", F.explode(turns).alias(turn))
+    return rows.select(*[cut.alias(c) if c == "text" else F.col(f"`{c}`") for c in kept])
 
 
 ORACLE = r"""
