@@ -2,36 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.session import checkpoints_on
 
+#: Edges that a task contracts at once.
+CHUNK = 1 << 18
+
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, root) for every node of (a, b): root is the smallest node it reaches.
 
-    Alternating star contraction: every node points its larger neighbours, then
-    its smaller ones, at the smallest node it knows, until the edges are stars.
-    Each round ends in a checkpoint, so a lost executor costs one round.
+    ``known`` is an earlier result over other edges, which these are added to; without new edges
+    it is given back.
+
+    Each round lifts the lower end of every edge to that end's smallest neighbour, then points a
+    node's further neighbours at its smallest one, until the edges are stars.  Before a shuffle
+    a task turns its edges, a chunk at a time, into stars of their own, so that a node meets
+    itself at most once a chunk.  Rounds take three shuffles and end in a checkpoint: a lost
+    executor costs one round.  Null ends and loops link nothing; an empty table has no nodes.
     """
     checkpoints_on(edges.sparkSession)
-    now = _stars(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
-    state = None
-    while (seen := _state(now)) != state:
-        state = seen
-        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = _stars(small.union(least.select("hi", F.col("m").alias("lo"))))
+    pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    if known is not None:
+        if pairs.isEmpty():
+            return known
+        pairs = pairs.union(known.select(F.col("node").alias("hi"), F.col("root").alias("lo")))
+    now = _contracted(pairs.withColumn("moved", F.lit(True)))
+    while not now.filter("moved").isEmpty():
+        up = now.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("up"))
+        lifted = now.join(up, "lo", "left").select(
+            "hi", F.coalesce("up", "lo").alias("lo"), F.col("up").isNotNull().alias("moved"))
+        at = Window.partitionBy("hi").orderBy("lo")
+        met = lifted.select("*", F.first("lo").over(at).alias("least"), F.lag("lo").over(at).alias("last"))
+        met = met.filter("last is null or last <> lo").withColumn("other", F.expr("lo <> least"))
+        now = _contracted(met.select(
+            F.when(F.col("other"), F.col("lo")).otherwise(F.col("hi")).alias("hi"), F.col("least").alias("lo"),
+            (F.col("other") | F.col("moved")).alias("moved")))
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select("lo", "lo").distinct())
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    return edges.filter("hi <> lo").distinct().checkpoint()
+def stars(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node but the smallest of each component, and that smallest one."""
+    ids, at = np.unique(np.concatenate([hi, lo]), return_inverse=True)
+    one, two = at[:len(hi)], at[len(hi):]
+    root = np.arange(len(ids))
+    while True:
+        a, b = root[one], root[two]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    leaves = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[leaves], ids[root[leaves]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Each task's edges as stars, a chunk at a time; ``moved`` if any edge of the chunk was."""
+    def chunk(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        hi, lo = stars(rows["hi"].to_numpy(), rows["lo"].to_numpy())
+        moved = bool(rows["moved"].to_numpy().any())
+        return pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(np.full(len(hi), moved))], names=["hi", "lo", "moved"])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK:
+                yield chunk(held)
+                held, n = [], 0
+        if n:
+            yield chunk(held)
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+    return edges.mapInArrow(run, "hi long, lo long, moved boolean").checkpoint()
