@@ -208,3 +208,24 @@ def test_containers_are_scanned_in_their_parts(spark):
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
     found = [r["match"] for r in detect.page_detections(df).orderBy("uid").collect()]
     assert found == [f"98765432{i:02d}" for i in range(20)]
+
+
+def test_nodes_parse_a_page_once(spark):
+    rows = spark.createDataFrame([(1, "<p>a<b>c</b>"), (2, "")], "page_id long, html string")
+    nodes = pg.nodes(rows)
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter") == 1 and plan.index("Filter") < plan.index("Generate")
+    assert [(r.page_id, r.node_no, r.tag) for r in nodes.orderBy("node_no").collect()] == [(1, 1, "p"), (1, 2, "b")]
+
+
+def test_large_tables_are_dealt_out_in_bounded_tasks(spark, monkeypatch, tmp_path):
+    from veilspan.sources import tables
+
+    spark.range(20000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert tables.spread(rows).rdd.getNumPartitions() == 8
+    monkeypatch.setattr(tables, "SMALL", 0, raising=False)
+    monkeypatch.setattr(tables, "TASK", 2000, raising=False)
+    found = tables.spread(rows)
+    assert found.rdd.getNumPartitions() > 16
+    assert found.count() == 20000
