@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from veilspan.llm import superkmers
@@ -84,3 +85,24 @@ def test_one_hash_for_all_windows(spark, monkeypatch):
 def test_empty(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, None)]) == [(1, 0, 0, "")]
+
+
+def test_strings_are_combined_in_bounded_memory(spark, monkeypatch):
+    monkeypatch.setattr(superkmers, "HELD", 4)
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"{passage} own{i} " + " ".join(f"v{i % 3}x{j}" for j in range(30))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "_id long, text string").coalesce(1)
+    known = np.zeros(0, np.uint64)
+    shared = superkmers.Bits(np.full(16, 2**64 - 1, np.uint64))
+    found = {}
+    for r in superkmers.strings_of(docs, known, shared).collect():
+        old = found.setdefault(bytes(r["packed"]), [r["bucket"], r["least"], r["most"], 0])
+        assert old[0] == r["bucket"] and r["least"] <= r["most"] and r["copies"] > 0
+        old[1], old[2], old[3] = min(old[1], r["least"]), max(old[2], r["most"]), old[3] + r["copies"]
+    expected = {}
+    for i, text in rows:
+        strings = superkmers.Strings([superkmers.words_of(text)], [(0, 0)], known)
+        for string, bucket in zip(strings.words(np.arange(len(strings.rows))), strings.minimisers.view(np.int64).tolist()):
+            old = expected.setdefault(string, [bucket, i, i, 0])
+            old[1], old[2], old[3] = min(old[1], i), max(old[2], i), old[3] + 1
+    assert found == expected

@@ -41,7 +41,7 @@ from veilspan.session import checkpoints_on
 #: Words of a window, words of a minimiser.
 WORDS, INNER = 13, 5
 #: Words handled at once, strings a task combines, strings of buckets in its memory, bits of a table at least and at most.
-PIECE, HELD, SORTED, FEWEST, MOST = 50_000, 50_000, 20_000, 1 << 20, 1 << 28
+PIECE, HELD, SORTED, FEWEST, MOST = 20_000, 20_000, 20_000, 1 << 20, 1 << 28
 #: Rows sampled for the order, runs of words whose count is kept, salts of a frequent string, copies that make one frequent.
 SAMPLE, COUNTED, SALTS, FREQUENT = 5000, 1 << 16, 64, 10_000
 #: Hash of a byte, base of a string's polynomial, id of rows without one.
@@ -211,24 +211,34 @@ def strings_of(docs: DataFrame, known: np.ndarray, shared: Bits) -> DataFrame:
     """(bucket, packed, least, most, copies) of (_id, text): each string of a task once, with its smallest and largest id."""
     both, limit = docs.sparkSession.sparkContext.broadcast((known, shared)), HELD
 
-    def rows(held: dict[bytes, list[int]]) -> pa.RecordBatch:
-        numbers = np.array(list(held.values()), np.int64).reshape(-1, 4)
-        arrays = [pa.array(numbers[:, 0]), pa.array(list(held), pa.binary()), *[pa.array(numbers[:, k]) for k in (1, 2, 3)]]
+    def rows(held: dict[bytes, int], numbers: np.ndarray) -> pa.RecordBatch:
+        numbers = numbers[:len(held)]
+        arrays = [pa.array(numbers[:, 0]), pa.array(held, pa.binary(), size=len(held)), *[pa.array(numbers[:, k]) for k in (1, 2, 3)]]
         return pa.RecordBatch.from_arrays(arrays, names=["bucket", "packed", "least", "most", "copies"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list[int]] = {}
+        # where a string's numbers are; Python lists of them would take several times the room
+        held: dict[bytes, int] = {}
+        numbers = np.zeros((limit, 4), np.int64)
         known, shared = both.value
         for batch, found in of_batches(batches, known):
             some = np.flatnonzero(shared.holds(found.minimisers))
-            ids, buckets = batch.column(0).to_numpy()[found.rows[some]].tolist(), found.minimisers[some].view(np.int64).tolist()
-            for doc, bucket, string in zip(ids, buckets, found.words(some)):
-                old = held.setdefault(string, [bucket, doc, doc, 0])
-                old[1], old[2], old[3] = min(old[1], doc), max(old[2], doc), old[3] + 1
+            ids, buckets = batch.column(0).to_numpy()[found.rows[some]], found.minimisers[some].view(np.int64)
+            at = np.fromiter((held.setdefault(string, len(held)) for string in found.words(some)), np.int64, len(some))
+            if len(held) > len(numbers):
+                numbers = np.concatenate([numbers, np.zeros((2 * len(held) - len(numbers), 4), np.int64)])
+            new, first = np.unique(at, return_index=True)
+            first = first[numbers[new, 3] == 0]
+            numbers[at[first], 0] = buckets[first]
+            numbers[at[first], 1] = numbers[at[first], 2] = ids[first]
+            np.minimum.at(numbers[:, 1], at, ids)
+            np.maximum.at(numbers[:, 2], at, ids)
+            np.add.at(numbers[:, 3], at, 1)
             if len(held) > limit:
-                yield rows(held)
+                yield rows(held, numbers)
                 held = {}
-        yield rows(held)
+                numbers[:, 3] = 0
+        yield rows(held, numbers)
 
     return docs.select("_id", "text").mapInArrow(run, "bucket long, packed binary, least long, most long, copies long")
 
