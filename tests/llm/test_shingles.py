@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -83,3 +84,17 @@ def test_clashing_names_nulls_and_repeats(spark):
     assert got.columns == frame.columns
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([rows[1], rows[3], rows[6], rows[7]], key=repr)
     assert corpus_pipeline.near_duplicates(spark, frame.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("shared, links", [(177, 0), (185, 39)])
+def test_pairs_below_the_bound_are_no_rows(shared, links):
+    """Members of a block are compared on their sets: a forest of the links comes out, and of near misses nothing."""
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 62, shared)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 62, 200 - shared)])) for _ in range(40)]
+
+    def block():
+        return shingles.Block(np.array(list(map(len, sets))), list(map(shingles.mark, sets)), np.arange(40), np.zeros(40, np.int64), False)
+
+    assert len(block().partners()) > 30
+    assert sum(len(found) for _, found in block().pairs(sets)) == links

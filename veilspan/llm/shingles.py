@@ -12,7 +12,8 @@ meet in a grid of bounded blocks, with their marks, and a block gives no more pa
 it has members: a spanning forest of what the marks allow.  The first round looks inside
 blocks, the second at all members that are still in different components; the pairs are
 verified on the whole sets, whose hashes have 64 bits.  What the marks allow between
-components that are left after that is verified pair by pair: sets just below the bound.
+components that are left after that is compared inside the blocks, on the whole sets, and a
+block gives a forest of the links: sets just below the bound are many pairs, but no rows.
 
 Defined results: texts without words are one node, linked to no other; a text of fewer
 than five words is one shingle; case counts only outside ASCII.
@@ -20,7 +21,7 @@ than five words is one shingle; case counts only outside ASCII.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -72,6 +73,14 @@ def mark(hashes: np.ndarray) -> bytes:
     return np.packbits((np.bincount(hashes & wide - 1, minlength=wide) & 1).astype(np.uint8)).tobytes()
 
 
+def similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of some sorted sets, none empty, have a similarity of 0.8 or more to another."""
+    sizes = np.array([len(o) for o in others])
+    every = np.concatenate(others)
+    held = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    return 9 * np.add.reduceat(held, np.cumsum(sizes) - sizes, dtype=np.int64) >= 4 * (sizes + len(one))
+
+
 class Block:
     """Members of one group, by size: which pairs the marks allow."""
 
@@ -99,16 +108,25 @@ class Block:
         apart = np.bitwise_count(table[others - at] ^ table[i - at]).sum(axis=1, dtype=np.int64)
         return others[9 * apart <= sizes[others] + sizes[i]]
 
-    def pairs(self, every: bool) -> Iterator[tuple[int, np.ndarray]]:
-        """All pairs that the marks allow, or a forest that connects the same roots."""
+    def partners(self) -> np.ndarray:
+        """The members that the marks allow a pair with some other."""
         n = len(self.roots)
+        some = np.zeros(n, bool)
         for i in range(n - 1):
             found = self.near(i, np.arange(i + 1, n))
+            some[found] = True
+            some[i] |= len(found) > 0
+        return np.flatnonzero(some)
+
+    def pairs(self, sets: list[np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """A forest of the pairs that the marks allow; with sets, of those whose similarity is 0.8 or more."""
+        n = len(self.roots)
+        for i in range(n - 1):
+            found = self.near(i, np.arange(i + 1, n))
+            if sets is not None and len(found):
+                found = found[similar(sets[i], [sets[k] for k in found.tolist()])]
             if not len(found):
                 continue
-            if every:
-                yield i, found
-                continue
             roots, first = np.unique(self.roots[found], return_index=True)
             yield i, found[first]
             self.roots[np.isin(self.roots, roots)] = self.roots[i]
@@ -214,8 +232,8 @@ def alike(pairs: DataFrame, keyed: DataFrame, rows: DataFrame) -> DataFrame:
     return both.filter("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b").checkpoint()
 
 
-def allowed(met: DataFrame, marks: DataFrame, roots: DataFrame | None, every: bool = False) -> DataFrame:
-    """Pairs (a, b) of one shingle and different components that the marks allow: a forest of them, or every one.
+def blocks(met: DataFrame, marks: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(key, i, j, size, node, root, own, mark): the blocks of each shingle whose members are in different components.
 
     Without roots every node is on its own, and only pairs inside a block are looked at.
     """
@@ -230,28 +248,66 @@ def allowed(met: DataFrame, marks: DataFrame, roots: DataFrame | None, every: bo
         cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
                             lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
     known = known.join(marks, "node").select("key", "size", "node", "root", "own", "mark", F.explode(cells).alias("cell"))
-    known = known.select("key", "cell.i", "cell.j", "size", "node", "root", "own", "mark")
-    known = known.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "size", "node")
+    return known.select("key", "cell.i", "cell.j", "size", "node", "root", "own", "mark")
+
+
+def _met(known: DataFrame) -> DataFrame:
+    return known.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "size", "node")
+
+
+def _each(batches: Iterable[pa.RecordBatch], told: Callable) -> Iterator[tuple[np.ndarray, list]]:
+    """The lines of each block of two and more, and what the last column says of them."""
+    lines, last = np.zeros((0, 7), np.int64), []
+    for batch in batches:
+        lines = np.concatenate([lines, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:7]], axis=1)])
+        last += told(batch.column(7))
+        starts = np.flatnonzero(np.r_[True, (lines[1:, :3] != lines[:-1, :3]).any(axis=1)]) if len(lines) else np.zeros(1, int)
+        for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if end - start > 1:
+                yield lines[start:end], last[start:end]
+        lines, last = lines[starts[-1]:], last[starts[-1]:]
+    if len(lines) > 1:
+        yield lines, last
+
+
+def _block(lines: np.ndarray, marks: list[bytes]) -> Block:
+    return Block(lines[:, 3], marks, lines[:, 5].copy(), lines[:, 6], lines[0, 1] != lines[0, 2])
 
+
+def allowed(met: DataFrame, marks: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """A forest of the pairs (a, b) of one shingle and different components that the marks allow."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, marks = np.zeros((0, 7), np.int64), []
-        for batch in batches:
-            lines = np.concatenate([lines, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:7]], axis=1)])
-            marks += batch.column(7).to_pylist()
-            starts = np.flatnonzero(np.r_[True, (lines[1:, :3] != lines[:-1, :3]).any(axis=1)]) if len(lines) else np.zeros(1, int)
-            for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                yield from _pairs(lines[start:end], marks[start:end], every)
-            lines, marks = lines[starts[-1]:], marks[starts[-1]:]
-        yield from _pairs(lines, marks, every)
-
-    return known.mapInArrow(run, "a long, b long").distinct()
-
-
-def _pairs(lines: np.ndarray, marks: list[bytes], every: bool) -> Iterator[pa.RecordBatch]:
-    if len(lines) < 2:
-        return
-    block = Block(lines[:, 3], marks, lines[:, 5].copy(), lines[:, 6], lines[0, 1] != lines[0, 2])
-    found = [(lines[others, 4], np.full(len(others), lines[i, 4])) for i, others in block.pairs(every)]
+        for lines, marks in _each(batches, pa.Array.to_pylist):
+            yield from _pairs(lines, _block(lines, marks).pairs())
+
+    return _met(blocks(met, marks, roots)).mapInArrow(run, "a long, b long").distinct()
+
+
+def settled(met: DataFrame, marks: DataFrame, roots: DataFrame, keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """A forest of the pairs (a, b) of one shingle and different components that have a similarity of 0.8 or more.
+
+    Only members that the marks allow a partner bring their sets into the block, which compares them there:
+    pairs just below the bound, as many as the square of a group, are never rows.
+    """
+    def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines, marks in _each(batches, pa.Array.to_pylist):
+            lines = lines[_block(lines, marks).partners()]
+            if len(lines):
+                yield pa.RecordBatch.from_arrays([pa.array(lines[:, k]) for k in range(7)], names=["key", "i", "j", "size", "node", "root", "own"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch_lines, sets in _each(batches, lambda column: [s.values.to_numpy() for s in column]):
+            yield from _pairs(batch_lines, _block(batch_lines, list(map(mark, sets))).pairs(sets))
+
+    names = ", ".join(f"{n} long" for n in ("key", "i", "j", "size", "node", "root", "own"))
+    left = _met(blocks(met, marks, roots)).mapInArrow(some, names).checkpoint()
+    sets = sets_of(keyed, rows, left.select("node").distinct())
+    left = left.join(sets, "node").select("key", "i", "j", "size", "node", "root", "own", "hashes")
+    return _met(left).mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(lines: np.ndarray, pairs: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    found = [(lines[others, 4], np.full(len(others), lines[i, 4])) for i, others in pairs]
     if found:
         one, two = map(np.concatenate, zip(*found))
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
@@ -263,11 +319,10 @@ def linked(keyed: DataFrame, rows: DataFrame) -> DataFrame:
     marks = rows.filter("mark is not null").groupBy("node").agg(F.first("mark").alias("mark"))
     tried = allowed(met, marks, None).checkpoint()
     roots = components(alike(tried, keyed, rows))
-    for every in (False, True):
-        new = allowed(met, marks, roots, every).join(tried, ["a", "b"], "left_anti").checkpoint()
-        if not new.isEmpty():
-            roots, tried = components(alike(new, keyed, rows), roots), tried.union(new)
-    return roots
+    new = allowed(met, marks, roots).join(tried, ["a", "b"], "left_anti").checkpoint()
+    if not new.isEmpty():
+        roots = components(alike(new, keyed, rows), roots)
+    return components(settled(met, marks, roots, keyed, rows).checkpoint(), roots)
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
