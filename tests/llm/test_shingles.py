@@ -98,3 +98,25 @@ def test_pairs_below_the_bound_are_no_rows(shared, links):
 
     assert len(block().partners()) > 30
     assert sum(len(found) for _, found in block().pairs(sets)) == links
+
+
+@pytest.mark.parametrize("shared, narrow, wide", [(170, 40, 0), (185, 40, 40)])
+def test_wide_marks_allow_hardly_more_than_links(shared, narrow, wide):
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 1 << 62, shared)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 62, 200 - shared)])) for _ in range(40)]
+
+    def some(times):
+        marks = [shingles.mark(s, times) for s in sets]
+        return len(shingles.Block(np.array(list(map(len, sets))), marks, np.arange(40), np.zeros(40, np.int64), False).partners())
+
+    assert (some(1), some(shingles.WIDER)) == (narrow, wide)
+
+
+def test_sets_travel_only_to_blocks_of_several_components(spark):
+    """A node meets its neighbours under many shingles; once they are in one component its set is not sent to any."""
+    member = [(key, 0, 0, 9, node, node, 0) for key in range(30) for node in (1, 2)] + [(99, 0, 0, 9, node, node, 0) for node in (1, 2, 5)]
+    left = spark.createDataFrame(member, "key long, i long, j long, size long, node long, root long, own long")
+    roots = spark.createDataFrame([(1, 1), (2, 1)], "node long, root long")
+    got = sorted((r.key, r.node, r.root) for r in shingles.still_open(left, roots).collect())
+    assert got == [(99, 1, 1), (99, 2, 1), (99, 5, 5)]

@@ -10,10 +10,13 @@ A set's mark holds the parities of its hashes: marks of two sets differ in no mo
 than the sets in shingles, so marks too far apart exclude a pair.  Members of a group
 meet in a grid of bounded blocks, with their marks, and a block gives no more pairs than
 it has members: a spanning forest of what the marks allow.  The first round looks inside
-blocks, the second at all members that are still in different components; the pairs are
-verified on the whole sets, whose hashes have 64 bits.  What the marks allow between
-components that are left after that is compared inside the blocks, on the whole sets, and a
-block gives a forest of the links: sets just below the bound are many pairs, but no rows.
+blocks; its pairs are verified on the whole sets, whose hashes have 64 bits.  In the second
+round members of all blocks that are still in different components meet again: those that
+the marks allow a partner, with marks of more bits, which allow hardly any pair but links.
+A node meets its neighbours under many shingles, so sets would travel many times over; here
+a set travels once to each pair.  What is open after that is compared inside the blocks, on
+the whole sets, and a block gives a forest of the links: sets just below the bound are many
+pairs, but no rows.
 
 Defined results: texts without words are one node, linked to no other; a text of fewer
 than five words is one shingle; case counts only outside ASCII.
@@ -39,8 +42,8 @@ from veilspan.session import checkpoints_on
 WORDS, SEED = 5, 42
 #: Rows that are sampled for the order, and shingles whose count is kept.
 SAMPLE, COUNTED = 5000, 1 << 17
-#: Nodes of one side of a block, bits of the table of wanted texts, nodes a task remembers.
-BLOCK, WANTED, SEEN = 512, 1 << 25, 100_000
+#: Nodes of one side of a block, bits of the table of wanted texts, nodes a task remembers, and how many times the bits of a mark a wide one has.
+BLOCK, WANTED, SEEN, WIDER = 512, 1 << 25, 100_000, 4
 _PLACE = simhash.PLACE
 
 
@@ -67,9 +70,9 @@ def first(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarr
     return hashes[np.lexsort((hashes, often))[:n]]
 
 
-def mark(hashes: np.ndarray) -> bytes:
-    """Parity of the hashes of each rest; a power of two of rests, as many as hashes at least."""
-    wide = 1 << max(8, (len(hashes) - 1).bit_length())
+def mark(hashes: np.ndarray, times: int = 1) -> bytes:
+    """Parity of the hashes of each rest; a power of two of rests, as many as hashes at least, or some times that."""
+    wide = times << max(8, (len(hashes) - 1).bit_length())
     return np.packbits((np.bincount(hashes & wide - 1, minlength=wide) & 1).astype(np.uint8)).tobytes()
 
 
@@ -224,9 +227,8 @@ def sets_of(keyed: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def alike(pairs: DataFrame, keyed: DataFrame, rows: DataFrame) -> DataFrame:
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of 0.8 or more."""
-    sets = sets_of(keyed, rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     both = pairs.join(one, "a").join(two, "b")
     return both.filter("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b").checkpoint()
@@ -274,36 +276,64 @@ def _block(lines: np.ndarray, marks: list[bytes]) -> Block:
     return Block(lines[:, 3], marks, lines[:, 5].copy(), lines[:, 6], lines[0, 1] != lines[0, 2])
 
 
-def allowed(met: DataFrame, marks: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """A forest of the pairs (a, b) of one shingle and different components that the marks allow."""
+def forest(blocked: DataFrame) -> DataFrame:
+    """A forest of the pairs (a, b) of one block and different components that the marks allow."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lines, marks in _each(batches, pa.Array.to_pylist):
             yield from _pairs(lines, _block(lines, marks).pairs())
 
-    return _met(blocks(met, marks, roots)).mapInArrow(run, "a long, b long").distinct()
+    return _met(blocked).mapInArrow(run, "a long, b long").distinct()
 
 
-def settled(met: DataFrame, marks: DataFrame, roots: DataFrame, keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """A forest of the pairs (a, b) of one shingle and different components that have a similarity of 0.8 or more.
+def wide_marks(sets: DataFrame) -> DataFrame:
+    """(node, mark) with ``WIDER`` times the bits: pairs they allow have a similarity hardly below the bound."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [mark(s.values.to_numpy(), WIDER) for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["node", "mark"])
 
-    Only members that the marks allow a partner bring their sets into the block, which compares them there:
-    pairs just below the bound, as many as the square of a group, are never rows.
-    """
-    def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return sets.select("node", "hashes").mapInArrow(run, "node long, mark binary")
+
+
+_MEMBER = ["key", "i", "j", "size", "node", "root", "own"]
+
+
+def with_partners(blocked: DataFrame) -> DataFrame:
+    """The members of the blocks that the marks allow a partner, without the marks."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lines, marks in _each(batches, pa.Array.to_pylist):
             lines = lines[_block(lines, marks).partners()]
             if len(lines):
-                yield pa.RecordBatch.from_arrays([pa.array(lines[:, k]) for k in range(7)], names=["key", "i", "j", "size", "node", "root", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(lines[:, k]) for k in range(7)], names=_MEMBER)
+
+    return _met(blocked).mapInArrow(run, ", ".join(f"{n} long" for n in _MEMBER))
+
+
+def still_open(left: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members with their roots of now, without blocks that hold one component."""
+    known = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = known.groupBy("key", "i", "j").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    return known.join(open_, ["key", "i", "j"], "left_semi").select(*_MEMBER)
+
 
+def settled(met: DataFrame, marks: DataFrame, roots: DataFrame, keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The roots with all links between different components that share a shingle.
+
+    Wide marks lead to nearly all of them; a set travels to each pair that they allow.  Only members that the wide marks
+    allow a partner in another component after that bring their sets into the block, which compares them there:
+    pairs just below the bound, as many as the square of a group, are never rows.
+    """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch_lines, sets in _each(batches, lambda column: [s.values.to_numpy() for s in column]):
-            yield from _pairs(batch_lines, _block(batch_lines, list(map(mark, sets))).pairs(sets))
+        for lines, sets in _each(batches, lambda column: [s.values.to_numpy() for s in column]):
+            yield from _pairs(lines, _block(lines, list(map(mark, sets))).pairs(sets))
 
-    names = ", ".join(f"{n} long" for n in ("key", "i", "j", "size", "node", "root", "own"))
-    left = _met(blocks(met, marks, roots)).mapInArrow(some, names).checkpoint()
-    sets = sets_of(keyed, rows, left.select("node").distinct())
-    left = left.join(sets, "node").select("key", "i", "j", "size", "node", "root", "own", "hashes")
-    return _met(left).mapInArrow(run, "a long, b long").distinct()
+    left = with_partners(blocks(met, marks, roots)).checkpoint()
+    sets = sets_of(keyed, rows, left.select("node").distinct()).checkpoint()
+    wide = wide_marks(sets).checkpoint()
+    roots = components(alike(forest(left.join(wide, "node").select(*_MEMBER, "mark")).checkpoint(), sets), roots)
+    left = with_partners(still_open(left, roots).join(wide, "node").select(*_MEMBER, "mark")).checkpoint()
+    links = _met(left.join(sets, "node").select(*_MEMBER, "hashes")).mapInArrow(run, "a long, b long").distinct()
+    return components(links.checkpoint(), roots)
 
 
 def _pairs(lines: np.ndarray, pairs: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -317,12 +347,9 @@ def linked(keyed: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) of all nodes that have a link, a similarity of 0.8 or more; each round adds its links to the roots of the last."""
     met = meeting(rows).checkpoint()
     marks = rows.filter("mark is not null").groupBy("node").agg(F.first("mark").alias("mark"))
-    tried = allowed(met, marks, None).checkpoint()
-    roots = components(alike(tried, keyed, rows))
-    new = allowed(met, marks, roots).join(tried, ["a", "b"], "left_anti").checkpoint()
-    if not new.isEmpty():
-        roots = components(alike(new, keyed, rows), roots)
-    return components(settled(met, marks, roots, keyed, rows).checkpoint(), roots)
+    tried = forest(blocks(met, marks, None)).checkpoint()
+    sets = sets_of(keyed, rows, tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct())
+    return settled(met, marks, components(alike(tried, sets)), keyed, rows)
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
