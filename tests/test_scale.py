@@ -218,3 +218,20 @@ def test_shared_folder_needs_a_setting_on_a_cluster(spark):
     except RuntimeError:
         return
     raise AssertionError("a cluster without a shared folder must be refused")
+
+
+def test_small_images_meet_without_a_grid_and_crowded_ones_in_cells(spark):
+    """A box of a small image is not copied into cells; a crowded image beside it gives the same rows as ever."""
+    small, both = table(spark, hot_boxes(n_hot=5)), table(spark, hot_boxes(n_hot=boxes.FEW + 30))
+    for rows, in_cells in ((small, False), (both, True)):
+        other = rows.withColumnRenamed("category", "tag")
+        found = [boxes.first_overlapping(rows, other, ["img"], F.col("k"), "tag"), boxes.best_partner(rows, rows, ["img"], "category"), boxes.coverage(rows, rows, ["img"])]
+        for one in found:
+            assert ("_cx" in one._jdf.queryExecution().optimizedPlan().toString()) == in_cells
+        listed = [(r["img"], r["k"], as_tuple(r["rect"]), r["category"]) for r in rows.collect()]
+        want = {}
+        for img, k, box, _ in listed:
+            near = [(j, tag) for i, j, o, tag in listed if i == img and overlap(box, o) > 0.5]
+            want[img, k] = min(near)[1] if near else None
+        assert {(r["img"], r["k"]): r["tag"] for r in found[0].collect()} == want
+        assert sum(r["copies"] for r in found[1].collect()) == len(listed) == sum(r["copies"] for r in found[2].collect())

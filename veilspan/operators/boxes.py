@@ -5,8 +5,9 @@ struct.  Boxes of one image may be a large part of the table, so
 
 * order-dependent merges read a bounded number of boxes per image and round,
   in order, until none is left (one round unless an image is overfull);
-* matches between two box tables go through distinct boxes and a grid, and
-  are reduced before anything is joined back.
+* matches between two box tables go through distinct boxes and are reduced
+  before anything is joined back; boxes of an image meet where the image lies if
+  they are few, and in a grid if the image is crowded.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from veilspan.functions.spans import let
 from veilspan.session import checkpoints_on
 
 CHUNK = 1024
-CELL = 64
+#: Side of a grid cell, and boxes of an image, in either table, that meet without a grid.
+CELL, FEW = 64, 128
 
 
 # --- top-k and suppression ------------------------------------------------------------
@@ -294,13 +296,19 @@ def _in_cells(df: DataFrame, name: str, size: int) -> DataFrame:
     return columns.select("*", axis(r["y"], r["h"]).alias("_cy"))
 
 
-def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], size: int = CELL) -> DataFrame:
+def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], size: int | None = CELL) -> DataFrame:
     """Pairs of boxes that share area, each once.
 
     Both sides have ``keys`` and a box (``a_rect``, ``b_rect``) and should be
     distinct boxes.  A pair is produced only in the cell that holds the corner
-    of its intersection, so no ``distinct`` is needed afterwards.
+    of its intersection, so no ``distinct`` is needed afterwards.  Without a size all
+    boxes of an image meet.
     """
+    if size is None:
+        def filled(name: str) -> Column:
+            return (F.col(name)["w"] > 0) & (F.col(name)["h"] > 0)
+
+        return a.where(filled("a_rect")).join(b.where(filled("b_rect")), list(keys)).where(~geo.apart(F.col("a_rect"), F.col("b_rect")))
     both = _in_cells(a, "a_rect", size).join(_in_cells(b, "b_rect", size), [*keys, "_cx", "_cy"])
     ra, rb = F.col("a_rect"), F.col("b_rect")
     corner = (
@@ -316,20 +324,41 @@ def distinct_boxes(df: DataFrame, keys: Sequence[str], name: str, *aggs: Column)
     return grouped.agg(*aggs) if aggs else grouped.agg(F.count(F.lit(1)).alias("_copies"))
 
 
+def _matched(
+    boxes: DataFrame, others: DataFrame, keys: Sequence[str], match: Callable[[DataFrame, DataFrame, int | None], DataFrame], size: int
+) -> DataFrame:
+    """``match`` of two box tables: images with few boxes are dealt once, by image; crowded images go through the grid.
+
+    Copies count as boxes here, so that one box a million times is combined before its shuffle.
+    """
+    counts = [t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select(*keys) for t in (boxes, others)]
+    crowded = counts[0].union(counts[1]).distinct()
+    if crowded.isEmpty():
+        return match(boxes.repartition(*keys), others.repartition(*keys), None)
+    checkpoints_on(boxes.sparkSession)
+    crowded = crowded.checkpoint()
+    few = [t.join(crowded, list(keys), "left_anti").repartition(*keys) for t in (boxes, others)]
+    many = [t.join(crowded, list(keys), "left_semi") for t in (boxes, others)]
+    return match(*few, None).unionByName(match(*many, size))
+
+
 def first_overlapping(
     boxes: DataFrame, others: DataFrame, keys: Sequence[str], order: Column,
     value: str, threshold: float = fv.SAME_BOX_OVERLAP, size: int = CELL,
 ) -> DataFrame:
     """Adds ``value`` of the first of ``others`` that overlaps a box by more than ``threshold``."""
-    a = distinct_boxes(boxes, keys, "a_rect").drop("_copies")
-    b = distinct_boxes(others, keys, "b_rect", F.min(F.struct(order.alias("o"), F.col(value).alias("v"))).alias("_first"))
-    best = (
-        meeting(a, b, keys, size)
-        .where(geo.overlap(F.col("a_rect"), F.col("b_rect")) > threshold)
-        .groupBy(*keys, "a_rect")
-        .agg(F.min("_first").alias("_first"))
-        .select(*keys, F.col("a_rect").alias("rect"), F.col("_first.v").alias(value))
-    )
+    def match(boxes: DataFrame, others: DataFrame, size: int | None) -> DataFrame:
+        a = distinct_boxes(boxes, keys, "a_rect").drop("_copies")
+        b = distinct_boxes(others, keys, "b_rect", F.min(F.struct("o", F.col(value).alias("v"))).alias("_first"))
+        return (
+            meeting(a, b, keys, size)
+            .where(geo.overlap(F.col("a_rect"), F.col("b_rect")) > threshold)
+            .groupBy(*keys, "a_rect")
+            .agg(F.min("_first").alias("_first"))
+            .select(*keys, F.col("a_rect").alias("rect"), F.col("_first.v").alias(value))
+        )
+
+    best = _matched(boxes.select(*keys, "rect"), others.select(*keys, "rect", order.alias("o"), value), keys, match, size)
     return boxes.join(best, [*keys, "rect"], "left")
 
 
@@ -342,18 +371,23 @@ def best_partner(
     ``copies`` says how many boxes a row stands for.
     """
     extra = [category] if category else []
-    a = distinct_boxes(boxes, [*keys, *extra], "a_rect", F.count(F.lit(1)).alias("copies"))
-    b = distinct_boxes(
-        others, keys, "b_rect",
-        *([F.collect_set(category).alias("_cats")] if category else [F.count(F.lit(1)).alias("_n")]),
-    )
-    overlap = geo.iou(F.col("a_rect"), F.col("b_rect"))
-    agrees = F.array_contains("_cats", F.col(category)) if category else F.lit(False)
     by = [*keys, *extra, "a_rect", "copies"]
-    pairs = meeting(a, b, keys, size).select(*by, overlap.alias("_iou"), ((overlap >= threshold) & agrees).alias("_agrees"))
-    # A row per box on its own keeps boxes without a partner; no join back is needed.
-    alone = a.select(*by, F.lit(0.0).alias("_iou"), F.lit(False).alias("_agrees"))
-    best = pairs.unionByName(alone).groupBy(*by).agg(F.max("_iou").alias("best_iou"), F.max("_agrees").alias("agrees"))
+
+    def match(boxes: DataFrame, others: DataFrame, size: int | None) -> DataFrame:
+        a = distinct_boxes(boxes, [*keys, *extra], "a_rect", F.count(F.lit(1)).alias("copies"))
+        b = distinct_boxes(
+            others, keys, "b_rect",
+            *([F.collect_set(category).alias("_cats")] if category else [F.count(F.lit(1)).alias("_n")]),
+        )
+        overlap = geo.iou(F.col("a_rect"), F.col("b_rect"))
+        agrees = F.array_contains("_cats", F.col(category)) if category else F.lit(False)
+        pairs = meeting(a, b, keys, size).select(*by, overlap.alias("_iou"), ((overlap >= threshold) & agrees).alias("_agrees"))
+        # A row per box on its own keeps boxes without a partner; no join back is needed.
+        alone = a.select(*by, F.lit(0.0).alias("_iou"), F.lit(False).alias("_agrees"))
+        return pairs.unionByName(alone).groupBy(*by).agg(F.max("_iou").alias("best_iou"), F.max("_agrees").alias("agrees"))
+
+    held = [*keys, "rect", *extra]
+    best = _matched(boxes.select(*held), others.select(*held), keys, match, size)
     return best.select(
         *keys, *extra, F.col("a_rect").alias("rect"), "copies", "best_iou",
         (F.col("best_iou") >= threshold).alias("matched"), "agrees",
@@ -362,13 +396,17 @@ def best_partner(
 
 def coverage(boxes: DataFrame, covers: DataFrame, keys: Sequence[str], size: int = CELL) -> DataFrame:
     """Share of each distinct box under ``covers``: intersections summed, at most 1."""
-    a = distinct_boxes(boxes, keys, "a_rect", F.count(F.lit(1)).alias("copies"))
-    b = distinct_boxes(covers, keys, "b_rect", F.count(F.lit(1)).alias("_n"))
-    shared = geo.shared_area(F.col("a_rect"), F.col("b_rect")).cast("long") * F.col("_n")
     by = [*keys, "a_rect", "copies"]
-    pairs = meeting(a, b, keys, size).select(*by, shared.alias("_hit"))
-    alone = a.select(*by, F.lit(0).cast("long").alias("_hit"))
-    hit = pairs.unionByName(alone).groupBy(*by).agg(F.sum("_hit").alias("_hit"))
+
+    def match(boxes: DataFrame, covers: DataFrame, size: int | None) -> DataFrame:
+        a = distinct_boxes(boxes, keys, "a_rect", F.count(F.lit(1)).alias("copies"))
+        b = distinct_boxes(covers, keys, "b_rect", F.count(F.lit(1)).alias("_n"))
+        shared = geo.shared_area(F.col("a_rect"), F.col("b_rect")).cast("long") * F.col("_n")
+        pairs = meeting(a, b, keys, size).select(*by, shared.alias("_hit"))
+        alone = a.select(*by, F.lit(0).cast("long").alias("_hit"))
+        return pairs.unionByName(alone).groupBy(*by).agg(F.sum("_hit").alias("_hit"))
+
+    hit = _matched(boxes.select(*keys, "rect"), covers.select(*keys, "rect"), keys, match, size)
     area = geo.area(F.col("a_rect"))
     return hit.select(
         *keys, F.col("a_rect").alias("rect"), "copies",
