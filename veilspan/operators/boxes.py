@@ -375,12 +375,10 @@ def best_partner(
 
     def match(boxes: DataFrame, others: DataFrame, size: int | None) -> DataFrame:
         a = distinct_boxes(boxes, [*keys, *extra], "a_rect", F.count(F.lit(1)).alias("copies"))
-        b = distinct_boxes(
-            others, keys, "b_rect",
-            *([F.collect_set(category).alias("_cats")] if category else [F.count(F.lit(1)).alias("_n")]),
-        )
+        # A partner of two categories is two rows; sets of categories would be sorted, not hashed.
+        b = distinct_boxes(others.withColumnRenamed(category, "_cat") if category else others, [*keys, *(["_cat"] if category else [])], "b_rect")
         overlap = geo.iou(F.col("a_rect"), F.col("b_rect"))
-        agrees = F.array_contains("_cats", F.col(category)) if category else F.lit(False)
+        agrees = (F.col("_cat") == F.col(category)) if category else F.lit(False)
         pairs = meeting(a, b, keys, size).select(*by, overlap.alias("_iou"), ((overlap >= threshold) & agrees).alias("_agrees"))
         # A row per box on its own keeps boxes without a partner; no join back is needed.
         alone = a.select(*by, F.lit(0.0).alias("_iou"), F.lit(False).alias("_agrees"))
