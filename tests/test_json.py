@@ -1,12 +1,13 @@
 """Scrubbing and auditing of JSON bodies, known and unknown shape."""
 
 import json
+import tracemalloc
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspan.functions import fixed_values as fv
-from veilspan.functions import scrub
+from veilspan.functions import json_walk, scrub
 from veilspan.sources import payloads
 
 
@@ -157,3 +158,18 @@ def test_bodies_that_utf8_or_json_cannot_hold(spark):
     assert sent == {0: r'{"k":"\ud800 x"}', 1: r'{"\ud800":"call [REDACTED:10]"}', 2: '{"a":null,"b":null,"c":1.5}', 3: '{"k":"\U0001f600 [REDACTED:6]"}', 4: '{"ok":"[REDACTED:10]"}'}
     found = {r.i: [tuple(x) for x in r.leaks] for r in scrub.audit_body(rows, "body").collect()}
     assert found == {0: [], 1: [("\ufffd", "pii-pattern")], 2: [], 3: [("k", "pii-pattern")], 4: [("ok", "pii-pattern")]}
+
+
+def test_few_bodies_are_python_values_at_once():
+    """A batch of large bodies stays in Arrow but for one slice."""
+    import pyarrow as pa
+
+    n, size = 10 * json_walk.SLICE + 7, 20_000
+    batch = pa.array([f'{{"n":{i},"t":"é{"x" * size}"}}' if i % 9 else None for i in range(n)])
+    tracemalloc.start()
+    out = json_walk.in_slices(batch, json_walk.scrub_one, pa.string())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == batch.to_pylist()
+    assert most < 8 * json_walk.SLICE * size < n * size
+    assert json_walk.in_slices(batch[:0], json_walk.leaks_of, json_walk.LEAKS).to_pylist() == []
