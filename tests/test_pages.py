@@ -229,3 +229,13 @@ def test_large_tables_are_dealt_out_in_bounded_tasks(spark, monkeypatch, tmp_pat
     found = tables.spread(rows)
     assert found.rdd.getNumPartitions() > 16
     assert found.count() == 20000
+
+
+def test_pages_that_pack_well_are_dealt_out_by_rows(spark, tmp_path):
+    """Ten thousand equal pages are a few kilobytes of files, but as much work as any others."""
+    from veilspan.sources import tables
+
+    spark.range(10_000).selectExpr("id AS page_id", "'u' AS url", "repeat('<p>x</p>', 500) AS html").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    rows = tables.text_table(spark, str(tmp_path), "pages")
+    assert rows.rdd.getNumPartitions() == 10_000 // tables.ROWS["pages"]
+    assert rows.count() == 10_000
