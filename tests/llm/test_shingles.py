@@ -100,7 +100,7 @@ def test_pairs_below_the_bound_are_no_rows(shared, links):
     assert sum(len(found) for _, found in block().pairs(sets)) == links
 
 
-@pytest.mark.parametrize("shared, narrow, wide", [(170, 40, 0), (185, 40, 40)])
+@pytest.mark.parametrize("shared, narrow, wide", [(171, 40, 0), (185, 40, 40)])
 def test_wide_marks_allow_hardly_more_than_links(shared, narrow, wide):
     rng = np.random.default_rng(4)
     common = rng.integers(0, 1 << 62, shared)
