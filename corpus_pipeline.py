@@ -8,23 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import bpe, mixing, pii, shingles, toxicity
-from veilspan.llm.common import table
+from veilspan.llm.common import small_batches, table
 from veilspan.session import shared_folder
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score as toxic; the model learns from the labelled documents of the table."""
+    small_batches(spark)
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
+    small_batches(spark)
     return shingles.without_copies(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data replaced by its kind."""
+    small_batches(spark)
     return _counted(pii.scrub(docs))
 
 
@@ -37,6 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the packed token ids, their number, and digests of ids and decoded text."""
     import public_tokenizers
 
+    small_batches(spark)
     return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 

@@ -62,3 +62,22 @@ def test_stars():
     hi, lo = np.array([max(e) for e in edges]), np.array([min(e) for e in edges])
     nodes, roots = C.stars(hi, lo)
     assert dict(zip(nodes.tolist(), roots.tolist())) == {n: r for n, r in plain(edges).items() if n != r}
+
+
+def test_later_rounds_write_few_files(spark, monkeypatch):
+    """A checkpoint of a few edges is not cut into as many files as the shuffle has partitions."""
+    made = []
+    monkeypatch.setattr(C, "few", lambda df, n, f=C.few: made.append(f(df, n)) or made[-1])
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        edges = spark.range(300).selectExpr("(id * 7919) % 301 as a", "(id * 7919 + 7919) % 301 as b").repartition(20)
+        known = C.components(edges)
+        got = C.components(spark.createDataFrame([(0, 900)], "a long, b long"), known).collect()
+        assert {r.root for r in got} == {0} and len(got) == 302
+        assert len(made) > 1 and {df.rdd.getNumPartitions() for df in made} == {spark.sparkContext.defaultParallelism}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
