@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from veilspan.llm import shingles
+from veilspan.llm import common, shingles, simhash
 from veilspan.llm.common import table
 
 
@@ -120,3 +121,46 @@ def test_sets_travel_only_to_blocks_of_several_components(spark):
     roots = spark.createDataFrame([(1, 1), (2, 1)], "node long, root long")
     got = sorted((r.key, r.node, r.root) for r in shingles.still_open(left, roots).collect())
     assert got == [(99, 1, 1), (99, 2, 1), (99, 5, 5)]
+
+
+def test_fingerprints_give_the_first_pairs(spark, monkeypatch):
+    """All fingerprints that differ in few bits are connected by them, also equal ones; the rest of the links is found without them."""
+    rng = random.Random(12)
+    docs = []
+    for centre in range(15):
+        words = [f"c{centre}x{i}" for i in range(300)]
+        for k in range(8):
+            new = words.copy()
+            for _ in range(k):
+                new[rng.randrange(300)] = f"v{rng.randrange(99999)}"
+            docs.append((len(docs), " ".join(new)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    rows = shingles.with_entries(simhash.keyed(frame)).checkpoint()
+    fp = {r.node: r.fp & (1 << 64) - 1 for r in rows.collect()}
+    sets = [shingles.shingles(t) for _, t in docs]
+    assert fp == {shingles.node(s): simhash.majority(s.view(np.uint64)) for s in sets}
+
+    def reached(pairs):
+        label = {n: n for n in fp}
+        for a, b in pairs:
+            label = {n: label[a] if v == label[b] else v for n, v in label.items()}
+        return {frozenset(n for n in fp if label[n] == v) for v in label.values()}
+
+    near = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= shingles.BITS]
+    got = [tuple(r) for r in shingles.by_fingerprint(rows).collect()]
+    assert len(near) > 15 and reached(got) == reached(near)
+    called = []
+    monkeypatch.setattr(shingles.simhash, "links", lambda nodes, most, f=simhash.links: called.append(most) or f(nodes, most))
+    assert kept(spark, docs) == survivors(docs) and called == [shingles.BITS]
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    frame = spark.range(3000, numPartitions=1).selectExpr("id as doc_id", "repeat('word ', 2000) as text")
+    corpus_pipeline.near_duplicates(spark, frame, "")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    got = [r.n for r in frame.mapInArrow(sizes, "n long").collect()]
+    assert max(got) < 2 * common.BATCH_BYTES < sum(got)

@@ -1,6 +1,11 @@
 """Near copies by five-word shingles: exact Jaccard similarity of 0.8 or more.
 
-Texts of one shingle set are one node.  Two sets of similarity 0.8 share a shingle
+Texts of one shingle set are one node.  Its fingerprint is SimHash over the set, and the
+generalised pigeonhole search of ``simhash`` gives the first pairs: fingerprints that differ in
+few bits.  They are verified on the sets.  Fingerprints of links may differ in more bits, so an
+exact search finds the rest.
+
+Two sets of similarity 0.8 share a shingle
 among the first |x| - ceil(0.8 |x|) + 1 of each, in any order that holds for all
 sets.  So these entries alone are grouped by shingle, and no link is lost.  The order
 takes rare shingles first, by counts over a sample of the rows; the sample decides
@@ -9,10 +14,10 @@ only how large the groups get, never what is linked.
 A set's mark holds the parities of its hashes: marks of two sets differ in no more bits
 than the sets in shingles, so marks too far apart exclude a pair.  Members of a group
 meet in a grid of bounded blocks, with their marks, and a block gives no more pairs than
-it has members: a spanning forest of what the marks allow.  The first round looks inside
-blocks; its pairs are verified on the whole sets, whose hashes have 64 bits.  In the second
-round members of all blocks that are still in different components meet again: those that
-the marks allow a partner, with marks of more bits, which allow hardly any pair but links.
+it has members: a spanning forest of what the marks allow.  Only members of groups that are
+still in different components meet: those that the marks allow a partner, with marks of more
+bits, which allow hardly any pair but links; pairs are verified on the whole sets, whose hashes
+have 64 bits.
 A node meets its neighbours under many shingles, so sets would travel many times over; here
 a set travels once to each pair.  What is open after that is compared inside the blocks, on
 the whole sets, and a block gives a forest of the links: sets just below the bound are many
@@ -36,12 +41,16 @@ from pyspark.sql import functions as F
 from veilspan.llm import simhash
 from veilspan.llm.common import in_slices
 from veilspan.llm.components import components
-from veilspan.session import checkpoints_on
+from veilspan.session import checkpoints_on, few
 
 #: Words of a shingle and seed of its hash.
 WORDS, SEED = 5, 42
 #: Rows that are sampled for the order, and shingles whose count is kept.
 SAMPLE, COUNTED = 5000, 1 << 17
+#: Bits that fingerprints of the first pairs may differ in; more bits mean fewer late links and more probes, never other results.
+BITS = 3
+#: Rows a document by which the partitions of tables of entries and sets are counted.
+ENTRIES = 40
 #: Nodes of one side of a block, bits of the table of wanted texts, nodes a task remembers, and how many times the bits of a mark a wide one has.
 BLOCK, WANTED, SEEN, WIDER = 512, 1 << 25, 100_000, 4
 _PLACE = simhash.PLACE
@@ -152,13 +161,13 @@ def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_entries(keyed: DataFrame) -> DataFrame:
-    """Place, node, size of the set, its first shingles and mark; a task gives the last two of a node once, as long as it remembers it."""
+    """Place, node, size of the set, its first shingles, mark and fingerprint; a task gives the last three of a node once, as long as it remembers it."""
     order = keyed.sparkSession.sparkContext.broadcast(common(keyed))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in in_slices(batches):
-            nodes, sizes, entries, marks = [], [], [], []
+            nodes, sizes, entries, marks, fps = [], [], [], [], []
             for text in batch.column(3).to_pylist():
                 hashes = shingles(text)
                 nodes.append(node(hashes))
@@ -166,14 +175,15 @@ def with_entries(keyed: DataFrame) -> DataFrame:
                 known = nodes[-1] in seen
                 entries.append(None if known else first(hashes, *order.value))
                 marks.append(None if known else mark(hashes))
+                fps.append(None if known else simhash.signed(simhash.majority(hashes.view(np.uint64))))
                 seen.add(nodes[-1])
                 if len(seen) > SEEN:
                     seen.clear()
-            arrays = [*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(entries, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*_PLACE, "node", "size", "entries", "mark"])
+            arrays = [*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(entries, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*_PLACE, "node", "size", "entries", "mark", "fp"])
 
     place = ", ".join(f"`{n}` {t}" for n, t in zip(_PLACE, ("long", "boolean", "long")))
-    return keyed.select(*_PLACE, "text").mapInArrow(run, f"{place}, node long, size int, entries array<long>, mark binary")
+    return keyed.select(*_PLACE, "text").mapInArrow(run, f"{place}, node long, size int, entries array<long>, mark binary, fp long")
 
 
 def meeting(rows: DataFrame) -> DataFrame:
@@ -227,28 +237,22 @@ def sets_of(keyed: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 0.8 or more."""
+def alike(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """The pairs (a, b), of n nodes, whose sets have a similarity of 0.8 or more."""
     one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     both = pairs.join(one, "a").join(two, "b")
-    return both.filter("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b").checkpoint()
-
+    both = both.filter("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b")
+    return few(both, 4 * n).checkpoint()
 
-def blocks(met: DataFrame, marks: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(key, i, j, size, node, root, own, mark): the blocks of each shingle whose members are in different components.
 
-    Without roots every node is on its own, and only pairs inside a block are looked at.
-    """
-    known = met.withColumn("root", F.col("node"))
-    if roots is not None:
-        known = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def blocks(met: DataFrame, marks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, i, j, size, node, root, own, mark): the blocks of each shingle whose members are in different components."""
+    known = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = known.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     open_ = open_.filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     known = known.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-    cells = F.array(F.struct(F.col("own").alias("i"), F.col("own").alias("j")))
-    if roots is not None:
-        cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-                            lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+                        lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
     known = known.join(marks, "node").select("key", "size", "node", "root", "own", "mark", F.explode(cells).alias("cell"))
     return known.select("key", "cell.i", "cell.j", "size", "node", "root", "own", "mark")
 
@@ -327,13 +331,15 @@ def settled(met: DataFrame, marks: DataFrame, roots: DataFrame, keyed: DataFrame
         for lines, sets in _each(batches, lambda column: [s.values.to_numpy() for s in column]):
             yield from _pairs(lines, _block(lines, list(map(mark, sets))).pairs(sets))
 
-    left = with_partners(blocks(met, marks, roots)).checkpoint()
-    sets = sets_of(keyed, rows, left.select("node").distinct()).checkpoint()
+    n = rows.count()
+    left = few(with_partners(blocks(met, marks, roots)), ENTRIES * n).checkpoint()
+    sets = few(sets_of(keyed, rows, left.select("node").distinct()), ENTRIES * n).checkpoint()
     wide = wide_marks(sets).checkpoint()
-    roots = components(alike(forest(left.join(wide, "node").select(*_MEMBER, "mark")).checkpoint(), sets), roots)
-    left = with_partners(still_open(left, roots).join(wide, "node").select(*_MEMBER, "mark")).checkpoint()
+    pairs = few(forest(left.join(wide, "node").select(*_MEMBER, "mark")), n).checkpoint()
+    roots = components(alike(pairs, sets, n), roots)
+    left = few(with_partners(still_open(left, roots).join(wide, "node").select(*_MEMBER, "mark")), ENTRIES * n).checkpoint()
     links = _met(left.join(sets, "node").select(*_MEMBER, "hashes")).mapInArrow(run, "a long, b long").distinct()
-    return components(links.checkpoint(), roots)
+    return components(few(links, n).checkpoint(), roots)
 
 
 def _pairs(lines: np.ndarray, pairs: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -343,13 +349,30 @@ def _pairs(lines: np.ndarray, pairs: Iterable[tuple[int, np.ndarray]]) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
 
 
+def by_fingerprint(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints differ in at most ``BITS`` bits, enough of them to connect all those.
+
+    A fingerprint is the majority over the set's hashes; the search is that of ``simhash.links``.
+    """
+    n = rows.count()
+    nodes = few(rows.filter("fp is not null and size > 0").select("fp", "node").distinct(), n).checkpoint()
+    least = few(nodes.groupBy("fp").agg(F.min("node").alias("least")), n).checkpoint()
+    equal = nodes.join(least, "fp").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    far = simhash.links(least.select("fp"), BITS)
+    for end in ("a", "b"):
+        far = far.join(least.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_node")), end)
+    far = far.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    return equal.union(far)
+
+
 def linked(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, root) of all nodes that have a link, a similarity of 0.8 or more; each round adds its links to the roots of the last."""
-    met = meeting(rows).checkpoint()
+    """(node, root) of all nodes that have a link, a similarity of 0.8 or more; what fingerprints don't find, the exact search adds to their roots."""
+    n = rows.count()
+    met = few(meeting(rows), ENTRIES * n).checkpoint()
     marks = rows.filter("mark is not null").groupBy("node").agg(F.first("mark").alias("mark"))
-    tried = forest(blocks(met, marks, None)).checkpoint()
+    tried = few(by_fingerprint(rows), n).checkpoint()
     sets = sets_of(keyed, rows, tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct())
-    return settled(met, marks, components(alike(tried, sets)), keyed, rows)
+    return settled(met, marks, components(alike(tried, sets, n)), keyed, rows)
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
