@@ -137,10 +137,13 @@ def test_runs_choose_among_articles(spark, monkeypatch, slice_chars):
         7: f"<article><p>{own[6]}</p></article><article><p>{own[7]}</p></article>",
         # nothing but teasers: runs say nothing
         8: cards[0] + cards[2], 9: cards[2] + "<nav>menu</nav>" + cards[0],
+        # two versions of a page of two articles
+        10: f"<article>{own[8]}</article><article>{quote}</article>", 11: f"<article>{own[8].replace('w20', 'edited')}</article><article>{quote}</article>",
     }
     want = {0: own[0], 1: own[1], 2: own[2], 3: f"{quote}\n{own[3]}", 4: f"{own[4]}\n{quote}", 5: own[5], 6: own[5], 7: f"{own[6]}\n{own[7]}"}
     whole = [f"c{k}t c{k}u\n" + " ".join(f"c{k}w{i}" for i in range(10)) for k in range(3)]
     want |= {8: f"{whole[0]}\n{whole[2]}", 9: f"{whole[2]}\n{whole[0]}"}
+    want |= {10: f"{own[8]}\n{quote}", 11: f"{own[8].replace('w20', 'edited')}\n{quote}"}
     rows = [(i, f"https://a.org/{i}", page) for i, page in html.items()] + [(20, "https://b.org/", html[0]), (21, "https://b.org/copy", html[0])]
     want |= {20: f"{whole[0]}\n{own[0]}", 21: f"{whole[0]}\n{own[0]}"}  # another host, on which nothing is repeated
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
